@@ -17,6 +17,12 @@ from checks.oracle import oracle_queries
 from checks.spark_queries import REGISTRY
 
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "float": "FLOAT",
+}
+
+
 def local_session(cpus: int | str = "*") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -49,6 +55,10 @@ def compare(spark: SparkSession, connection, sf_dir: str, name: str) -> str:
     if sorted(theirs_columns) != columns:
         return f"columns {columns} against {sorted(theirs_columns)}"
     order = [theirs_columns.index(c) for c in columns]
+    our_types = [TYPES.get(df.schema[c].dataType.simpleString(), "?") for c in columns]
+    their_types = [str(relation.description[i][1]) for i in order]
+    if our_types != their_types:
+        return f"types {list(zip(columns, our_types, their_types))}"
     theirs = Counter(tuple(row[i] for i in order) for row in relation.fetchall())
     if ours == theirs:
         return ""

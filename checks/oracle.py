@@ -478,7 +478,7 @@ QUERIES: dict[str, str] = {
     "embed_distinct": "SELECT key, pos, round(CAST(x AS DOUBLE), 6) AS x FROM vocabulary",
     "l2_normalize": """
         SELECT chunk_id AS vec_id, pos, round(x3 / sqrt(sum(x3 * x3) OVER (PARTITION BY chunk_id)), 6) AS x
-        FROM (SELECT chunk_id, pos, CAST(x * CAST(3 AS FLOAT) AS DOUBLE) AS x3 FROM vectors)""",
+        FROM (SELECT chunk_id, pos, CAST(x AS DOUBLE) * 3 AS x3 FROM vectors)""",
     "cosine_similarity": """
         SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)
                AS similarity

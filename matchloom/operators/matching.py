@@ -82,6 +82,8 @@ def semantic_pairs(
     required: DataFrame,
     vocabulary: DataFrame,
     threshold: float = DEFAULT_THRESHOLD,
+    *,
+    required_at_most: int | None = None,
 ) -> DataFrame:
     """(req_key, cond_key, similarity) of all pairs with similarity >= threshold.
 
@@ -95,6 +97,7 @@ def semantic_pairs(
         right_id="key",
         out_left="cond_key",
         out_right="req_key",
+        right_at_most=required_at_most,
     ).select("req_key", "cond_key", "similarity")
 
 
@@ -111,6 +114,7 @@ def patients_meeting(
     *,
     max_required: int,
     wanted_bounded: bool,
+    needed_bounded: bool,
 ) -> DataFrame:
     """(criteria_id, patient_id) with at least ``n_required`` requirements met.
 
@@ -135,7 +139,7 @@ def patients_meeting(
             per_patient,
             needed,
             ["criteria_id"],
-            small_is_bounded=is_small(needed)
+            small_is_bounded=needed_bounded
         )
         .filter(F.col("n_met") >= F.col("n_required"))
         .select("criteria_id", "patient_id")
@@ -151,15 +155,18 @@ def _strict_matches(
     threshold: float,
     embedder: Embedder | None,
     vocabulary: DataFrame | None,
-    bounded: bool,
+    n_criteria: int,
     widest: int,
 ) -> DataFrame:
+    bounded = n_criteria <= BROADCAST_ROWS
     required = requirements(criteria)
     distinct = required.select(F.col("req_key").alias("key")).distinct()
     req_vectors = embed_column(distinct, "key", embedder=embedder)
     if vocabulary is None:
         vocabulary = embed_distinct(conditions, "conditions", embedder=embedder)
-    pairs = semantic_pairs(req_vectors, vocabulary, threshold)
+    pairs = semantic_pairs(
+        req_vectors, vocabulary, threshold, required_at_most=n_criteria * widest
+    )
     # Embedding may be a model call; the pairs are written so that it runs once.
     pairs = materialize(pairs, "semantic_pairs")
     wanted = required.join(pairs, "req_key").select("criteria_id", "bit", "cond_key")
@@ -169,6 +176,7 @@ def _strict_matches(
         criteria.select("criteria_id", needed.cast("int").alias("n_required")),
         max_required=widest,
         wanted_bounded=is_small(wanted),
+        needed_bounded=bounded,
     )
     ranges = criteria.drop("required_conditions")
     joined = lookup_join(
@@ -233,7 +241,6 @@ def eligible_patients(
         F.min("age_min").alias("low"),
         F.max("age_max").alias("high"),
     ).first()
-    bounded = facts["rows"] <= BROADCAST_ROWS
     # One age window around all criteria reaches the file scan.
     people = patients.select("patient_id", *fields)
     people = people.filter(age_between(facts["low"], facts["high"]))
@@ -252,7 +259,7 @@ def eligible_patients(
                 threshold=threshold,
                 embedder=embedder,
                 vocabulary=vocabulary,
-                bounded=bounded,
+                n_criteria=facts["rows"],
                 widest=facts["widest"],
             )
         )

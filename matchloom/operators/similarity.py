@@ -139,10 +139,12 @@ def pairs_at_least(
     out_left: str = "left_id",
     out_right: str = "right_id",
     block_rows: int = BLOCK_ROWS,
+    right_at_most: int | None = None,
 ) -> DataFrame:
     """Every pair whose rounded dot product is ``>= threshold``.
 
-    Returns (out_left, out_right, similarity).
+    Returns (out_left, out_right, similarity). A caller who knows a bound on the
+    rows of ``right`` gives it in ``right_at_most`` and saves a count.
     """
     a = _as_vectors(left, left_id, left_vec, "_a", "_va")
     b = _as_vectors(right, right_id, right_vec, "_b", "_vb")
@@ -153,8 +155,9 @@ def pairs_at_least(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    n_right = b.count()
-    if n_right <= block_rows:
+    if right_at_most is None or right_at_most > block_rows:
+        right_at_most = b.count()
+    if right_at_most <= block_rows:
         ids, matrix = _block(b)
         a_type, b_type = pa_type(a.schema["_a"].dataType), pa_type(b.schema["_b"].dataType)
 
@@ -171,7 +174,7 @@ def pairs_at_least(
 
         return a.mapInArrow(stream, schema)
 
-    cells_a, cells_b = _grid(a, b, a.count(), b.count())
+    cells_a, cells_b = _grid(a, b, a.count(), right_at_most)
 
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -197,6 +200,7 @@ def top_k_by_dot(
     corpus_vec: str = "embedding",
     cells: tuple[np.ndarray, int] | None = None,
     block_rows: int = BLOCK_ROWS,
+    queries_at_most: int | None = None,
 ) -> DataFrame:
     """Best ``k`` corpus rows per query by rounded dot product, ties by id.
 
@@ -235,8 +239,9 @@ def top_k_by_dot(
             rows["score"].extend(best.scores[n][real])
         return rows
 
-    n_queries = q.count()
-    if n_queries <= block_rows:
+    if queries_at_most is None or queries_at_most > block_rows:
+        queries_at_most = q.count()
+    if queries_at_most <= block_rows:
         ids, matrix = _block(q)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +264,7 @@ def top_k_by_dot(
 
         partial = c.mapInArrow(stream, schema)
     else:
-        cells_c, cells_q = _grid(c, q, c.count(), q.count())
+        cells_c, cells_q = _grid(c, q, c.count(), queries_at_most)
 
         def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             best = _Best(len(y), k)

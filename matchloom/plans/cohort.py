@@ -66,7 +66,7 @@ def match_cohorts(
     """
     if "limit" not in criteria.columns:
         criteria = criteria.withColumn("limit", F.lit(DEFAULT_LIMIT))
-    asked = _profiled(criteria)
+    asked = materialize(_profiled(criteria), "asked")
     facts = asked.agg(
         F.count("*").alias("rows"), F.coalesce(F.max("_limit"), F.lit(0)).alias("widest")
     ).first()

@@ -64,6 +64,7 @@ def rank_chunks(
     pool: int | None = None,
     legs: tuple[str, ...] = LEGS,
     embedder: Embedder | None = None,
+    queries_at_most: int | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): fused top ``k`` chunks of every query.
 
@@ -73,7 +74,7 @@ def rank_chunks(
     ranked = []
     if "dense" in legs:
         vectors = embed_column(queries, "query", embedder=embedder)
-        ranked.append(top_k_by_dot(vectors, index.chunks, pool))
+        ranked.append(top_k_by_dot(vectors, index.chunks, pool, queries_at_most=queries_at_most))
     if "sparse" in legs:
         terms = lexical.query_terms(queries, "query_id", "query")
         ranked.append(lexical.bm25_top_k(index.lexical, terms, pool))
@@ -112,7 +113,15 @@ def search_trials(
     elif filter_mode != "post":
         raise ValueError("filter_mode is 'post' or 'pre'")
 
-    hits = rank_chunks(index, asked, k=top_k, pool=pool, legs=legs, embedder=embedder)
+    hits = rank_chunks(
+        index,
+        asked,
+        k=top_k,
+        pool=pool,
+        legs=legs,
+        embedder=embedder,
+        queries_at_most=n_requests,
+    )
     chunks = index.chunks.drop("embedding", "error")
     # Every hit is a chunk of this table, so an inner join loses none.
     found = lookup_join(chunks, hits, ["chunk_id"], small_is_bounded=bounded)
