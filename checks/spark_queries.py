@@ -367,7 +367,7 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _components(df: DataFrame, key: str) -> DataFrame:
     """(key, pos, x): the components that are not zero, rounded."""
-    rows = df.select(key, F.posexplode("embedding").alias("pos", "x"))
+    rows = df.select(key, F.posexplode_outer("embedding").alias("pos", "x"))
     return rows.filter(F.col("x") != 0).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 

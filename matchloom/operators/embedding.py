@@ -42,7 +42,6 @@ def embed_input(text: Column | str, metadata: Column | None = None) -> Column:
 
 
 def _model_column(text: Column, embedder: Embedder, batch_size: int) -> Column:
-    @F.arrow_udf("struct<embedding:array<float>,error:string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = embedder()
         for batch in batches:
@@ -57,7 +56,10 @@ def _model_column(text: Column, embedder: Embedder, batch_size: int) -> Column:
                 names=["embedding", "error"],
             )
 
-    return run(text)
+    # Not deterministic for the optimizer: a filter on the result would otherwise be
+    # pushed below it, and the model would run twice.
+    model = F.arrow_udf(run, "struct<embedding:array<float>,error:string>")
+    return model.asNondeterministic()(text)
 
 
 def _encode_rows(encode: Encode, texts, part: range, vectors: list, errors: list) -> None:
@@ -106,7 +108,7 @@ def embed_column(
 
 def split_embedded(df: DataFrame) -> Split:
     """Embedded rows, and the quarantine with the reason in ``error``."""
-    bad = F.col("error").isNotNull() | F.col("embedding").isNull()
+    bad = F.col("error").isNotNull()
     return Split(df.filter(~bad).drop("error"), df.filter(bad).drop("embedding"))
 
 
@@ -118,16 +120,15 @@ def embed_distinct(
     dim: int = DEFAULT_DIM,
     key: str = "key",
 ) -> DataFrame:
-    """(key, embedding): every distinct normalised non-blank string once.
+    """(key, n, embedding): every distinct normalised non-blank string once.
 
-    Duplicates collapse in the map tasks, so a string that makes up most rows costs
-    no more than any other.
+    ``n`` counts its rows. Duplicates collapse in the map tasks, so a string that
+    makes up most rows costs no more than any other.
     """
     keys = (
         df.select(normalize_key(text).alias(key))
         .filter(F.col(key) != "")
         .groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .drop("_n")
+        .agg(F.count("*").alias("n"))
     )
     return embed_column(keys, key, embedder=embedder, dim=dim).drop("error")

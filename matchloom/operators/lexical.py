@@ -39,8 +39,10 @@ def build_lexical_index(
     listed = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(text).alias("_terms"))
     postings = (
         listed.select(
-            "chunk_id", F.size("_terms").alias("dl"), F.explode("_terms").alias("term")
+            # The outer form: the plain one adds a filter that tokenises once more.
+            "chunk_id", F.size("_terms").alias("dl"), F.explode_outer("_terms").alias("term")
         )
+        .filter(F.col("term").isNotNull())
         # (chunk, term) is spread evenly even when one term or one chunk is hot.
         .groupBy("chunk_id", "term", "dl")
         .agg(F.count("*").alias("tf"))

@@ -1,9 +1,9 @@
 """Matching people to criteria by age and by meaning of their conditions.
 
 Patients are never compared with requirements. The distinct required strings are
-compared with the distinct condition strings of the population; the resulting
-pairs are then an ordinary equi-join, and "every requirement is met" is a bit mask
-per (criteria, patient) that is combined in the map tasks.
+compared with the distinct condition strings of the population. The resulting pairs
+turn each patient's rows into the set of requirements that patient meets, in one
+shuffle, and criteria look up candidates by their rarest requirement.
 """
 
 from __future__ import annotations
@@ -25,9 +25,6 @@ DEFAULT_THRESHOLD = 0.75
 # Public fields of a patient hit; marital status, ssn and address stay behind.
 PATIENT_FIELDS = ("age", "gender", "race", "ethnicity", "name")
 
-# Bits used per mask word (a signed BIGINT, sign bit left alone).
-WORD_BITS = 62
-
 
 def age_between(low, high) -> Column:
     """Inclusive at both ends."""
@@ -101,48 +98,42 @@ def semantic_pairs(
     ).select("req_key", "cond_key", "similarity")
 
 
-def _set_bit(bit: Column, word: int) -> Column:
-    inside = (bit >= word * WORD_BITS) & (bit < (word + 1) * WORD_BITS)
-    # shiftleft takes the distance from a column only through SQL.
-    return F.when(inside, F.call_function("shiftleft", F.lit(1).cast("bigint"), bit % WORD_BITS))
-
-
-def patients_meeting(
-    conditions: DataFrame,
-    wanted: DataFrame,
-    needed: DataFrame,
-    *,
-    max_required: int,
-    wanted_bounded: bool,
-    needed_bounded: bool,
+def met_requirements(
+    conditions: DataFrame, pairs: DataFrame, *, pairs_bounded: bool
 ) -> DataFrame:
-    """(criteria_id, patient_id) with at least ``n_required`` requirements met.
+    """(patient_id, met): the requirements each patient has a matching condition for.
 
-    ``wanted`` is (criteria_id, bit, cond_key); ``needed`` is (criteria_id,
-    n_required). Rows of one patient or one condition collapse into a mask before
-    they are shuffled.
+    The set is at most as large as the list of distinct requirements, and rows of one
+    patient or one condition collapse in the map tasks before the shuffle.
     """
     keyed = conditions.select("patient_id", normalize_key("conditions").alias("cond_key"))
     matched = lookup_join(
-        keyed, wanted, ["cond_key"], small_is_bounded=wanted_bounded
+        keyed, pairs.select("cond_key", "req_key"), ["cond_key"], small_is_bounded=pairs_bounded
     )
-    words = range(max(1, -(-max_required // WORD_BITS)))
-    masks = [F.bit_or(_set_bit(F.col("bit"), w)).alias(f"_m{w}") for w in words]
-    met = sum((F.coalesce(F.bit_count(f"_m{w}"), F.lit(0)) for w in words), start=F.lit(0))
-    per_patient = (
-        matched.groupBy("criteria_id", "patient_id")
-        .agg(*masks)
-        .select("criteria_id", "patient_id", met.alias("n_met"))
+    return matched.groupBy("patient_id").agg(F.collect_set("req_key").alias("met"))
+
+
+def anchored(criteria: DataFrame, required: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Criteria once per anchor: a requirement by which candidates are looked up.
+
+    To meet n of m requirements a patient must meet one of any m - n + 1 of them. The
+    rarest are taken, so a condition that many people have is seldom an anchor.
+    ``criteria`` has ``n_required``; adds ``wanted`` (rarest first) and ``anchor``.
+    """
+    sorted_keys = (
+        required.join(frequency, "req_key", "left")
+        .groupBy("criteria_id")
+        .agg(
+            F.array_sort(
+                F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "req_key"))
+            ).alias("_sorted")
+        )
+        .select("criteria_id", F.transform("_sorted", lambda s: s["req_key"]).alias("wanted"))
     )
+    n_anchors = F.size("wanted") - F.col("n_required") + 1
     return (
-        lookup_join(
-            per_patient,
-            needed,
-            ["criteria_id"],
-            small_is_bounded=needed_bounded
-        )
-        .filter(F.col("n_met") >= F.col("n_required"))
-        .select("criteria_id", "patient_id")
+        criteria.join(sorted_keys, "criteria_id")
+        .withColumn("anchor", F.explode(F.slice("wanted", F.lit(1), n_anchors)))
     )
 
 
@@ -158,32 +149,33 @@ def _strict_matches(
     n_criteria: int,
     widest: int,
 ) -> DataFrame:
-    bounded = n_criteria <= BROADCAST_ROWS
     required = requirements(criteria)
     distinct = required.select(F.col("req_key").alias("key")).distinct()
     req_vectors = embed_column(distinct, "key", embedder=embedder)
     if vocabulary is None:
         vocabulary = embed_distinct(conditions, "conditions", embedder=embedder)
+    # Embedding may be a model call; both results are written so that it runs once.
+    vocabulary = materialize(vocabulary, "vocabulary")
     pairs = semantic_pairs(
         req_vectors, vocabulary, threshold, required_at_most=n_criteria * widest
     )
-    # Embedding may be a model call; the pairs are written so that it runs once.
     pairs = materialize(pairs, "semantic_pairs")
-    wanted = required.join(pairs, "req_key").select("criteria_id", "bit", "cond_key")
-    passing = patients_meeting(
-        conditions,
-        wanted,
-        criteria.select("criteria_id", needed.cast("int").alias("n_required")),
-        max_required=widest,
-        wanted_bounded=is_small(wanted),
-        needed_bounded=bounded,
-    )
-    ranges = criteria.drop("required_conditions")
-    joined = lookup_join(
-        passing, ranges, ["criteria_id"], small_is_bounded=bounded
-    )
-    return joined.join(people, "patient_id").filter(
-        age_between(F.col("age_min"), F.col("age_max"))
+
+    counts = vocabulary.select(F.col("key").alias("cond_key"), "n")
+    frequency = pairs.join(counts, "cond_key").groupBy("req_key").agg(F.sum("n").alias("rows"))
+    sized = criteria.withColumn("n_required", needed.cast("int")).drop("required_conditions")
+    wanted = materialize(anchored(sized, required, frequency), "wanted")
+
+    met = met_requirements(conditions, pairs, pairs_bounded=is_small(pairs))
+    # One row per patient on both sides; the met sets are already laid out by patient.
+    candidates = met.join(people, "patient_id").withColumn("anchor", F.explode("met"))
+    candidates = lookup_join(
+        candidates, wanted, ["anchor"], small_is_bounded=is_small(wanted)
+    ).filter(age_between(F.col("age_min"), F.col("age_max")))
+    # A pair that several anchors find is kept at the first of them.
+    both = F.array_intersect("wanted", "met")
+    return candidates.filter(
+        (F.size(both) >= F.col("n_required")) & (F.get(both, F.lit(0)) == F.col("anchor"))
     )
 
 
@@ -224,7 +216,7 @@ def eligible_patients(
     gender; rows with an unknown age bound match nobody. Criteria are requests and
     are counted here; patients and conditions may be of any size. ``require='any'``
     or ``min_match`` relax how many requirements must be met. ``vocabulary`` is a
-    stored (key, embedding) table of the condition strings, if there is one.
+    stored (key, n, embedding) table of the condition strings, if there is one.
     """
     kept = ["criteria_id", "age_min", "age_max", "required_conditions"]
     known = criteria

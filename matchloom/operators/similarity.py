@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,15 +94,20 @@ class _Best:
 
 
 def _as_vectors(df: DataFrame, id_col: str, vec_col: str, id_as: str, vec_as: str) -> DataFrame:
+    """Rows without a vector are dropped by the kernels: a filter here would be pushed
+    below the embedding expression and work it out a second time."""
     vec = F.col(vec_col).cast("array<float>")
-    return df.filter(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).alias(id_as), vec.alias(vec_as)
-    )
+    return df.select(F.col(id_col).alias(id_as), vec.alias(vec_as))
+
+
+def _with_vector(rows):
+    """Arrow rows whose second column is present."""
+    return rows.filter(pc.is_valid(rows.column(1)))
 
 
 def _block(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a table known to hold at most ``BLOCK_ROWS`` rows."""
-    rows = df.toArrow().combine_chunks()
+    rows = _with_vector(df.toArrow()).combine_chunks()
     ids = np.array(rows.column(0).to_pylist(), dtype=object)
     if not len(ids):
         return ids, np.empty((0, 0))
@@ -162,7 +168,7 @@ def pairs_at_least(
         a_type, b_type = pa_type(a.schema["_a"].dataType), pa_type(b.schema["_b"].dataType)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in map(_with_vector, batches):
                 if not len(ids) or not batch.num_rows:
                     continue
                 mine = np.array(batch.column(0).to_pylist(), dtype=object)
@@ -177,7 +183,7 @@ def pairs_at_least(
     cells_a, cells_b = _grid(a, b, a.count(), right_at_most)
 
     def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        x, y, found = x.dropna(), y.dropna(), []
         if len(x) and len(y):
             va = np.stack(x["_va"].to_numpy()).astype(np.float64)
             vb = np.stack(y["_vb"].to_numpy()).astype(np.float64)
@@ -247,7 +253,7 @@ def top_k_by_dot(
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(ids), k)
             step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
-            for batch in batches:
+            for batch in map(_with_vector, batches):
                 for lo in range(0, batch.num_rows if len(ids) else 0, step):
                     part = batch.slice(lo, step)
                     mine = np.array(part.column(0).to_pylist(), dtype=object)
@@ -267,6 +273,7 @@ def top_k_by_dot(
         cells_c, cells_q = _grid(c, q, c.count(), queries_at_most)
 
         def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            x, y = x.dropna(), y.dropna()
             best = _Best(len(y), k)
             if len(x) and len(y):
                 vectors = np.stack(x["_vc"].to_numpy()).astype(np.float64)
