@@ -69,8 +69,8 @@ def write_lexical_index(index: LexicalIndex, path: str) -> None:
     spark = index.postings.sparkSession
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     size = spark.read.parquet(f"{path}/stats").first()
-    files = max(4, int((size["n_chunks"] * (size["avg_dl"] or 0)) // FILE_ROWS))
-    buckets = max(1, min(MAX_BUCKETS, files // 4))
+    files = max(8, int((size["n_chunks"] * (size["avg_dl"] or 0)) // FILE_ROWS))
+    buckets = max(1, min(MAX_BUCKETS, files // 8))
     parts = -(-files // buckets)
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
     (

@@ -8,7 +8,7 @@ shuffle, and criteria look up candidates by their rarest requirement.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_conditions, normalize_key
 from matchloom.operators.embedding import Embedder, embed_column, embed_distinct
-from matchloom.operators.scale import BROADCAST_ROWS, is_small, lookup_join
+from matchloom.operators.scale import BROADCAST_ROWS, SPREAD_ROWS, is_small, lookup_join
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
 
@@ -98,8 +98,23 @@ def semantic_pairs(
     ).select("req_key", "cond_key", "similarity")
 
 
+def _requirement_code(required: DataFrame) -> Callable[[Column | str], Column]:
+    """How a requirement is written in sets: its 64-bit hash, which is quick to
+    intersect, or the key itself in the unlikely case that two keys share a hash."""
+    keys, codes = required.agg(
+        F.count_distinct("req_key"), F.count_distinct(F.xxhash64("req_key"))
+    ).first()
+    if keys == codes:
+        return F.xxhash64
+    return lambda key: F.col(key) if isinstance(key, str) else key
+
+
 def met_requirements(
-    conditions: DataFrame, pairs: DataFrame, *, pairs_bounded: bool
+    conditions: DataFrame,
+    pairs: DataFrame,
+    *,
+    pairs_bounded: bool,
+    code: Callable[[Column | str], Column],
 ) -> DataFrame:
     """(patient_id, met): the requirements each patient has a matching condition for.
 
@@ -107,13 +122,17 @@ def met_requirements(
     patient or one condition collapse in the map tasks before the shuffle.
     """
     keyed = conditions.select("patient_id", normalize_key("conditions").alias("cond_key"))
-    matched = lookup_join(
-        keyed, pairs.select("cond_key", "req_key"), ["cond_key"], small_is_bounded=pairs_bounded
-    )
-    return matched.groupBy("patient_id").agg(F.collect_set("req_key").alias("met"))
+    coded = pairs.select("cond_key", code("req_key").alias("req"))
+    matched = lookup_join(keyed, coded, ["cond_key"], small_is_bounded=pairs_bounded)
+    return matched.groupBy("patient_id").agg(F.collect_set("req").alias("met"))
 
 
-def anchored(criteria: DataFrame, required: DataFrame, frequency: DataFrame) -> DataFrame:
+def anchored(
+    criteria: DataFrame,
+    required: DataFrame,
+    frequency: DataFrame,
+    code: Callable[[Column | str], Column],
+) -> DataFrame:
     """Criteria once per anchor: a requirement by which candidates are looked up.
 
     To meet n of m requirements a patient must meet one of any m - n + 1 of them. The
@@ -128,7 +147,7 @@ def anchored(criteria: DataFrame, required: DataFrame, frequency: DataFrame) ->
                 F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "req_key"))
             ).alias("_sorted")
         )
-        .select("criteria_id", F.transform("_sorted", lambda s: s["req_key"]).alias("wanted"))
+        .select("criteria_id", F.transform("_sorted", lambda s: code(s["req_key"])).alias("wanted"))
     )
     n_anchors = F.size("wanted") - F.col("n_required") + 1
     return (
@@ -164,19 +183,27 @@ def _strict_matches(
     counts = vocabulary.select(F.col("key").alias("cond_key"), "n")
     frequency = pairs.join(counts, "cond_key").groupBy("req_key").agg(F.sum("n").alias("rows"))
     sized = criteria.withColumn("n_required", needed.cast("int")).drop("required_conditions")
-    wanted = materialize(anchored(sized, required, frequency), "wanted")
+    code = _requirement_code(required)
+    wanted = materialize(anchored(sized, required, frequency, code), "wanted")
 
-    met = met_requirements(conditions, pairs, pairs_bounded=is_small(pairs))
+    met = met_requirements(conditions, pairs, pairs_bounded=is_small(pairs), code=code)
     # One row per patient on both sides; the met sets are already laid out by patient.
-    candidates = met.join(people, "patient_id").withColumn("anchor", F.explode("met"))
+    candidates = met.join(people, "patient_id")
+    if is_small(people, SPREAD_ROWS):
+        # Few bytes would be coalesced into one task, which then meets all criteria.
+        cores = people.sparkSession.sparkContext.defaultParallelism
+        candidates = candidates.repartition(cores, "patient_id", "age")
+    candidates = candidates.withColumn("anchor", F.explode("met"))
     candidates = lookup_join(
         candidates, wanted, ["anchor"], small_is_bounded=is_small(wanted)
     ).filter(age_between(F.col("age_min"), F.col("age_max")))
     # A pair that several anchors find is kept at the first of them.
-    both = F.array_intersect("wanted", "met")
-    return candidates.filter(
-        (F.size(both) >= F.col("n_required")) & (F.get(both, F.lit(0)) == F.col("anchor"))
+    first = F.transform(
+        F.array(F.array_intersect("wanted", "met")),
+        lambda both: (F.size(both) >= F.col("n_required"))
+        & (F.get(both, F.lit(0)) == F.col("anchor")),
     )
+    return candidates.filter(F.get(first, F.lit(0)))
 
 
 def by_age(criteria: DataFrame, people: DataFrame) -> DataFrame:
