@@ -82,8 +82,8 @@ def load_trials(spark: SparkSession, path: str, layout: str = "auto") -> DataFra
       ``lines``   each line is a map, usually of one record; splits freely;
       ``object``  one map per file, parsed whole by one task per file;
       ``split``   one map on one line, cut at the record separator, so that a file of
-                  any size is read by many tasks. A record that does not parse, which
-                  means the file is laid out differently, raises.
+                  any size is read by many tasks. A text that happens to contain the
+                  separator would be cut, does not parse, and raises.
       ``auto``    ``object`` for files up to 64 MiB, otherwise ``split``.
     """
     if layout == "auto":
