@@ -128,9 +128,16 @@ def bm25_scores(index: LexicalIndex, terms: DataFrame, *, k1: float = K1, b: flo
     )
 
 
-def bm25_top_k(index: LexicalIndex, terms: DataFrame, k: int, **params) -> DataFrame:
-    """(query_id, chunk_id, score, rank): best ``k`` chunks per query, ties by id."""
+def bm25_top_k(
+    index: LexicalIndex, terms: DataFrame, k: int, *, allowed: DataFrame | None = None, **params
+) -> DataFrame:
+    """(query_id, chunk_id, score, rank): best ``k`` chunks per query, ties by id.
+
+    ``allowed`` (chunk_id) restricts the result; the statistics stay those of the
+    whole corpus.
+    """
+    scores = bm25_scores(index, terms, **params)
+    if allowed is not None:
+        scores = scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    return top_k_per_group(
-        bm25_scores(index, terms, **params), ["query_id"], order, k, salt_by=["chunk_id"]
-    )
+    return top_k_per_group(scores, ["query_id"], order, k, salt_by=["chunk_id"])

@@ -17,7 +17,7 @@ from matchloom.operators.matching import (
     eligible_patients,
     nest_conditions,
 )
-from matchloom.operators.scale import is_small, top_k_per_group
+from matchloom.operators.scale import is_small, lookup_join, top_k_per_group
 from matchloom.storage import materialize
 
 DEFAULT_LIMIT = 100
@@ -83,11 +83,18 @@ def match_cohorts(
     histogram = eligible.groupBy(*by).agg(F.count("*").alias("_n"))
     wanted = by_age(asked, histogram).select("criteria_id", "profile", "_limit", "age")
 
-    counts = wanted.join(histogram, by).groupBy("criteria_id").agg(F.sum("_n").alias("eligible"))
+    # Very many criteria may share one profile, so they are the large side here.
+    counts = (
+        lookup_join(wanted, histogram, by, small_is_bounded=is_small(histogram))
+        .groupBy("criteria_id")
+        .agg(F.sum("_n").alias("eligible"))
+    )
     first = top_k_per_group(
         eligible, by, [F.col("patient_id")], facts["widest"], rank="_in_age", salt_by=["patient_id"]
     ).drop("_in_age")
-    candidates = first.join(wanted.filter(F.col("_limit") > 0), by).drop("profile")
+    candidates = lookup_join(
+        wanted.filter(F.col("_limit") > 0), first, by, small_is_bounded=is_small(first)
+    ).drop("profile")
     matched = (
         top_k_per_group(
             candidates, ["criteria_id"], [F.col("patient_id")], facts["widest"],

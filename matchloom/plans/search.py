@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators import lexical
@@ -65,19 +65,23 @@ def rank_chunks(
     legs: tuple[str, ...] = LEGS,
     embedder: Embedder | None = None,
     queries_at_most: int | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): fused top ``k`` chunks of every query.
 
-    ``queries`` has query_id and query. Each leg contributes ``pool`` rows.
+    ``queries`` has query_id and query. Each leg contributes ``pool`` rows. ``keep``
+    is a predicate on the chunk table that both legs obey.
     """
     pool = pool or k
+    chunks = index.chunks if keep is None else index.chunks.filter(keep)
     ranked = []
     if "dense" in legs:
         vectors = embed_column(queries, "query", embedder=embedder)
-        ranked.append(top_k_by_dot(vectors, index.chunks, pool, queries_at_most=queries_at_most))
+        ranked.append(top_k_by_dot(vectors, chunks, pool, queries_at_most=queries_at_most))
     if "sparse" in legs:
         terms = lexical.query_terms(queries, "query_id", "query")
-        ranked.append(lexical.bm25_top_k(index.lexical, terms, pool))
+        allowed = None if keep is None else chunks
+        ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, allowed=allowed))
     return rrf_fuse(*ranked, k=k)
 
 
@@ -108,10 +112,9 @@ def search_trials(
     for name, kind in (("phase", "string"), ("status", "string"), ("min_enrollment", "bigint")):
         if name not in asked.columns:
             asked = asked.withColumn(name, F.lit(None).cast(kind))
-    if filter_mode == "pre":
-        index = _pre_filtered(index, asked)
-    elif filter_mode != "post":
+    if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode is 'post' or 'pre'")
+    keep = _shared_filter(asked) if filter_mode == "pre" else None
 
     hits = rank_chunks(
         index,
@@ -121,6 +124,7 @@ def search_trials(
         legs=legs,
         embedder=embedder,
         queries_at_most=n_requests,
+        keep=keep,
     )
     chunks = index.chunks.drop("embedding", "error")
     # Every hit is a chunk of this table, so an inner join loses none.
@@ -147,20 +151,14 @@ def search_trials(
     return enrich_trials(best, index.trials, hits_bounded=bounded) if enrich else best
 
 
-def _pre_filtered(index: SearchIndex, requests: DataFrame) -> SearchIndex:
+def _shared_filter(requests: DataFrame) -> Column | None:
     filters = requests.select("phase", "status", "min_enrollment").distinct().take(2)
     if len(filters) > 1:
         raise ValueError("requests of one 'pre' search must share their filters")
     if not filters:
-        return index
+        return None
     phase, status, minimum = filters[0]
-    keep = phase_status_filter(phase, status) & min_enrollment_filter(minimum)
-    chunks = index.chunks.filter(keep)
-    # The kept ids are as many as the chunks themselves: never broadcast.
-    postings = index.lexical.postings.join(
-        chunks.select("chunk_id").hint("shuffle_merge"), "chunk_id", "left_semi"
-    )
-    return index._replace(chunks=chunks, lexical=index.lexical._replace(postings=postings))
+    return phase_status_filter(phase, status) & min_enrollment_filter(minimum)
 
 
 def search_summary(requests: DataFrame, hits: DataFrame) -> DataFrame:
