@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_conditions, normalize_key
 from matchloom.operators.embedding import Embedder, embed_column, embed_distinct
-from matchloom.operators.scale import BROADCAST_ROWS, SPREAD_ROWS, is_small, lookup_join
+from matchloom.operators.scale import SPREAD_ROWS, is_small, lookup_join
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
 
