@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from checks.compare import compare, duck
+from checks.spark_queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ def connection():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, connection, name):
     assert compare(spark, connection, SF, name) == ""
 
