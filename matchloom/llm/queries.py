@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import fingerprint, license, mixing
+from matchloom.llm import fingerprint, license, mixing, substring
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -33,3 +33,8 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_digests(_table(spark, sf_dir, "documents"))
