@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import fingerprint, license, mixing, substring
+from matchloom.llm import fingerprint, license, mixing, packing, substring
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -38,3 +39,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_digests(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
