@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from matchloom.llm import fingerprint, license, mixing, packing, substring
+from matchloom.llm import fingerprint, license, mixing, packing, substring, warc
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -46,3 +46,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
+
+
+@query
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
