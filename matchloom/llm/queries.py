@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from matchloom.llm import fingerprint, license, mixing, packing, substring, warc
+from matchloom.llm import fingerprint, knn, license, mixing, packing, substring, warc
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -51,3 +52,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
