@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import fingerprint, knn, license, mixing, packing, substring, warc
+from matchloom.llm import fingerprint, knn, license, mixing, packing, quality, substring, warc
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -57,3 +57,11 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels")).select(
+        "doc.doc_id", "held_out", "score", "predicted", "n_passages"
+    )
