@@ -56,13 +56,13 @@ class Layout:
             }
         )
 
-    def receive(self, replies: pa.Table, ordered: np.ndarray) -> np.ndarray:
-        """The bits that came back, in the order of the hashes sent."""
-        cuts, out = self.cuts(ordered), np.zeros(len(ordered), bool)
+    def receive(self, replies: pa.Table, ordered: np.ndarray, bits: bool = True) -> np.ndarray:
+        """The bits or bytes that came back, in the order of the hashes sent."""
+        cuts, out = self.cuts(ordered), np.zeros(len(ordered), np.uint8)
         for bucket, payload in zip(replies["bucket"].to_pylist(), replies["payload"].to_pylist()):
-            a, b = cuts[bucket], cuts[bucket + 1]
-            out[a:b] = np.unpackbits(np.frombuffer(payload, np.uint8), count=b - a).astype(bool)
-        return out
+            a, b, found = cuts[bucket], cuts[bucket + 1], np.frombuffer(payload, np.uint8)
+            out[a:b] = np.unpackbits(found, count=b - a) if bits else found
+        return out.astype(bool) if bits else out
 
 
 def batched(docs: DataFrame, layout: Layout) -> DataFrame:
@@ -79,17 +79,34 @@ def in_other_batches(sent: DataFrame) -> DataFrame:
     """For each piece sent, one bit per hash: does another batch send the same hash?"""
 
     def judge(table: pa.Table) -> pa.Table:
-        pieces = [np.frombuffer(p, np.uint64) for p in table["payload"].to_pylist()]
-        ordered = np.sort(np.concatenate(pieces))
-        twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        bits = []
-        for piece in pieces:
-            at = np.searchsorted(twice, piece)
-            at[at == len(twice)] = 0
-            hit = twice[at] == piece if len(twice) else np.zeros(len(piece), bool)
-            bits.append(np.packbits(hit).tobytes())
-        return pa.table(
-            {"bucket": table["bucket"], "batch": table["batch"], "payload": pa.array(bits, pa.binary())}
-        )
+        return _reply(table, lambda n: np.packbits(n > 1))
+
+    return sent.groupBy("bucket").applyInArrow(judge, SENT)
+
+
+def batches_holding(sent: DataFrame) -> DataFrame:
+    """For each piece sent, one byte per hash: how many batches send it, 255 at most."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        return _reply(table, lambda n: np.minimum(n, 255).astype(np.uint8))
 
     return sent.groupBy("bucket").applyInArrow(judge, SENT)
+
+
+def _reply(table: pa.Table, encode) -> pa.Table:
+    pieces = [np.frombuffer(p, np.uint64) for p in table["payload"].to_pylist()]
+    ordered = np.sort(np.concatenate(pieces))
+    # Where runs of an equal hash begin, of those that have more than one.
+    begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    counts = np.diff(np.append(begins, len(ordered)))
+    several, counts = ordered[begins[counts > 1]], counts[counts > 1]
+    replies = []
+    for piece in pieces:
+        n = np.ones(len(piece), np.int64)
+        if len(several):
+            at = np.minimum(np.searchsorted(several, piece), len(several) - 1)
+            n = np.where(several[at] == piece, counts[at], 1)
+        replies.append(encode(n).tobytes())
+    return pa.table(
+        {"bucket": table["bucket"], "batch": table["batch"], "payload": pa.array(replies, pa.binary())}
+    )

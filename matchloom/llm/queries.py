@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import fingerprint, knn, license, mixing, packing, quality, substring, warc
+from matchloom.llm import fingerprint, jaccard, knn, license, mixing, packing, quality, substring, warc
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -65,3 +65,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, _table(spark, sf_dir, "labels")).select(
         "doc.doc_id", "held_out", "score", "predicted", "n_passages"
     )
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
