@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import fingerprint, jaccard, knn, license, mixing, packing, quality, substring, warc
+from matchloom.llm import fingerprint, jaccard, knn, license, mixing, packing, quality, substring, suffix, warc
 
 REGISTRY = {}
 # None of the ten can be written in SQL; tests hold them against brute force.
@@ -70,3 +70,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digests(_table(spark, sf_dir, "documents"))
