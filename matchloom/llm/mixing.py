@@ -32,10 +32,12 @@ FAN_IN = 256
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each text."""
+    """doc_id, source, the number of words of each text and a hash of it."""
     trimmed = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     n = F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+")))
-    return docs.select("doc_id", "source", n.cast("bigint").alias("size"))
+    return docs.select(
+        "doc_id", "source", n.cast("bigint").alias("size"), F.xxhash64("text").alias("text_hash")
+    )
 
 
 def source_targets(
@@ -109,7 +111,7 @@ def _settle(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator)
 def _round_group(seed: int, level: int, last: bool):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         # Large documents first, so that what stays open is small.
-        group = group.sort_values(["size", "doc_id", "_row"], ascending=[False, True, True])
+        group = group.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True])
         source = group["source"].iloc[0]
         key = "" if source is None or pd.isna(source) else f"s{source}"
         node = int(group["_node"].iloc[0])
@@ -134,7 +136,7 @@ def mix_sources(
     group_rows: int = GROUP_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies; one row per input row."""
+    """doc_id, size, source_size, target, taken, copies, source, text_hash; a row per input row."""
     sizes = materialize(document_sizes(docs), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, cap), "mix-targets")
     small = targets.count() <= BROADCAST_ROWS
@@ -148,10 +150,8 @@ def mix_sources(
         .withColumn("_rate", F.when(F.col("source_size") > 0, share).otherwise(F.lit(0.0)))
         .withColumn("_whole", F.floor("_rate").cast("bigint"))
         .withColumn("chance", F.when(F.col("size") > 0, F.col("_rate") - F.col("_whole")).otherwise(0.0))
-        # Only breaks ties between equal rows of a group.
-        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_nodes", F.ceil(F.col("n_docs") / group_rows).cast("bigint"))
-        .withColumn("_node", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "_nodes"))
+        .withColumn("_node", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), "_nodes"))
         .drop("n_docs")
     )
     widest = targets.agg(F.max(F.ceil(F.col("n_docs") / group_rows))).first()[0] or 1
@@ -179,4 +179,5 @@ def mix_sources(
     return settled.select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source",
+        "text_hash",
     )

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchloom.llm.exchange import SENT, Layout, batched, in_other_batches
 from matchloom.llm.flat import Texts, Words, covered
@@ -27,10 +28,11 @@ from matchloom.llm.flat import Texts, Words, covered
 WIDTH = 35
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, as_is: bool = False) -> DataFrame:
     """Columns ``doc`` (all but the text), ``n_words``, ``n_removed`` and ``kept``.
 
-    ``kept`` joins the kept words by one space. One row per input row.
+    ``kept`` joins the kept words by one space; with ``as_is``, texts that lose nothing
+    keep their own white space. One row per input row.
     """
     layout = Layout.of(docs)
     batches = batched(docs, layout)
@@ -56,10 +58,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         n_removed = before[words.first[1:]] - before[words.first[:-1]]
         kept = []
         for i, n in enumerate(n_removed):
-            own = texts.text(i).split()
+            text = texts.text(i)
+            own = text.split()
             if n:
                 own = compress(own, ~gone[words.first[i] : words.first[i + 1]])
-            kept.append(b" ".join(own))
+            kept.append(text if as_is and not n else b" ".join(own))
         return pa.table(
             {
                 "doc": table["doc"],
@@ -74,8 +77,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         + [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")]
         + [T.StructField("kept", T.StringType())]
     )
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
     replies = in_other_batches(batches.groupBy("batch").applyInArrow(send, SENT))
     return (
