@@ -14,8 +14,10 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +32,37 @@ CAPACITY = 4096
 END_ID = 1
 # Rows of one length that are numbered in one task.
 RANK_ROWS = 1 << 16
-# Words whose ids a task remembers; the memory starts anew beyond.
-KNOWN_WORDS = 400_000
+# Words whose ids a task remembers, and half as many pieces; it starts anew beyond.
+KNOWN_WORDS = 1_000_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+# Words of these characters alone are unchanged by Unicode composition; lower-cased, the
+# tokenizer cuts them at the places that PIECE matches. Fixed values of its file.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
 class WordEncoder:
-    """Ids of texts, word by word, remembering each word's ids.
+    """Ids of texts, word by word, remembering the ids of words and of their pieces.
 
-    Right for tokenizers that never join bytes across white space.
+    Right for tokenizers that never join bytes across white space. ``pieces`` says that
+    the tokenizer lower-cases and cuts plain words as ``PIECE`` does; others are encoded
+    whole, as are words with a special token in them.
     """
 
-    def __init__(self, path: str, limit: int = KNOWN_WORDS) -> None:
+    def __init__(self, path: str, limit: int = KNOWN_WORDS, pieces: bool | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer, self._limit = Tokenizer.from_file(path), limit
+        self._model = self._tokenizer.model
+        self._pieces = os.path.basename(path) == "word_bpe_49k.json" if pieces is None else pieces
+
+        letters = {chr(c) for c in range(33, 127)} | {chr(c) for c in range(192, 256)}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
+        self._known: dict[str, tuple[int, ...]] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -53,13 +70,33 @@ class WordEncoder:
         self._first = np.zeros(1, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
+    def _whole(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece, straight from the merges."""
+        known = self._known.get(piece)
+        if known is None:
+            if len(self._known) >= self._limit // 2:
+                self._known = {}
+            merged = self._model.tokenize(piece.translate(self._bytes))
+            known = self._known[piece] = tuple([t.id for t in merged])
+        return known
+
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for word in words:
+            text = word.decode()
+            if self._pieces and PLAIN.fullmatch(text) and "<|" not in text:
+                parts = PIECE.findall(text.lower())
+                ids = self._piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._piece(p)]
+            else:
+                ids = self._whole(text)
+            found.append(ids)
         self._index.update(zip(words, range(len(self._index), len(self._index) + len(words))))
         ends = self._first[-1] + np.cumsum([len(x) for x in found])
         self._first = np.concatenate([self._first, ends])
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
         self._ids = np.concatenate([self._ids, flat])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -69,7 +106,7 @@ class WordEncoder:
             self._forget()
             new = {w for words in split for w in words}
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         for words in split:
             at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
             first, n = self._first[at], self._first[at + 1] - self._first[at]
