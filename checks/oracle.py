@@ -413,8 +413,28 @@ QUERIES: dict[str, str] = {
     "scan_trials_json": """
         SELECT nct_id, document AS text, conditions, phase, status, enrollment FROM studies""",
     "sink_overwrite": "SELECT * FROM patients",
-    "sink_append": "SELECT chunk_id, nct_id, chunk_index FROM chunks",
-    "incremental_new_chunks": "SELECT chunk_id, nct_id, chunk_index FROM chunks WHERE chunk_index > 0",
+    "scan_trials_object": """
+        SELECT nct_id, document AS text, conditions, phase, status, enrollment FROM studies""",
+    "trial_table_numbers": """
+        SELECT nct_id, CASE WHEN doc_id % 3 < 2 THEN enrollment END AS enrollment FROM studies""",
+    "load_all": """
+        SELECT 'demographics' AS table_name, 2 * count(*) AS rows_read, count(*) AS added,
+               count(*) AS skipped, 0::BIGINT AS not_found FROM patients
+        UNION ALL
+        SELECT 'conditions', count(*), count(p.patient_id) FILTER (c.conditions IS NOT NULL),
+               count(p.patient_id) FILTER (c.conditions IS NULL), count(*) - count(p.patient_id)
+        FROM (SELECT patient_id, conditions FROM gaps UNION ALL SELECT patient_id, conditions FROM gaps
+              UNION ALL SELECT -patient_id, conditions FROM gaps) c LEFT JOIN patients p USING (patient_id)
+        UNION ALL
+        SELECT 'trials', count(*), count(*), 0, 0 FROM studies""",
+    "load_all_conditions": """
+        SELECT patient_id, conditions
+        FROM (SELECT patient_id, conditions FROM gaps UNION ALL SELECT patient_id, conditions FROM gaps
+              UNION ALL SELECT -patient_id, conditions FROM gaps)
+        WHERE conditions IS NOT NULL AND patient_id IN (SELECT patient_id FROM patients)""",
+    "sink_append": "SELECT chunk_id, nct_id, chunk_index, text, 64 AS dim FROM chunks",
+    "incremental_new_chunks": """
+        SELECT chunk_id, nct_id, chunk_index, text, 64 AS dim FROM chunks WHERE chunk_index > 0""",
     "incremental_stream": "SELECT chunk_id, nct_id, chunk_index, text FROM chunks",
     "dedupe_rows": """
         SELECT DISTINCT * FROM (SELECT * FROM patient_conditions UNION ALL
@@ -458,6 +478,9 @@ QUERIES: dict[str, str] = {
     "parse_outcomes": f"""
         SELECT *, 'PRIMARY' AS kind FROM ({_LISTED.format('primary_outcomes')}) UNION ALL
         SELECT *, 'SECONDARY' AS kind FROM ({_LISTED.format('secondary_outcomes')})""",
+    "parse_outcomes_spacing": """
+        SELECT nct_id, primary_outcomes[1] AS primary_items,
+               array_to_string(secondary_outcomes, '|') AS secondary_items FROM sections""",
     "chunk_overview": """
         SELECT nct_id, 0 AS pos, concat('Title: ', title, chr(10), 'Conditions: ', conditions) AS text
         FROM sections""",
@@ -487,6 +510,8 @@ QUERIES: dict[str, str] = {
         SELECT doc_id, CASE WHEN length(text) <= 8000 THEN length(text) END::INT AS length,
                CASE WHEN length(text) > 8000 THEN 'ValueError: text too long for the model' END AS error
         FROM documents""",
+    "index_quarantine": """
+        SELECT chunk_id, length(text) > 1500 AS rejected, count(*) OVER () AS counted FROM chunks""",
     "dense_topk": "SELECT query_id, chunk_id, score, rank FROM label_20 WHERE rank <= 10",
     "bm25_postings": f"""
         SELECT term, chunk_id, count(*) AS tf, any_value(dl) AS dl FROM (
@@ -520,7 +545,7 @@ QUERIES: dict[str, str] = {
     "candidate_conditions": """
         SELECT * FROM patient_conditions
         WHERE patient_id IN (SELECT patient_id FROM patients WHERE age BETWEEN 40 AND 70)""",
-    "group_conditions": _COUNTED,
+    "group_conditions": f"SELECT *, 0 AS page FROM ({_COUNTED})",
     "semantic_pairs": f"""
         SELECT r.req AS req_key, v.key AS cond_key,
                round(sum(CAST(r.x AS DOUBLE) * CAST(v.x AS DOUBLE)), 6) AS similarity
@@ -535,7 +560,7 @@ QUERIES: dict[str, str] = {
         JOIN patient_conditions ON lower(conditions) = cond
         JOIN patients USING (patient_id) WHERE age BETWEEN 40 AND 70""",
     "find_eligible_patients": f"""
-        SELECT patient_id, age, gender, race, ethnicity, name, conditions
+        SELECT patient_id, age, gender, race, ethnicity, name, conditions, 0 AS page
         FROM (SELECT * FROM one_matches JOIN patients USING (patient_id)
               WHERE age BETWEEN 40 AND 70 ORDER BY patient_id LIMIT 100)
         JOIN ({_COUNTED}) USING (patient_id)""",
@@ -585,7 +610,8 @@ QUERIES: dict[str, str] = {
     "trials_like": "SELECT nct_id, conditions FROM trials WHERE conditions LIKE '%gizmo%'",
     "patients_left_join": """
         SELECT p.patient_id, p.name, p.age, c.conditions FROM patients p
-        LEFT JOIN (SELECT * FROM patient_conditions WHERE conditions LIKE 'hot%') c USING (patient_id)""",
+        LEFT JOIN patient_conditions c ON p.patient_id = CASE WHEN c.patient_id % 10 = 0
+          THEN -c.patient_id ELSE c.patient_id END""",
     "patient_with_conditions": """
         SELECT patient_id, name, age, conditions FROM patients JOIN patient_conditions USING (patient_id)""",
     "filter_limit_offset": """

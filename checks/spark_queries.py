@@ -24,7 +24,7 @@ from matchloom.operators import (
     scale,
     similarity,
 )
-from matchloom.plans import analysis, cohort, search
+from matchloom.plans import analysis, cohort, load, search
 from matchloom.sources import sinks, tables
 from matchloom.storage import materialize, new_table_path
 from matchloom.streaming import incremental
@@ -127,14 +127,83 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @query
 def scan_patients(spark: SparkSession, sf: str) -> DataFrame:
-    people = tables.require_columns(view(spark, sf, "patients"), ("patient_id", "age", "gender"))
+    """Through the nine-column file, with every row twice and incomplete rows besides."""
+    people = tables.clean_demographics(_demographics_file(spark, sf))
     return people.select("patient_id", "age", "gender", "race", "ethnicity", "name")
 
 
+def _demographics_file(spark: SparkSession, sf: str) -> DataFrame:
+    people = view(spark, sf, "patients").withColumns(
+        {"marital": F.lit("S"), "ssn": F.lit("1"), "address": F.lit("a")}
+    ).select(*tables.DEMOGRAPHICS_COLUMNS)
+    path = new_table_path(spark, "demographics")
+    broken = people.withColumn("name", F.lit(None).cast("string"))
+    people.unionByName(people).unionByName(broken).write.parquet(path)
+    return tables.load_demographics(spark, path, file_order=True)
+
+
 @query
 def scan_conditions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "patient_conditions")
-    return tables.require_columns(rows, tables.CONDITIONS_COLUMNS).select("patient_id", "conditions")
+    return _conditions_file(spark, view(spark, sf, "patient_conditions"))
+
+
+def _conditions_file(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    path = new_table_path(spark, "conditions")
+    rows.select(*tables.CONDITIONS_COLUMNS).write.parquet(path)
+    return tables.load_conditions(spark, path)
+
+
+@query
+def load_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The three reports of a load with doubled, incomplete and orphaned rows."""
+    rows = _with_gaps(spark, sf)
+    orphans = rows.withColumn("patient_id", -F.col("patient_id"))
+    conditions = _conditions_file(spark, rows.unionByName(rows).unionByName(orphans))
+    loaded = load.load_all(_demographics_file(spark, sf), conditions, _loaded_trials(spark, sf))
+    return loaded.reports
+
+
+@query
+def load_all_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """The condition rows that such a load keeps."""
+    rows = _with_gaps(spark, sf)
+    orphans = rows.withColumn("patient_id", -F.col("patient_id"))
+    conditions = _conditions_file(spark, rows.unionByName(rows).unionByName(orphans))
+    return load.load_all(_demographics_file(spark, sf), conditions, _loaded_trials(spark, sf)).conditions
+
+
+def _loaded_trials(spark: SparkSession, sf: str) -> DataFrame:
+    record = F.create_map("nct_id", F.struct("document", "metadata"))
+    path = new_table_path(spark, "trials_json")
+    _metadata(spark, sf).select(F.to_json(record).alias("value")).write.text(path)
+    return tables.trial_table(tables.load_trials(spark, path, layout="lines"))
+
+
+@query
+def scan_trials_object(spark: SparkSession, sf: str) -> DataFrame:
+    """One map a file, and the metadata before the document."""
+    record = F.struct(F.col("nct_id").alias("key"), F.struct("metadata", "document").alias("value"))
+    path = new_table_path(spark, "trials_object")
+    part = F.pmod(F.xxhash64("nct_id"), F.lit(8))
+    maps = _metadata(spark, sf).groupBy(part).agg(
+        F.to_json(F.map_from_entries(F.collect_list(record))).alias("value")
+    )
+    maps.select("value").repartition(8, "value").write.option("maxRecordsPerFile", 1).text(path)
+    loaded = tables.trial_table(tables.load_trials(spark, path))
+    return loaded.select("nct_id", "text", "conditions", "phase", "status", "enrollment")
+
+
+@query
+def trial_table_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Enrollment written as 120.0, 120.5 and NA."""
+    kind = F.col("doc_id") % 3
+    text = F.col("enrollment").cast("string")
+    text = F.when(kind == 0, F.concat(text, F.lit(".0"))).when(kind == 1, F.concat(text, F.lit(".5")))
+    studies = view(spark, sf, "studies").select(
+        "nct_id", "document",
+        F.create_map(F.lit("enrollment"), F.coalesce(text, F.lit("NA"))).alias("metadata"),
+    )
+    return tables.trial_table(studies).select("nct_id", "enrollment")
 
 
 @query
@@ -158,19 +227,22 @@ def sink_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sink_append(spark: SparkSession, sf: str) -> DataFrame:
     path = new_table_path(spark, "chunks")
-    chunks = _index(spark, sf).chunks.select("chunk_id", "nct_id", "chunk_index")
+    chunks = _index(spark, sf).chunks.select("chunk_id", "nct_id", "chunk_index", "text", "embedding")
     sinks.append_chunks(chunks.filter(F.col("chunk_index") == 0), path, buckets=8)
     sinks.append_chunks(chunks.filter(F.col("chunk_index") > 0), path, buckets=8)
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path).select(
+        "chunk_id", "nct_id", "chunk_index", "text", F.size("embedding").alias("dim")
+    )
 
 
 @query
 def incremental_new_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The overview chunks are stored; a run over all chunks must add just the others."""
     path = new_table_path(spark, "chunks")
-    chunks = _index(spark, sf).chunks.select("chunk_id", "nct_id", "chunk_index")
+    chunks = _index(spark, sf).chunks.select("chunk_id", "nct_id", "chunk_index", "text", "embedding")
     sinks.append_chunks(chunks.filter(F.col("chunk_index") == 0), path, buckets=8)
-    return sinks.new_chunks(chunks, sinks.stored_chunks(spark, path), buckets=8)
+    fresh = sinks.new_chunks(chunks, sinks.stored_chunks(spark, path))
+    return fresh.select("chunk_id", "nct_id", "chunk_index", "text", F.size("embedding").alias("dim"))
 
 
 @query
@@ -178,9 +250,10 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     """All studies through the stream, then a second run that must add nothing."""
     arriving = materialize(view(spark, sf, "studies").select("nct_id", "document"), "arriving")
     folder, path = arriving.inputFiles()[0].rsplit("/", 1)[0], new_table_path(spark, "chunks")
+    checkpoint = new_table_path(spark, "stream")
     for _ in range(2):
         stream = incremental.follow_documents(
-            incremental.read_documents(spark, folder), path, buckets=8
+            incremental.read_documents(spark, folder), path, checkpoint=checkpoint, buckets=8
         )
         stream.awaitTermination()
     return spark.read.parquet(path).drop("bucket")
@@ -329,6 +402,21 @@ def parse_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return primary.unionByName(secondary)
 
 
+@query
+def parse_outcomes_spacing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same outcomes with no-break spaces, all on one line."""
+    text = F.concat(
+        F.lit("-\u00a0PRIMARY:\u00a0"), F.element_at("primary_outcomes", 1),
+        F.lit(" -\u2003SECONDARY:"), F.concat_ws("\u00a0- SECONDARY: ", "secondary_outcomes"),
+    )
+    lined = _sections(spark, sf).select("nct_id", text.alias("line"))
+    return lined.select(
+        "nct_id",
+        F.array_join(chunking.split_outcomes("line", "PRIMARY"), "|").alias("primary_items"),
+        F.array_join(chunking.split_outcomes("line", "SECONDARY"), "|").alias("secondary_items"),
+    )
+
+
 @query
 def chunk_overview(spark: SparkSession, sf: str) -> DataFrame:
     parts = chunking.overview_chunks(chunking.DEFAULT_MAX_LENGTH)
@@ -406,14 +494,14 @@ def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _picky_model():
+def _picky_model(most: int = 8000):
     """A stand-in model that refuses some texts, as a function that travels by value."""
 
     def load():
         import numpy as np
 
         def encode(texts):
-            if any(len(t) > 8000 for t in texts):
+            if any(len(t) > most for t in texts):
                 raise ValueError("text too long for the model")
             return np.array([[len(t), t.count(" ")] for t in texts], dtype="float32")
 
@@ -426,7 +514,8 @@ def _picky_model():
 def embed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     documents = view(spark, sf, "documents").select("doc_id", "text")
     embedded = embedding.embed_column(
-        documents, "text", embedder=_picky_model(), partitions=8, spread_by=["doc_id"]
+        documents, "text", embedder=_picky_model(), partitions=8, spread_by=["doc_id"],
+        tolerate=(ValueError,),
     )
     split = embedding.split_embedded(materialize(embedded, "embedded"))
     good = split.good.select("doc_id", F.element_at("embedding", 1).cast("int").alias("length"))
@@ -435,6 +524,21 @@ def embed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def index_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk is in the index or among the rejected, with a model that refuses long ones."""
+    path = new_table_path(spark, "picky_index")
+    counts = search.write_search_index(
+        _study_chunks(spark, sf), path, embedder=_picky_model(1500), tolerate=(ValueError,)
+    )
+    good = search.read_search_index(spark, path, _trials(spark, sf)).chunks.select("chunk_id")
+    bad = search.rejected_chunks(spark, path).select("chunk_id")
+    return (
+        good.withColumn("rejected", F.lit(False)).unionByName(bad.withColumn("rejected", F.lit(True)))
+        .withColumn("counted", F.lit(counts.indexed + counts.rejected).cast("bigint"))
+    )
+
+
 # --- trial search ----------------------------------------------------------------
 
 
@@ -593,7 +697,7 @@ def group_conditions(spark: SparkSession, sf: str) -> DataFrame:
     counted = matching.count_conditions(view(spark, sf, "patient_conditions"))
     nested = matching.nest_conditions(counted)
     text = F.transform("conditions", lambda c: F.concat(c["condition"], F.lit(" x"), c["n"]))
-    return nested.select("patient_id", F.array_join(text, "; ").alias("conditions"))
+    return nested.select("patient_id", "page", F.array_join(text, "; ").alias("conditions"))
 
 
 @query
@@ -651,7 +755,7 @@ def find_eligible_patients(spark: SparkSession, sf: str) -> DataFrame:
     )
     text = F.transform("conditions", lambda c: F.concat(c["condition"], F.lit(" x"), c["n"]))
     return hits.select(
-        "patient_id", "age", "gender", "race", "ethnicity", "name",
+        "patient_id", "age", "gender", "race", "ethnicity", "name", "page",
         F.array_join(text, "; ").alias("conditions"),
     )
 
@@ -830,8 +934,10 @@ def trials_like(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def patients_left_join(spark: SparkSession, sf: str) -> DataFrame:
-    few = view(spark, sf, "patient_conditions").filter(F.col("conditions").startswith("hot"))
-    return relational.patients_with_conditions(view(spark, sf, "patients"), few)
+    """All condition rows but those whose patient number was turned into no one's."""
+    lost = F.when(F.col("patient_id") % 10 == 0, -F.col("patient_id")).otherwise(F.col("patient_id"))
+    rows = view(spark, sf, "patient_conditions").withColumn("patient_id", lost)
+    return relational.patients_with_conditions(view(spark, sf, "patients"), rows)
 
 
 @query

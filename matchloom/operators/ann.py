@@ -15,29 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.vectors import l2_normalize
-from matchloom.operators.scale import sample_exact
 from matchloom.operators.similarity import top_k_by_dot
 
-# Training vectors per cell; the centroids of a partition need no more.
-TRAIN_PER_CELL = 256
-
 
 def train_cells(
     corpus: DataFrame,
     n_cells: int,
     *,
-    id_col: str = "chunk_id",
     vec_col: str = "embedding",
     seed: int = 42,
     iterations: int = 10,
 ) -> np.ndarray:
-    """Unit-length centroids. They steer the search only; every row stays searchable.
-
-    Trained on a fixed number of vectors per cell (all of them in a small corpus).
-    """
-    vectors = corpus.filter(F.col(vec_col).isNotNull()).select(id_col, vec_col)
-    sample = sample_exact(vectors, id_col, n_cells * TRAIN_PER_CELL, seed, strict=False)
-    features = sample.select(
+    """Unit-length centroids of all vectors. They steer the search only."""
+    vectors = corpus.filter(F.col(vec_col).isNotNull())
+    features = vectors.select(
         array_to_vector(l2_normalize(vec_col).cast("array<double>")).alias("features")
     )
     model = KMeans(k=n_cells, seed=seed, maxIter=iterations).fit(features)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.functions.text import _col, extract_between, single_spaced, strip
+from matchloom.functions.text import WHITESPACE, _col, extract_between, single_spaced, strip
 from matchloom.operators.quality import Split
 
 DEFAULT_MAX_LENGTH = 4096
@@ -23,8 +23,12 @@ CONDITIONS = "Conditions:"
 LOCATIONS = "Locations:"
 INTERVENTIONS = "Interventions:"
 OUTCOMES = "Outcomes:"
+# Java's \\s knows the ASCII white space only, so the characters are listed.
+_GAP = f"[{WHITESPACE}]*"
 # Fixed value: an outcome item runs to the next marker or to the end of the text.
-OUTCOME_PATTERN = r"(?s)-\s*(PRIMARY|SECONDARY):\s*(.+?)(?=\s*-\s*(?:PRIMARY|SECONDARY):|$)"
+OUTCOME_PATTERN = (
+    f"(?s)-{_GAP}(PRIMARY|SECONDARY):{_GAP}(.+?)(?={_GAP}-{_GAP}(?:PRIMARY|SECONDARY):|$)"
+)
 # Fixed value: with this much room or less behind the header, text is cut to it.
 MIN_ROOM = 100
 

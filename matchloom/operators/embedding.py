@@ -41,7 +41,13 @@ def embed_input(text: Column | str, metadata: Column | None = None) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), body)
 
 
-def _model_column(text: Column, embedder: Embedder, batch_size: int) -> Column:
+# Errors that concern one text and not the model. Anything else fails the job.
+TOLERATED: tuple[type[BaseException], ...] = (MemoryError,)
+
+
+def _model_column(
+    text: Column, embedder: Embedder, batch_size: int, tolerate: tuple[type[BaseException], ...]
+) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = embedder()
         for batch in batches:
@@ -50,7 +56,7 @@ def _model_column(text: Column, embedder: Embedder, batch_size: int) -> Column:
             errors: list = [None] * len(texts)
             for lo in range(0, len(texts), batch_size):
                 part = range(lo, min(lo + batch_size, len(texts)))
-                _encode_rows(encode, texts, part, vectors, errors)
+                _encode_rows(encode, texts, part, vectors, errors, tolerate)
             yield pa.StructArray.from_arrays(
                 [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())],
                 names=["embedding", "error"],
@@ -62,18 +68,20 @@ def _model_column(text: Column, embedder: Embedder, batch_size: int) -> Column:
     return model.asNondeterministic()(text)
 
 
-def _encode_rows(encode: Encode, texts, part: range, vectors: list, errors: list) -> None:
-    """Encode a batch; if it fails, row by row, so that one bad row stays alone."""
+def _encode_rows(
+    encode: Encode, texts, part: range, vectors: list, errors: list, tolerate
+) -> None:
+    """Encode a batch; if a tolerated error comes, row by row, so that a bad row stays alone."""
     try:
         rows = np.asarray(encode([texts[i] for i in part]), dtype=np.float32)
         for i, row in zip(part, rows, strict=True):
             vectors[i] = row
-    except Exception as error:
+    except tolerate as error:
         if len(part) == 1:
             vectors[part[0]], errors[part[0]] = None, f"{type(error).__name__}: {error}"
             return
         for i in part:
-            _encode_rows(encode, texts, range(i, i + 1), vectors, errors)
+            _encode_rows(encode, texts, range(i, i + 1), vectors, errors, tolerate)
 
 
 def embed_column(
@@ -85,9 +93,13 @@ def embed_column(
     partitions: int | None = None,
     spread_by: Sequence[str] = (),
     batch_size: int = 32,
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
 ) -> DataFrame:
     """Adds ``embedding ARRAY<FLOAT>`` and ``error STRING``.
 
+    A text on which the model raises one of ``tolerate`` has no vector and the reason in
+    ``error``; any other exception fails the job.
+
     ``partitions`` with ``spread_by`` (a unique key) deals the rows out evenly
     before a costly model runs; hashing by key keeps a re-run task's rows the same.
     """
@@ -99,7 +111,7 @@ def embed_column(
             "error", F.when(body.isNull(), F.lit("no text"))
         )
     return (
-        df.withColumn("_out", _model_column(body, embedder, batch_size))
+        df.withColumn("_out", _model_column(body, embedder, batch_size, tolerate))
         .withColumn("embedding", F.col("_out.embedding"))
         .withColumn("error", F.col("_out.error"))
         .drop("_out")
@@ -119,8 +131,9 @@ def embed_distinct(
     embedder: Embedder | None = None,
     dim: int = DEFAULT_DIM,
     key: str = "key",
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
 ) -> DataFrame:
-    """(key, n, embedding): every distinct normalised non-blank string once.
+    """(key, n, embedding, error): every distinct normalised non-blank string once.
 
     ``n`` counts its rows. Duplicates collapse in the map tasks, so a string that
     makes up most rows costs no more than any other.
@@ -131,4 +144,4 @@ def embed_distinct(
         .groupBy(key)
         .agg(F.count("*").alias("n"))
     )
-    return embed_column(keys, key, embedder=embedder, dim=dim).drop("error")
+    return embed_column(keys, key, embedder=embedder, dim=dim, tolerate=tolerate)

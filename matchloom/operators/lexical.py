@@ -75,7 +75,7 @@ def write_lexical_index(index: LexicalIndex, path: str) -> None:
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
     (
         index.postings.withColumns({"term_bucket": _term_bucket(buckets), "_part": part})
-        .repartition("term_bucket", "_part")
+        .repartition(files, "term_bucket", "_part")
         .drop("_part")
         .write.mode("overwrite")
         .partitionBy("term_bucket")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_conditions, normalize_key
-from matchloom.operators.embedding import Embedder, embed_column, embed_distinct
+from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_distinct
 from matchloom.operators.scale import SPREAD_ROWS, is_small, lookup_join
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
@@ -167,14 +167,20 @@ def _strict_matches(
     vocabulary: DataFrame | None,
     n_criteria: int,
     widest: int,
+    tolerate: tuple[type[BaseException], ...],
+    quarantine: str | None,
 ) -> DataFrame:
     required = requirements(criteria)
     distinct = required.select(F.col("req_key").alias("key")).distinct()
-    req_vectors = embed_column(distinct, "key", embedder=embedder)
+    req_vectors = embed_column(distinct, "key", embedder=embedder, tolerate=tolerate)
     if vocabulary is None:
-        vocabulary = embed_distinct(conditions, "conditions", embedder=embedder)
+        vocabulary = embed_distinct(
+            conditions, "conditions", embedder=embedder, tolerate=tolerate
+        )
     # Embedding may be a model call; both results are written so that it runs once.
     vocabulary = materialize(vocabulary, "vocabulary")
+    req_vectors = materialize(req_vectors, "required")
+    _report_failures({"condition": vocabulary, "requirement": req_vectors}, quarantine)
     pairs = semantic_pairs(
         req_vectors, vocabulary, threshold, required_at_most=n_criteria * widest
     )
@@ -206,6 +212,25 @@ def _strict_matches(
     return candidates.filter(F.get(first, F.lit(0)))
 
 
+def _report_failures(embedded: dict[str, DataFrame], quarantine: str | None) -> None:
+    """Strings without a vector match nothing, so they are never passed over in silence:
+    they are added to the table ``quarantine``, or the job fails where there is none."""
+    parts = [
+        df.filter(F.col("error").isNotNull()).select(F.lit(role).alias("role"), "key", "error")
+        for role, df in embedded.items()
+        if "error" in df.columns
+    ]
+    if not parts:
+        return
+    failed = reduce(DataFrame.unionByName, parts)
+    if quarantine is not None:
+        failed.write.mode("append").parquet(quarantine)
+        return
+    first = failed.take(3)
+    if first:
+        raise ValueError(f"no vectors for some strings, such as {[tuple(r) for r in first]}")
+
+
 def by_age(criteria: DataFrame, people: DataFrame) -> DataFrame:
     """Criteria once per age in their range that occurs among ``people``.
 
@@ -236,6 +261,8 @@ def eligible_patients(
     require: str = "all",
     min_match: int | None = None,
     fields: Sequence[str] = PATIENT_FIELDS,
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
+    quarantine: str | None = None,
 ) -> DataFrame:
     """(criteria_id, patient_id, *fields): everyone who meets each criteria row.
 
@@ -243,7 +270,9 @@ def eligible_patients(
     gender; rows with an unknown age bound match nobody. Criteria are requests and
     are counted here; patients and conditions may be of any size. ``require='any'``
     or ``min_match`` relax how many requirements must be met. ``vocabulary`` is a
-    stored (key, n, embedding) table of the condition strings, if there is one.
+    stored (key, n, embedding) table of the condition strings, if there is one. Strings
+    on which the model raises one of ``tolerate`` go to the table at ``quarantine``; the
+    call fails if there are any and no such table.
     """
     kept = ["criteria_id", "age_min", "age_max", "required_conditions"]
     known = criteria
@@ -280,6 +309,8 @@ def eligible_patients(
                 vocabulary=vocabulary,
                 n_criteria=facts["rows"],
                 widest=facts["widest"],
+                tolerate=tolerate,
+                quarantine=quarantine,
             )
         )
     if facts["free"] or not found:

@@ -53,8 +53,8 @@ def split_by_parent(
 ) -> Split:
     """Child rows whose key exists in ``parent``, and the orphans.
 
-    One key may own a large share of the child rows, so without a bounded parent
-    the join is salted.
+    One key may own a large share of the child rows: without a bounded parent, rows of
+    hot keys stay where they are and only the rest is shuffled.
     """
     keys = parent.select(key).distinct()
     args = {"on": [key], "small_is_bounded": parent_is_bounded}

@@ -29,7 +29,7 @@ def patients_with_conditions(
 
     ``how='left'`` keeps patients without conditions. The condition table is the
     large side and one patient may own much of it, so it is joined as the big side
-    with a salt, and the patients nobody refers to are added afterwards.
+    whose hot keys stay in place, and the patients nobody refers to are added afterwards.
     """
     people = patients.select("patient_id", "name", "age")
     rows = conditions.select("patient_id", "conditions")

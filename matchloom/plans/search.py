@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators import lexical
-from matchloom.operators.embedding import Embedder, embed_column, embed_input, split_embedded
+from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_input
 from matchloom.operators.lexical import LexicalIndex
 from matchloom.operators.retrieval import (
     best_chunk_per_trial,
@@ -24,6 +24,13 @@ from matchloom.storage import materialize
 LEGS = ("dense", "sparse")
 
 
+class IndexCounts(NamedTuple):
+    """Chunks that a search can find, and those the model refused."""
+
+    indexed: int
+    rejected: int
+
+
 class SearchIndex(NamedTuple):
     """Chunks with vectors and metadata columns, their postings, and the trials."""
 
@@ -38,19 +45,37 @@ def write_search_index(
     *,
     embedder: Embedder | None = None,
     metadata: str | None = None,
-) -> None:
-    """Embed the chunks and write the dense and sparse parts of the index."""
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
+) -> IndexCounts:
+    """Embed the chunks and write the dense and sparse parts of the index.
+
+    Chunks that the model refuses with a tolerated error stay beside the index, with the
+    reason; :func:`rejected_chunks` reads them. Both numbers are returned.
+    """
     spark = chunks.sparkSession
     text = embed_input("text", F.col(metadata) if metadata else None)
-    embedded = split_embedded(embed_column(chunks, text, embedder=embedder))
-    embedded.good.write.mode("overwrite").parquet(f"{path}/chunks")
-    written = spark.read.parquet(f"{path}/chunks")
+    embedded = embed_column(chunks, text, embedder=embedder, tolerate=tolerate)
+    # One pass of the model writes both kinds, each in a folder of its own.
+    embedded.withColumn("rejected", F.col("error").isNotNull()).write.mode("overwrite").partitionBy(
+        "rejected"
+    ).parquet(f"{path}/chunks")
+    written = _stored(spark, path, rejected=False)
     lexical.write_lexical_index(lexical.build_lexical_index(written), f"{path}/lexical")
+    return IndexCounts(written.count(), rejected_chunks(spark, path).count())
+
+
+def _stored(spark: SparkSession, path: str, *, rejected: bool) -> DataFrame:
+    return spark.read.parquet(f"{path}/chunks").filter(F.col("rejected") == rejected).drop("rejected")
+
+
+def rejected_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks without a vector, with the reason in ``error``."""
+    return _stored(spark, path, rejected=True).drop("embedding")
 
 
 def read_search_index(spark: SparkSession, path: str, trials: DataFrame) -> SearchIndex:
     return SearchIndex(
-        spark.read.parquet(f"{path}/chunks"),
+        _stored(spark, path, rejected=False).drop("error"),
         lexical.read_lexical_index(spark, f"{path}/lexical"),
         trials,
     )

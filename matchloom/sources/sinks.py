@@ -8,8 +8,11 @@ from pyspark.sql.utils import AnalysisException
 
 from matchloom.operators.quality import keep_first_by_key
 from matchloom.operators.scale import is_small
+from matchloom.storage import materialize
 
 DEFAULT_BUCKETS = 64
+# Rows that one task of an append writes, about.
+FILE_ROWS = 1_000_000
 
 
 def replace_table(df: DataFrame, path: str, *, sort_by: str | None = None) -> None:
@@ -61,27 +64,22 @@ def new_chunks(
     incoming: DataFrame,
     stored: DataFrame | None,
     *,
-    key: str = "nct_id",
     chunk_id: str = "chunk_id",
     order: str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
 ) -> DataFrame:
     """Incoming rows whose chunk id is neither stored nor earlier in the batch.
 
-    Only ids are read from the store. The ids of a bounded batch are broadcast
-    together with their bucket, so that folders they cannot be in are not read; a
-    larger batch is joined on the id, which is unique on both sides.
+    A chunk id counts as stored wherever it is: under another key or another number of
+    buckets too, and whatever the size of the batch. Only ids are read from the store.
     """
     first = keep_first_by_key(incoming, [chunk_id], [order or chunk_id])
     if stored is None:
         return first
-    if not is_small(incoming):
-        return first.join(stored.select(chunk_id), chunk_id, "left_anti")
-    ids = with_bucket(incoming, key, buckets).select(chunk_id, "bucket").distinct()
-    known = stored.select(chunk_id, "bucket").join(
-        F.broadcast(ids), ["bucket", chunk_id], "left_semi"
-    )
-    return first.join(known.select(chunk_id), chunk_id, "left_anti")
+    known = stored.select(chunk_id)
+    ids = incoming.select(chunk_id).distinct()
+    if is_small(ids):  # the store is not shuffled then
+        known = known.join(F.broadcast(ids), chunk_id, "left_semi")
+    return first.join(known, chunk_id, "left_anti")
 
 
 def add_new_chunks(
@@ -89,8 +87,9 @@ def add_new_chunks(
 ) -> None:
     """Append the rows of ``incoming`` that are not stored yet. Repeating it is safe.
 
-    ``buckets`` must be the same for every append to one table.
+    ``incoming`` is computed once. The number of files follows from its rows.
     """
-    stored = stored_chunks(incoming.sparkSession, path)
-    fresh = new_chunks(incoming, stored, buckets=buckets)
+    rows = materialize(incoming, "incoming")
+    fresh = new_chunks(rows, stored_chunks(rows.sparkSession, path))
+    layout.setdefault("files_per_bucket", -(-rows.count() // (buckets * FILE_ROWS)) or 1)
     append_chunks(fresh, path, buckets=buckets, **layout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.operators.quality import keep_first_by_key, project_metadata
-from matchloom.functions.text import joined_numbered_fields, numbered_fields
+from matchloom.functions.text import joined_numbered_fields, lenient_int, numbered_fields
 
 # Column names of the input files.
 DEMOGRAPHICS_COLUMNS = (
@@ -35,8 +35,6 @@ TRIAL_SCHEMA = T.MapType(
     ),
 )
 
-# A one-object file up to this size is parsed by one task.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
 # What separates two records when a map of records is written on one line.
 OBJECT_SEPARATOR = '}}, "'
 
@@ -75,7 +73,7 @@ def load_conditions(spark: SparkSession, *paths: str) -> DataFrame:
     return df.select(*CONDITIONS_COLUMNS)
 
 
-def load_trials(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
+def load_trials(spark: SparkSession, path: str, layout: str = "object") -> DataFrame:
     """(nct_id, document, metadata) from JSON maps ``nct_id -> {document, metadata}``.
 
     Layouts:
@@ -84,11 +82,10 @@ def load_trials(spark: SparkSession, path: str, layout: str = "auto") -> DataFra
       ``split``   one map on one line, cut at the record separator, so that a file of
                   any size is read by many tasks. A text that happens to contain the
                   separator would be cut, does not parse, and raises.
-      ``auto``    ``object`` for files up to 64 MiB, otherwise ``split``.
+
+    The layout is the caller's choice and never follows from a file's size, so a file
+    reads alike however large it is.
     """
-    if layout == "auto":
-        sizes = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()
-        layout = "object" if (sizes[0] or 0) <= WHOLE_FILE_BYTES else "split"
     if layout == "lines":
         text = spark.read.text(path).filter(F.trim("value") != "")
     elif layout == "object":
@@ -96,7 +93,7 @@ def load_trials(spark: SparkSession, path: str, layout: str = "auto") -> DataFra
     elif layout == "split":
         text = _split_object(spark, path)
     else:
-        raise ValueError("layout is 'auto', 'lines', 'object' or 'split'")
+        raise ValueError("layout is 'lines', 'object' or 'split'")
     parsed = text.select(
         F.from_json("value", TRIAL_SCHEMA, {"mode": "FAILFAST"}).alias("records")
     )
@@ -129,7 +126,7 @@ def trial_table(source: DataFrame) -> DataFrame:
         joined_numbered_fields(meta, "condition_", "conditions_count").alias("conditions"),
         numbered_fields(meta, "condition_", "conditions_count").alias("condition_list"),
         *[meta[k].alias(k) for k in ("phase", "status", "minimum_age", "maximum_age")],
-        meta["enrollment"].try_cast("bigint").alias("enrollment"),
+        lenient_int(meta["enrollment"]).alias("enrollment"),
         project_metadata("metadata").alias("metadata"),
     )
 

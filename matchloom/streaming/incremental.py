@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from matchloom.operators.chunking import DEFAULT_MAX_LENGTH, chunk_documents
 from matchloom.sources.sinks import add_new_chunks
-from matchloom.storage import new_table_path
 
 
 def read_documents(
@@ -26,7 +25,7 @@ def follow_documents(
     documents: DataFrame,
     path: str,
     *,
-    checkpoint: str | None = None,
+    checkpoint: str,
     max_length: int = DEFAULT_MAX_LENGTH,
     keep: tuple[str, ...] = (),
     **layout,
@@ -35,16 +34,15 @@ def follow_documents(
 
     Each micro-batch goes through the same function as a batch load. It skips chunk
     ids that are stored already, so a batch repeated after a failure adds nothing.
+    ``checkpoint`` is a lasting folder: a restarted stream goes on from it.
     Chunking needs no state and there is no event time, hence no watermark.
     """
-    spark = documents.sparkSession
-
     def add(batch: DataFrame, _epoch: int) -> None:
         add_new_chunks(chunk_documents(batch, keep=keep, max_length=max_length), path, **layout)
 
     return (
         documents.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint or new_table_path(spark, "stream"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import embedding
+from matchloom.plans import cohort, search
 from matchloom.sources import sinks, tables
 from matchloom.streaming import incremental
 
@@ -23,7 +24,7 @@ def trials_file(tmp_path):
     return str(path), data
 
 
-@pytest.mark.parametrize("layout", ["auto", "object", "split"])
+@pytest.mark.parametrize("layout", ["object", "split"])
 def test_json_layouts(spark, trials_file, layout):
     path, data = trials_file
     got = {r.nct_id: r for r in tables.load_trials(spark, path, layout).collect()}
@@ -104,7 +105,7 @@ def test_embedder_failures_stay_alone(spark):
 
         def encode(texts):
             if any("bad" in t for t in texts):
-                raise RuntimeError("out of memory")
+                raise MemoryError("out of memory")
             return np.array([[float(len(t)), 1.0] for t in texts])
 
         return encode
@@ -114,7 +115,52 @@ def test_embedder_failures_stay_alone(spark):
         embedding.embed_column(df, "t", embedder=load, partitions=3, spread_by=["i"], batch_size=8)
     )
     assert {r.i: r.embedding[0] for r in split.good.collect()} == {i: float(i) for i in range(40) if i != 13}
-    assert [(r.i, r.error) for r in split.rejected.collect()] == [(13, "RuntimeError: out of memory")]
+    assert [(r.i, r.error) for r in split.rejected.collect()] == [(13, "MemoryError: out of memory")]
+
+
+def test_a_broken_model_fails_the_job(spark, tmp_path):
+    def load():
+        def encode(texts):
+            raise RuntimeError("no driver")
+
+        return encode
+
+    chunks = spark.createDataFrame([("N1_chunk_0", "N1", 0, "text")], "chunk_id string, nct_id string, chunk_index int, text string")
+    with pytest.raises(Exception, match="no driver"):
+        search.write_search_index(chunks, str(tmp_path / "index"), embedder=load)
+    people = spark.createDataFrame([("p", 50, "F", "r", "e", "n")], "patient_id string, age int, gender string, race string, ethnicity string, name string")
+    rows = spark.createDataFrame([("p", "flu")], "patient_id string, conditions string")
+    wanted = dict(age_min=1, age_max=99, required_conditions=["flu"], embedder=load)
+    with pytest.raises(Exception, match="no driver"):
+        cohort.find_eligible_patients(spark, people, rows, **wanted).collect()
+    # A tolerated error is not passed over either: it fails, or goes to the quarantine.
+    with pytest.raises(ValueError, match="no vectors"):
+        cohort.find_eligible_patients(spark, people, rows, tolerate=(RuntimeError,), **wanted)
+    path = str(tmp_path / "failed")
+    found = cohort.find_eligible_patients(
+        spark, people, rows, tolerate=(RuntimeError,), quarantine=path, **wanted
+    )
+    assert found.count() == 0
+    assert {tuple(r)[:2] for r in spark.read.parquet(path).collect()} == {("condition", "flu"), ("requirement", "flu")}
+
+
+def test_index_counts_what_the_model_refuses(spark, tmp_path):
+    def load():
+        import numpy as np
+
+        def encode(texts):
+            if "bad" in texts:
+                raise MemoryError
+            return np.ones((len(texts), 2))
+
+        return encode
+
+    rows = [("N1_chunk_0", "N1", 0, "good"), ("N1_chunk_1", "N1", 1, "bad")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, nct_id string, chunk_index int, text string")
+    path = str(tmp_path / "index")
+    assert search.write_search_index(chunks, path, embedder=load) == (1, 1)
+    assert [r.chunk_id for r in search.rejected_chunks(spark, path).collect()] == ["N1_chunk_1"]
+    assert search.read_search_index(spark, path, None).chunks.count() == 1
 
 
 def test_embed_input(spark):
