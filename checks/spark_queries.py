@@ -649,7 +649,11 @@ def search_trials(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_trials_prefiltered(spark: SparkSession, sf: str) -> DataFrame:
-    requests = view(spark, sf, "queries").withColumn("phase", F.lit("fr"))
+    """Filters that differ between the requests: French studies, or large ones."""
+    odd = F.col("query_id") % 2 == 1
+    requests = view(spark, sf, "queries").withColumns(
+        {"phase": F.when(~odd, F.lit("fr")), "min_enrollment": F.when(odd, F.lit(1000)).cast("bigint")}
+    )
     hits = search.search_trials(_index(spark, sf), requests, top_k=5, filter_mode="pre")
     return hits.select("query_id", "nct_id", F.col("rank").cast("bigint").alias("rank"), "phase")
 

@@ -8,15 +8,30 @@ aggregated with map-side combine and written by (term bucket, chunk part).
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.functions.text import tokens
 from matchloom.functions.vectors import SCORE_DIGITS
-from matchloom.operators.scale import is_small, lookup_join, top_k_per_group
+from matchloom.operators.scale import top_k_per_group
 
+# Task functions travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Query terms and queries that travel with a task, and scores a task holds at a time.
+TERM_ROWS = 200_000
+QUERY_ROWS = 20_000
+SCORE_CELLS = 2_000_000
 # Standard BM25 parameters.
 K1 = 1.2
 B = 0.75
@@ -30,6 +45,7 @@ class LexicalIndex(NamedTuple):
     postings: DataFrame  # term, chunk_id, tf, dl (+ term_bucket when written)
     frequencies: DataFrame  # term, df (+ n_buckets when written)
     stats: DataFrame  # one row: n_chunks, avg_dl
+    forward: DataFrame | None = None  # chunk_id, terms in text order, duplicates kept
 
 
 def build_lexical_index(
@@ -52,7 +68,7 @@ def build_lexical_index(
     stats = listed.agg(
         F.count("*").alias("n_chunks"), F.avg(F.size("_terms")).alias("avg_dl")
     )
-    return LexicalIndex(postings, frequencies, stats)
+    return LexicalIndex(postings, frequencies, stats, listed.withColumnRenamed("_terms", "terms"))
 
 
 def _term_bucket(buckets: Column | int) -> Column:
@@ -89,10 +105,12 @@ def write_lexical_index(index: LexicalIndex, path: str) -> None:
     )
 
 
-def read_lexical_index(spark: SparkSession, path: str) -> LexicalIndex:
-    return LexicalIndex(
-        *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats"))
-    )
+def read_lexical_index(
+    spark: SparkSession, path: str, forward: DataFrame | None = None
+) -> LexicalIndex:
+    """``forward`` is the table of chunks with their ``terms``, for scoring."""
+    tables = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats"))
+    return LexicalIndex(*tables, forward)
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
@@ -101,43 +119,142 @@ def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
     return exploded.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(index: LexicalIndex, terms: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score) for every chunk that shares a term with a query."""
-    bounded = is_small(terms)
-    names = terms.select("term").distinct()
-    weights = lookup_join(index.frequencies, names, ["term"], small_is_bounded=bounded)
-    # No more rows than the query terms themselves, so the same bound holds.
-    weighted = terms.join(F.broadcast(weights) if bounded else weights, "term")
-    keys = ["term"]
-    if "term_bucket" in index.postings.columns:
-        # Lets the reader skip the folders no query term falls into.
-        weighted = weighted.withColumn("term_bucket", _term_bucket(F.col("n_buckets")))
-        keys = ["term", "term_bucket"]
-    stats = index.stats
-    n, avg_dl = stats.select("n_chunks").scalar(), stats.select("avg_dl").scalar()
+class QueryWeights(NamedTuple):
+    """Query terms with their weights, as arrays that travel with the task function."""
+
+    queries: list  # query ids
+    vocabulary: list[str]
+    first: np.ndarray  # where each term's rows begin
+    query: np.ndarray  # positions in queries
+    weight: np.ndarray
+
+
+def _query_weights(index: LexicalIndex, terms: DataFrame) -> QueryWeights:
+    """idf times query frequency of every term that the corpus has; ``terms`` is bounded."""
+    names = F.broadcast(terms.select("term").distinct())
+    known = index.frequencies.join(names, "term")
+    n = index.stats.select("n_chunks").scalar()
     df = F.col("df").cast("double")
     idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
-    weighted = weighted.select("query_id", *keys, (F.col("qtf") * idf).alias("weight"))
-
-    matched = lookup_join(index.postings, weighted, keys, small_is_bounded=bounded)
-    tf = F.col("tf").cast("double")
-    norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avg_dl
-    part = F.col("weight") * tf * F.lit(k1 + 1.0) / (tf + F.lit(k1) * norm)
-    return matched.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(part), SCORE_DIGITS).alias("score")
+    rows = (
+        terms.join(F.broadcast(known), "term")
+        .select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+        .collect()
+    )
+    queries = sorted({r["query_id"] for r in rows})
+    place = {q: i for i, q in enumerate(queries)}
+    rows.sort(key=lambda r: r["term"])
+    vocabulary = sorted({r["term"] for r in rows})
+    number = {t: i for i, t in enumerate(vocabulary)}
+    of_term = np.array([number[r["term"]] for r in rows], np.int64)
+    return QueryWeights(
+        queries, vocabulary, np.searchsorted(of_term, np.arange(len(vocabulary) + 1)),
+        np.array([place[r["query_id"]] for r in rows], np.int64),
+        np.array([r["weight"] for r in rows], float),
     )
 
 
+def _best_in_task(weights: QueryWeights, avg_dl: float, k: int, k1: float, b: float):
+    """A task function: its chunks' scores, of which each query keeps the best ``k``.
+
+    Chunks are scored a block at a time, so that block times queries stays bounded.
+    """
+    n_queries = len(weights.queries)
+    block = max(1, SCORE_CELLS // max(1, n_queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(weights.vocabulary, pa.string())
+        least = np.full(n_queries, np.finfo(float).tiny)
+        kept, ids, schema = [], [], None
+        for batch in batches:
+            schema = batch.schema
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                score = _block_scores(part.column("terms"), vocabulary, weights, avg_dl, k1, b)
+                score = np.round(score, SCORE_DIGITS)
+                if len(score) > k:
+                    least = np.maximum(least, np.partition(score, -k, axis=0)[-k])
+                chunk, query = np.nonzero(score >= least)
+                kept.append((query, score[chunk, query]))
+                ids.append(part.column("chunk_id").take(pa.array(chunk)))
+                if sum(len(x) for x in ids) > 4 * k * n_queries:
+                    kept, ids = _cut(kept, ids, k)
+        if kept:
+            kept, ids = _cut(kept, ids, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([weights.queries[q] for q in kept[0][0]]), ids[0], pa.array(kept[0][1])],
+                names=["query_id", "chunk_id", "score"],
+            )
+
+    return run
+
+
+def _cut(kept: list, ids: list, k: int) -> tuple[list, list]:
+    query, score = (np.concatenate(x) for x in zip(*kept))
+    names = pa.concat_arrays(ids)
+    place = pa.compute.rank(names, tiebreaker="dense").to_numpy(zero_copy_only=False)
+    order = np.lexsort((place, -score, query))
+    query, score = query[order], score[order]
+    first = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return [(query[first], score[first])], [names.take(pa.array(order[first]))]
+
+
+def _block_scores(
+    terms: pa.Array, vocabulary: pa.Array, weights: QueryWeights, avg_dl: float, k1: float, b: float
+) -> np.ndarray:
+    """BM25 of every chunk of a block for every query; 0 without a common term."""
+    n = len(terms)
+    length = pa.compute.list_value_length(terms).fill_null(0).to_numpy(zero_copy_only=False)
+    found = pa.compute.index_in(terms.flatten(), value_set=vocabulary)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    term = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    chunk = np.repeat(np.arange(n), length)[known]
+    pair, tf = np.unique(chunk * max(1, len(vocabulary)) + term, return_counts=True)
+    chunk, term = np.divmod(pair, max(1, len(vocabulary)))
+    norm = 1.0 - b + b * length[chunk] / avg_dl if avg_dl else np.ones(len(chunk))
+    value = tf * (k1 + 1.0) / (tf + k1 * norm)
+    # Each pair meets the queries of its term.
+    size = weights.first[term + 1] - weights.first[term]
+    row = np.repeat(weights.first[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    cell = np.repeat(chunk, size) * len(weights.queries) + weights.query[row]
+    score = np.bincount(
+        cell, np.repeat(value, size) * weights.weight[row], n * len(weights.queries)
+    )
+    return score.reshape(n, len(weights.queries))
+
+
 def bm25_top_k(
-    index: LexicalIndex, terms: DataFrame, k: int, *, allowed: DataFrame | None = None, **params
+    index: LexicalIndex,
+    terms: DataFrame,
+    k: int,
+    *,
+    forward: DataFrame | None = None,
+    k1: float = K1,
+    b: float = B,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): best ``k`` chunks per query, ties by id.
 
-    ``allowed`` (chunk_id) restricts the result; the statistics stay those of the
-    whole corpus.
+    A chunk's terms stay together: every task scores its own chunks and lets ``k`` rows
+    per query leave. ``forward`` (chunk_id, terms) says which chunks take part; the
+    statistics stay those of the whole corpus. Very many queries come in parts.
     """
-    scores = bm25_scores(index, terms, **params)
-    if allowed is not None:
-        scores = scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    spark = terms.sparkSession
+    forward = index.forward if forward is None else forward
+    schema = T.StructType(
+        [terms.schema["query_id"], forward.schema["chunk_id"], T.StructField("score", T.DoubleType())]
+    )
+    size = terms.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("q")).first()
+    parts = max(1, -(-size["n"] // TERM_ROWS), -(-size["q"] // QUERY_ROWS))
+    avg_dl = index.stats.first()["avg_dl"] or 0.0
+    found = []
+    for part in range(parts if k > 0 else 0):
+        own = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        weights = _query_weights(index, own)
+        if weights.queries:
+            run = _best_in_task(weights, avg_dl, k, k1, b)
+            found.append(forward.select("chunk_id", "terms").mapInArrow(run, schema))
+    if not found:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    return top_k_per_group(scores, ["query_id"], order, k, salt_by=["chunk_id"])
+    best = reduce(DataFrame.unionByName, found)
+    return top_k_per_group(best, ["query_id"], order, k, salt_by=["chunk_id"])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchloom.functions.text import tokens
 from matchloom.operators import lexical
 from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_input
 from matchloom.operators.lexical import LexicalIndex
@@ -55,6 +57,8 @@ def write_search_index(
     spark = chunks.sparkSession
     text = embed_input("text", F.col(metadata) if metadata else None)
     embedded = embed_column(chunks, text, embedder=embedder, tolerate=tolerate)
+    # A chunk's terms stand beside its metadata, where filters reach both.
+    embedded = embedded.withColumn("terms", tokens("text"))
     # One pass of the model writes both kinds, each in a folder of its own.
     embedded.withColumn("rejected", F.col("error").isNotNull()).write.mode("overwrite").partitionBy(
         "rejected"
@@ -65,19 +69,20 @@ def write_search_index(
 
 
 def _stored(spark: SparkSession, path: str, *, rejected: bool) -> DataFrame:
-    return spark.read.parquet(f"{path}/chunks").filter(F.col("rejected") == rejected).drop("rejected")
+    stored = spark.read.parquet(f"{path}/chunks")
+    return stored.filter(F.col("rejected") == rejected).drop("rejected")
 
 
 def rejected_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunks without a vector, with the reason in ``error``."""
-    return _stored(spark, path, rejected=True).drop("embedding")
+    return _stored(spark, path, rejected=True).drop("embedding", "terms")
 
 
 def read_search_index(spark: SparkSession, path: str, trials: DataFrame) -> SearchIndex:
+    chunks = _stored(spark, path, rejected=False).drop("error")
+    forward = chunks.select("chunk_id", "terms")
     return SearchIndex(
-        _stored(spark, path, rejected=False).drop("error"),
-        lexical.read_lexical_index(spark, f"{path}/lexical"),
-        trials,
+        chunks, lexical.read_lexical_index(spark, f"{path}/lexical", forward), trials
     )
 
 
@@ -105,8 +110,8 @@ def rank_chunks(
         ranked.append(top_k_by_dot(vectors, chunks, pool, queries_at_most=queries_at_most))
     if "sparse" in legs:
         terms = lexical.query_terms(queries, "query_id", "query")
-        allowed = None if keep is None else chunks
-        ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, allowed=allowed))
+        forward = chunks if keep is not None else index.lexical.forward
+        ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, forward=forward))
     return rrf_fuse(*ranked, k=k)
 
 
@@ -125,8 +130,8 @@ def search_trials(
 
     ``requests``: query_id, query and optionally phase, status, min_enrollment.
     With ``filter_mode='post'`` the filters look at the ``top_k`` hits only, so a
-    filtered search may return fewer; with ``'pre'`` all requests of one call share
-    one filter, which is applied to the chunks before they are scored.
+    filtered search may return fewer; with ``'pre'`` they are applied to the chunks
+    before they are scored, in one pass over the chunks for each distinct filter.
 
     Returns query_id, nct_id, chunk_id, rank, chunk_similarity_score, chunk_text,
     the metadata columns and, with ``enrich``, full_text, conditions, missing_trial.
@@ -139,19 +144,17 @@ def search_trials(
             asked = asked.withColumn(name, F.lit(None).cast(kind))
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode is 'post' or 'pre'")
-    keep = _shared_filter(asked) if filter_mode == "pre" else None
-
-    hits = rank_chunks(
-        index,
-        asked,
-        k=top_k,
-        pool=pool,
-        legs=legs,
-        embedder=embedder,
-        queries_at_most=n_requests,
-        keep=keep,
-    )
-    chunks = index.chunks.drop("embedding", "error")
+    options = {
+        "k": top_k, "pool": pool, "legs": legs, "embedder": embedder, "queries_at_most": n_requests,
+    }
+    if filter_mode == "post" or not n_requests:
+        hits = rank_chunks(index, asked, **options)
+    else:
+        hits = reduce(
+            DataFrame.unionByName,
+            [rank_chunks(index, own, keep=keep, **options) for own, keep in _by_filter(asked)],
+        )
+    chunks = index.chunks.drop("embedding", "terms")
     # Every hit is a chunk of this table, so an inner join loses none.
     found = lookup_join(chunks, hits, ["chunk_id"], small_is_bounded=bounded)
     wanted = asked.select(
@@ -176,14 +179,16 @@ def search_trials(
     return enrich_trials(best, index.trials, hits_bounded=bounded) if enrich else best
 
 
-def _shared_filter(requests: DataFrame) -> Column | None:
-    filters = requests.select("phase", "status", "min_enrollment").distinct().take(2)
-    if len(filters) > 1:
-        raise ValueError("requests of one 'pre' search must share their filters")
-    if not filters:
-        return None
-    phase, status, minimum = filters[0]
-    return phase_status_filter(phase, status) & min_enrollment_filter(minimum)
+def _by_filter(requests: DataFrame) -> list[tuple[DataFrame, Column]]:
+    """The requests of each distinct filter, and the filter on the chunks."""
+    names = ["phase", "status", "min_enrollment"]
+    out = []
+    for values in requests.select(*names).distinct().collect():
+        same = [F.col(n).eqNullSafe(F.lit(v)) for n, v in zip(names, values)]
+        phase, status, minimum = values
+        keep = phase_status_filter(phase, status) & min_enrollment_filter(minimum)
+        out.append((requests.filter(same[0] & same[1] & same[2]), keep))
+    return out
 
 
 def search_summary(requests: DataFrame, hits: DataFrame) -> DataFrame:
