@@ -526,6 +526,7 @@ QUERIES: dict[str, str] = {
     "rrf_fuse": f"""
         SELECT query_id, chunk_id, score, rank FROM ({_ranked('label_fused_all', 20)})""",
     "hybrid_search": "SELECT query_id, chunk_id, score, rank FROM fused_10",
+    "incremental_index": "SELECT query_id, chunk_id, score, rank FROM fused_10",
     "filter_phase_status": """
         SELECT nct_id, phase, status FROM trials WHERE phase = 'en' AND status = 'src5'""",
     "filter_min_enrollment": """

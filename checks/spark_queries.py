@@ -580,6 +580,17 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.rank_chunks(_index(spark, sf), view(spark, sf, "queries"), k=10))
 
 
+@query
+def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in an index that grew twice: English studies first, then the others."""
+    path, chunks = new_table_path(spark, "growing_index"), _study_chunks(spark, sf)
+    search.extend_search_index(chunks.filter("phase = 'en'"), path)
+    search.extend_search_index(chunks.filter("phase IN ('en', 'fr')"), path)
+    search.extend_search_index(chunks, path)
+    index = search.read_search_index(spark, path, _trials(spark, sf))
+    return _ranked(search.rank_chunks(index, view(spark, sf, "queries"), k=10))
+
+
 @query
 def filter_phase_status(spark: SparkSession, sf: str) -> DataFrame:
     keep = retrieval.phase_status_filter(phase="en", status="src5")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from matchloom.functions.text import tokens
 from matchloom.functions.vectors import SCORE_DIGITS
 from matchloom.operators.scale import top_k_per_group
+from matchloom.storage import materialize
 
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,14 +37,13 @@ SCORE_CELLS = 2_000_000
 K1 = 1.2
 B = 0.75
 
-# Postings per file, and the most folders to spread them over.
+# Postings per file.
 FILE_ROWS = 5_000_000
-MAX_BUCKETS = 1024
 
 
 class LexicalIndex(NamedTuple):
     postings: DataFrame  # term, chunk_id, tf, dl (+ term_bucket when written)
-    frequencies: DataFrame  # term, df (+ n_buckets when written)
+    frequencies: DataFrame  # term, df
     stats: DataFrame  # one row: n_chunks, avg_dl
     forward: DataFrame | None = None  # chunk_id, terms in text order, duplicates kept
 
@@ -76,41 +76,51 @@ def _term_bucket(buckets: Column | int) -> Column:
     return F.pmod(F.xxhash64("term"), n).cast("int")
 
 
-def write_lexical_index(index: LexicalIndex, path: str) -> None:
-    """Persist the index, postings in ``term_bucket=`` folders.
+def write_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite") -> None:
+    """Persist the index, or add chunks that it does not have yet with ``mode='append'``.
 
-    The token count sets the number of buckets and of files in each. A bucket is
-    split over its files by chunk, so a frequent term's bucket is not one task's work.
+    The token count sets the number of buckets and of files in each. A bucket is split
+    over its files by chunk, so a frequent term's bucket is not one task's work.
+    Frequencies and statistics are sums, so an addition only appends its own.
     """
     spark = index.postings.sparkSession
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    size = spark.read.parquet(f"{path}/stats").first()
-    files = max(8, int((size["n_chunks"] * (size["avg_dl"] or 0)) // FILE_ROWS))
-    buckets = max(1, min(MAX_BUCKETS, files // 8))
+    added = materialize(
+        index.stats.select(
+            "n_chunks", F.coalesce(F.col("n_chunks") * F.col("avg_dl"), F.lit(0.0)).alias("total_dl")
+        ),
+        "stats",
+    )
+    size = added.first()
+    files = max(8, int(size["total_dl"] // FILE_ROWS))
+    buckets = max(1, files // 8)
     parts = -(-files // buckets)
     part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
+    postings = materialize(index.postings, "postings")
     (
-        index.postings.withColumns({"term_bucket": _term_bucket(buckets), "_part": part})
+        postings.withColumns({"term_bucket": _term_bucket(buckets), "_part": part})
         .repartition(files, "term_bucket", "_part")
         .drop("_part")
-        .write.mode("overwrite")
+        .write.mode(mode)
         .partitionBy("term_bucket")
         .parquet(f"{path}/postings")
     )
     # Counted from the written postings: no second tokenisation.
-    written = spark.read.parquet(f"{path}/postings")
-    frequencies = written.groupBy("term").agg(F.count("*").alias("df"))
-    frequencies.withColumn("n_buckets", F.lit(buckets)).write.mode("overwrite").parquet(
+    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode(mode).parquet(
         f"{path}/frequencies"
     )
+    added.write.mode(mode).parquet(f"{path}/stats")
 
 
 def read_lexical_index(
     spark: SparkSession, path: str, forward: DataFrame | None = None
 ) -> LexicalIndex:
     """``forward`` is the table of chunks with their ``terms``, for scoring."""
-    tables = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "frequencies", "stats"))
-    return LexicalIndex(*tables, forward)
+    frequencies = spark.read.parquet(f"{path}/frequencies").groupBy("term").agg(F.sum("df").alias("df"))
+    stats = spark.read.parquet(f"{path}/stats").agg(
+        F.sum("n_chunks").alias("n_chunks"),
+        F.try_divide(F.sum("total_dl"), F.sum("n_chunks")).alias("avg_dl"),
+    )
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), frequencies, stats, forward)
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:

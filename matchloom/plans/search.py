@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from matchloom.functions.text import tokens
 from matchloom.operators import lexical
@@ -21,6 +22,7 @@ from matchloom.operators.retrieval import (
 )
 from matchloom.operators.scale import BROADCAST_ROWS, lookup_join
 from matchloom.operators.similarity import top_k_by_dot
+from matchloom.sources.sinks import new_chunks
 from matchloom.storage import materialize
 
 LEGS = ("dense", "sparse")
@@ -54,17 +56,50 @@ def write_search_index(
     Chunks that the model refuses with a tolerated error stay beside the index, with the
     reason; :func:`rejected_chunks` reads them. Both numbers are returned.
     """
+    return _add_chunks(chunks, path, "overwrite", embedder, metadata, tolerate)
+
+
+def extend_search_index(
+    chunks: DataFrame,
+    path: str,
+    *,
+    embedder: Embedder | None = None,
+    metadata: str | None = None,
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
+) -> IndexCounts:
+    """Add the chunks that the index at ``path`` does not have yet; the first call makes it.
+
+    Only new chunks are embedded. Postings, frequencies and statistics grow with them, so
+    a search finds what it would in an index built at once. Repeating a call adds nothing;
+    chunks that were rejected before are tried again.
+    """
+    spark = chunks.sparkSession
+    try:
+        known = _stored(spark, path, rejected=False)
+    except AnalysisException:
+        return write_search_index(
+            chunks, path, embedder=embedder, metadata=metadata, tolerate=tolerate
+        )
+    fresh = materialize(new_chunks(materialize(chunks, "incoming"), known), "fresh")
+    return _add_chunks(fresh, path, "append", embedder, metadata, tolerate)
+
+
+def _add_chunks(
+    chunks: DataFrame, path: str, mode: str, embedder: Embedder | None, metadata: str | None, tolerate
+) -> IndexCounts:
     spark = chunks.sparkSession
     text = embed_input("text", F.col(metadata) if metadata else None)
     embedded = embed_column(chunks, text, embedder=embedder, tolerate=tolerate)
     # A chunk's terms stand beside its metadata, where filters reach both.
     embedded = embedded.withColumn("terms", tokens("text"))
     # One pass of the model writes both kinds, each in a folder of its own.
-    embedded.withColumn("rejected", F.col("error").isNotNull()).write.mode("overwrite").partitionBy(
-        "rejected"
-    ).parquet(f"{path}/chunks")
-    written = _stored(spark, path, rejected=False)
-    lexical.write_lexical_index(lexical.build_lexical_index(written), f"{path}/lexical")
+    marked = embedded.withColumn("rejected", F.col("error").isNotNull())
+    if mode == "append":
+        # What is new is written apart first, so that its terms are counted from it alone.
+        marked = materialize(marked, "added")
+    marked.write.mode(mode).partitionBy("rejected").parquet(f"{path}/chunks")
+    written = _stored(spark, path, rejected=False) if mode == "overwrite" else marked.filter("NOT rejected")
+    lexical.write_lexical_index(lexical.build_lexical_index(written), f"{path}/lexical", mode)
     return IndexCounts(written.count(), rejected_chunks(spark, path).count())
 
 

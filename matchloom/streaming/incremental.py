@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from matchloom.operators.chunking import DEFAULT_MAX_LENGTH, chunk_documents
+from matchloom.plans.search import extend_search_index
 from matchloom.sources.sinks import add_new_chunks
 
 
@@ -46,3 +47,27 @@ def follow_documents(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def follow_into_index(
+    documents: DataFrame,
+    path: str,
+    *,
+    checkpoint: str,
+    max_length: int = DEFAULT_MAX_LENGTH,
+    keep: tuple[str, ...] = (),
+    **options,
+) -> StreamingQuery:
+    """Chunk every new document and extend the search index at ``path``, as a batch would."""
+
+    def add(batch: DataFrame, _epoch: int) -> None:
+        extend_search_index(
+            chunk_documents(batch, keep=keep, max_length=max_length), path, **options
+        )
+
+    return (
+        documents.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -99,6 +99,23 @@ def test_stream_equals_batch(spark, tmp_path):
         r.nct_id for r in docs.collect())
 
 
+def test_stream_into_index(spark, tmp_path):
+    folder, path, checkpoint = (str(tmp_path / n) for n in ("in", "index", "checkpoint"))
+    docs = spark.range(12).select(
+        F.concat(F.lit("N"), "id").alias("nct_id"),
+        F.concat(F.lit("Title: t\nConditions: c"), "id").alias("document"),
+    )
+    for part in (docs.filter("nct_id < 'N2'"), docs):
+        part.write.mode("append").parquet(folder)
+        stream = incremental.follow_into_index(
+            incremental.read_documents(spark, folder), path, checkpoint=checkpoint
+        )
+        stream.awaitTermination()
+    index = search.read_search_index(spark, path, None)
+    assert index.chunks.count() == 12 and index.lexical.stats.first()["n_chunks"] == 12
+    assert {r.df for r in index.lexical.frequencies.filter("term = 'conditions'").collect()} == {12}
+
+
 def test_embedder_failures_stay_alone(spark):
     def load():
         import numpy as np
