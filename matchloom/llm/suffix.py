@@ -38,6 +38,8 @@ WIDTH = 50
 ANCHOR = 20
 # Anchors that this many batches hold are split up.
 HOT_BATCHES = 255
+# Suffixes compared at a time.
+SLICE = 100_000
 LARGEST = np.iinfo(np.int64).max
 NOTES = "batch int, kind int, bucket int, payload binary"
 
@@ -136,13 +138,15 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, group: np.ndarray, width: i
         high = np.minimum(low + run, stop)
         item = order[base + rank]
         right = (own & 1).astype(bool)
-        todo = np.flatnonzero(low < high)
-        while len(todo):
-            middle = (low[todo] + high[todo]) // 2
-            goes_before = before(start[order[middle]], start[item[todo]], right[todo])
-            low[todo] = np.where(goes_before, middle + 1, low[todo])
-            high[todo] = np.where(goes_before, high[todo], middle)
-            todo = todo[low[todo] < high[todo]]
+        waiting = np.flatnonzero(low < high)
+        for at in range(0, len(waiting), SLICE):
+            todo = waiting[at : at + SLICE]
+            while len(todo):
+                middle = (low[todo] + high[todo]) // 2
+                goes_before = before(start[order[middle]], start[item[todo]], right[todo])
+                low[todo] = np.where(goes_before, middle + 1, low[todo])
+                high[todo] = np.where(goes_before, high[todo], middle)
+                todo = todo[low[todo] < high[todo]]
         place = base + (own >> 1) * 2 * run + rank % run + (low - other)
         order[place] = item
         run *= 2
@@ -349,7 +353,8 @@ def remove_seen(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     if width < ANCHOR:
         raise ValueError(f"width must be at least {ANCHOR}")
-    layout = Layout.of(docs, bytes_per_hash=16.0)
+    # Buckets are small, as a task sorts many suffixes for each hash it gets.
+    layout = Layout.of(docs, bytes_per_hash=4.0)
     batches = batched(docs, layout)
     grouped = batches.groupBy("batch")
 
