@@ -316,6 +316,20 @@ CTES |= {
     "fr_fused_all": _fused("fr_dense", "fr_sparse"),
     "fr_fused": _ranked("fr_fused_all", 5),
     "fr_hits": _best("fr_fused"),
+    # Cells: the nearest label direction of each vector, and the three nearest of each query.
+    "cell_of": """
+        SELECT chunk_id, query_id AS cell FROM label_scores
+        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, query_id) = 1""",
+    "centre_pairs": """
+        SELECT q.query_id, c.query_id AS cell, round(sum(CAST(q.x AS DOUBLE) * CAST(c.x AS DOUBLE)), 6) AS score
+        FROM centres q JOIN centres c USING (pos) GROUP BY ALL""",
+    "probes": """
+        SELECT query_id, cell FROM centre_pairs
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cell) <= 3""",
+    "ann_scores": """
+        SELECT s.* FROM label_scores s JOIN cell_of USING (chunk_id)
+        JOIN probes p ON p.query_id = s.query_id AND p.cell = cell_of.cell""",
+    "ann_10": _ranked("ann_scores", 10),
     # Vectors of the embeddings table and the mean direction of each label.
     "vectors": """
         SELECT vec_id AS chunk_id, label AS nct_id, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS pos,
@@ -526,6 +540,14 @@ QUERIES: dict[str, str] = {
     "rrf_fuse": f"""
         SELECT query_id, chunk_id, score, rank FROM ({_ranked('label_fused_all', 20)})""",
     "hybrid_search": "SELECT query_id, chunk_id, score, rank FROM fused_10",
+    "ann_topk": "SELECT query_id, chunk_id, score, rank FROM ann_10",
+    "ann_recall": """
+        SELECT query_id, count(*) AS k, count(a.chunk_id) AS found, round(count(a.chunk_id) / count(*), 4) AS recall
+        FROM (SELECT query_id, chunk_id FROM label_20 WHERE rank <= 10) e
+        LEFT JOIN ann_10 a USING (query_id, chunk_id) GROUP BY query_id""",
+    "ann_rows_scored": """
+        SELECT query_id, count(*) AS rows_scored, (SELECT count(*) FROM cell_of) AS rows_all
+        FROM probes JOIN cell_of USING (cell) GROUP BY query_id""",
     "incremental_index": "SELECT query_id, chunk_id, score, rank FROM fused_10",
     "filter_phase_status": """
         SELECT nct_id, phase, status FROM trials WHERE phase = 'en' AND status = 'src5'""",

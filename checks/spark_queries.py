@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -679,17 +680,31 @@ def search_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = _vectors(spark, sf)
-    centroids = ann.train_cells(vectors, 8)
-    return _ranked(ann.ann_top_k(_label_centres(spark, sf), vectors, 10, centroids, 3))
+    """The mean directions of the labels are the cells' centroids here."""
+    stored, centroids = _celled(spark, sf)
+    return _ranked(ann.ann_top_k(_label_centres(spark, sf), stored, 10, centroids, 3))
+
+
+def _celled(spark: SparkSession, sf: str):
+    rows = sorted(_label_centres(spark, sf).collect())  # one row per label
+    centroids = np.array([r["embedding"] for r in rows], float)
+    path = new_table_path(spark, "cells")
+    ann.write_cells(_vectors(spark, sf), centroids, path, file_rows=500)
+    return spark.read.parquet(path), centroids
+
+
+@query
+def ann_rows_scored(spark: SparkSession, sf: str) -> DataFrame:
+    stored, centroids = _celled(spark, sf)
+    return ann.rows_scored(_label_centres(spark, sf), stored, centroids, 3)
 
 
 @query
 def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
-    vectors, queries = _vectors(spark, sf), _label_centres(spark, sf)
-    centroids = ann.train_cells(vectors, 8)
-    exact = similarity.top_k_by_dot(queries, vectors, 10)
-    return ann.recall(exact, ann.ann_top_k(queries, vectors, 10, centroids, 3))
+    stored, centroids = _celled(spark, sf)
+    queries = _label_centres(spark, sf)
+    exact = similarity.top_k_by_dot(queries, _vectors(spark, sf), 10)
+    return ann.recall(exact, ann.ann_top_k(queries, stored, 10, centroids, 3))
 
 
 # --- patient matching ------------------------------------------------------------

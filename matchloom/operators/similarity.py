@@ -72,10 +72,10 @@ class _Best:
         self.ids: list[np.ndarray] = [np.empty(0, object) for _ in range(self.queries)]
         self.scores: list[np.ndarray] = [np.empty(0) for _ in range(self.queries)]
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is (rows, queries)."""
-        for q in range(self.queries):
-            column = scores[:, q]
+    def add(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """``scores`` is (rows, queries), of all queries or of those named."""
+        for n, q in enumerate(range(self.queries) if queries is None else queries):
+            column = scores[:, n]
             if len(self.scores[q]) >= self.k:
                 keep = column >= self.scores[q][-1]
             else:
@@ -88,10 +88,18 @@ class _Best:
                 continue
             all_ids = np.concatenate([self.ids[q], ids[keep]])
             all_scores = np.concatenate([self.scores[q], column[keep]])
-            order = sorted(range(len(all_ids)), key=lambda n: (-all_scores[n], all_ids[n]))
+            order = sorted(range(len(all_ids)), key=lambda i: (-all_scores[i], all_ids[i]))
             order = order[: self.k]
             self.ids[q], self.scores[q] = all_ids[order], all_scores[order]
 
+    def rows(self, ids: np.ndarray, query_id: str, corpus_id: str) -> dict[str, list]:
+        out: dict[str, list] = {query_id: [], corpus_id: [], "score": []}
+        for n in range(self.queries):
+            out[query_id].extend([ids[n]] * len(self.ids[n]))
+            out[corpus_id].extend(self.ids[n])
+            out["score"].extend(self.scores[n])
+        return out
+
 
 def _as_vectors(df: DataFrame, id_col: str, vec_col: str, id_as: str, vec_as: str) -> DataFrame:
     """Rows without a vector are dropped by the kernels: a filter here would be pushed
@@ -204,7 +212,6 @@ def top_k_by_dot(
     query_vec: str = "embedding",
     corpus_id: str = "chunk_id",
     corpus_vec: str = "embedding",
-    cells: tuple[np.ndarray, int] | None = None,
     block_rows: int = BLOCK_ROWS,
     queries_at_most: int | None = None,
 ) -> DataFrame:
@@ -212,8 +219,7 @@ def top_k_by_dot(
 
     Returns (query_id, corpus_id, score, rank). Each task keeps ``k`` rows per
     query, so what is shuffled is ``tasks * queries * k`` small rows and never a
-    vector. ``cells = (centroids, probes)`` restricts each query to the rows whose
-    nearest centroid is among the query's ``probes`` nearest ones.
+    vector.
     """
     q = _as_vectors(queries, query_id, query_vec, "_q", "_vq")
     c = _as_vectors(corpus, corpus_id, corpus_vec, "_c_id", "_vc")
@@ -227,23 +233,10 @@ def top_k_by_dot(
     q_type, c_type = pa_type(q.schema["_q"].dataType), pa_type(c.schema["_c_id"].dataType)
 
     def scored(vectors: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-        scores = _round_half_up(vectors @ matrix.T)
-        if cells is not None:
-            centroids, probes = cells
-            home = np.argmax(vectors @ centroids.T, axis=1)
-            near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes]
-            probed = (near[None, :, :] == home[:, None, None]).any(axis=2)
-            scores = np.where(probed, scores, -np.inf)
-        return scores
+        return _round_half_up(vectors @ matrix.T)
 
     def best_rows(best: _Best, ids: np.ndarray) -> dict[str, list]:
-        rows: dict[str, list] = {query_id: [], corpus_id: [], "score": []}
-        for n in range(best.queries):
-            real = np.isfinite(best.scores[n])
-            rows[query_id].extend([ids[n]] * int(real.sum()))
-            rows[corpus_id].extend(best.ids[n][real])
-            rows["score"].extend(best.scores[n][real])
-        return rows
+        return best.rows(ids, query_id, corpus_id)
 
     if queries_at_most is None or queries_at_most > block_rows:
         queries_at_most = q.count()
