@@ -77,7 +77,8 @@ class Stretches:
         new[1:] = (low[1:] != low[:-1]) | (at[1:] - at[:-1] != 1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        self.low, self.high, self.anchor = at[first], at[last], low[first]
+        # A minimum is small; spread it, as buckets are cut by value.
+        self.low, self.high, self.anchor = at[first], at[last], mix(low[first])
         self.text = np.searchsorted(texts.offsets, self.low, "right") - 1
 
     def keep(self, chosen: np.ndarray) -> None:
