@@ -3,6 +3,10 @@
 Every batch sends its distinct 64-bit hashes, cut by value into buckets, and gets one bit
 per hash back: whether another batch sent it too. A hash crosses the network once per
 batch that holds it, however many rows do, and the answer is an eighth of a byte.
+
+Hashes travel as four bytes, their rounded place inside the bucket. Unequal hashes that
+share a place count as equal, so an answer may be too high but never too low: what recurs
+is always found. Where that must be exact, the hashes found are sent again as a whole.
 """
 
 from __future__ import annotations
@@ -45,9 +49,20 @@ class Layout:
         inner = np.searchsorted(ordered, self.edges())
         return np.concatenate([[0], inner, [len(ordered)]])
 
-    def send(self, batch: int, ordered: np.ndarray) -> pa.Table:
+    def places(self, ordered: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Where in its bucket each hash lies, in 32 bits."""
+        width = (1 << 64) // self.buckets
+        shift = max(0, (width - 1).bit_length() - 32)
+        begin = np.repeat(np.arange(self.buckets, dtype=np.uint64) * np.uint64(width), np.diff(cuts))
+        place = (ordered - begin) >> np.uint64(shift)
+        return np.minimum(place, np.uint64((1 << 32) - 1)).astype(np.uint32)
+
+    def send(self, batch: int, ordered: np.ndarray, whole: bool = False) -> pa.Table:
+        """One piece per bucket that any of the ascending, distinct hashes fall in."""
         cuts = self.cuts(ordered)
         full = np.flatnonzero(np.diff(cuts))
+        if not whole:
+            ordered = self.places(ordered, cuts)
         return pa.table(
             {
                 "bucket": pa.array(full, pa.int32()),
@@ -75,11 +90,12 @@ def batched(docs: DataFrame, layout: Layout) -> DataFrame:
     return docs.select(key.alias("batch"), "text", F.struct(*others).alias("doc"))
 
 
-def in_other_batches(sent: DataFrame) -> DataFrame:
+def in_other_batches(sent: DataFrame, whole: bool = False) -> DataFrame:
     """For each piece sent, one bit per hash: does another batch send the same hash?"""
+    kind = np.uint64 if whole else np.uint32
 
     def judge(table: pa.Table) -> pa.Table:
-        return _reply(table, lambda n: np.packbits(n > 1))
+        return _reply(table, kind, lambda n: np.packbits(n > 1))
 
     return sent.groupBy("bucket").applyInArrow(judge, SENT)
 
@@ -88,13 +104,13 @@ def batches_holding(sent: DataFrame) -> DataFrame:
     """For each piece sent, one byte per hash: how many batches send it, 255 at most."""
 
     def judge(table: pa.Table) -> pa.Table:
-        return _reply(table, lambda n: np.minimum(n, 255).astype(np.uint8))
+        return _reply(table, np.uint32, lambda n: np.minimum(n, 255).astype(np.uint8))
 
     return sent.groupBy("bucket").applyInArrow(judge, SENT)
 
 
-def _reply(table: pa.Table, encode) -> pa.Table:
-    pieces = [np.frombuffer(p, np.uint64) for p in table["payload"].to_pylist()]
+def _reply(table: pa.Table, kind: type, encode) -> pa.Table:
+    pieces = [np.frombuffer(p, kind) for p in table["payload"].to_pylist()]
     ordered = np.sort(np.concatenate(pieces))
     # Where runs of an equal hash begin, of those that have more than one.
     begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))

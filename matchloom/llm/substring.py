@@ -1,7 +1,8 @@
 """Substring dedup: remove words inside windows that occur more than once.
 
 Every window of ``width`` consecutive words gets a Rabin-Karp hash. Batches of documents
-count their own windows and ask each other, through Spark, which recur elsewhere.
+count their own windows and ask each other, through Spark, which recur elsewhere: first
+by a part of the hash, then, for those found, by the whole.
 Repeated windows merge into maximal intervals, which are removed. Windows are judged on
 the input. Hashes have 64 bits: among n windows some pair collides with a chance of
 about n * n / 2**65 (five in ten thousand for 10**8 windows).
@@ -47,11 +48,23 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_is: bool = False) ->
     def send(table: pa.Table) -> pa.Table:
         return layout.send(table["batch"][0].as_py(), windows(table)[4])
 
-    def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
+    def found(distinct: np.ndarray, notes: pa.Table, turn: int) -> np.ndarray:
+        answers = notes.filter(pa.compute.equal(notes["turn"], turn))
+        return layout.receive(answers, distinct)
+
+    def send_found(table: pa.Table, notes: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return layout.send(0, np.zeros(0, np.uint64))
+        distinct = windows(table)[4]
+        return layout.send(table["batch"][0].as_py(), distinct[found(distinct, notes, 1)], whole=True)
+
+    def remove(table: pa.Table, notes: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in arrow})
         texts, words, at, hashes, distinct, counts = windows(table)
-        repeated = (counts > 1) | layout.receive(replies, distinct)
+        elsewhere = found(distinct, notes, 1)
+        elsewhere[elsewhere] = found(distinct[elsewhere], notes, 2)
+        repeated = (counts > 1) | elsewhere
         starts = at[repeated[np.searchsorted(distinct, hashes)]]
         gone = covered(starts, width, len(words.start))
         before = np.concatenate([[0], np.cumsum(gone)])
@@ -78,10 +91,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_is: bool = False) ->
         + [T.StructField("kept", T.StringType())]
     )
     arrow = to_arrow_schema(schema)
-    replies = in_other_batches(batches.groupBy("batch").applyInArrow(send, SENT))
-    return (
-        batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(remove, schema)
-    )
+    grouped = batches.groupBy("batch")
+
+    def heard(replies: DataFrame, turn: int) -> DataFrame:
+        return replies.select("batch", F.lit(turn).alias("turn"), "bucket", "payload")
+
+    notes = heard(in_other_batches(grouped.applyInArrow(send, SENT)), 1)
+    sent = grouped.cogroup(notes.groupBy("batch")).applyInArrow(send_found, SENT)
+    notes = notes.union(heard(in_other_batches(sent, whole=True), 2))
+    return grouped.cogroup(notes.groupBy("batch")).applyInArrow(remove, schema)
 
 
 def removal_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
