@@ -95,6 +95,14 @@ def _summary(rows: DataFrame) -> pd.DataFrame:
     ).toPandas()
 
 
+def _own_rows(asking: DataFrame) -> tuple[dict, int]:
+    """The most rows that one query id has in each cell, and in all cells together."""
+    counts = asking.groupBy("id", "cell").agg(F.count("*").alias("n"))
+    found = counts.groupBy("cell").agg(F.max("n").alias("n")).collect()
+    total = asking.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return {r["cell"]: r["n"] for r in found}, total or 0
+
+
 def _query_groups(summary: pd.DataFrame, pivots: np.ndarray, most: int):
     """Cells in neighbouring order gathered to groups of about ``most`` queries.
 
@@ -122,15 +130,21 @@ def _query_groups(summary: pd.DataFrame, pivots: np.ndarray, most: int):
     return where, np.array(centers), np.array(radii)
 
 
-def _bounds(summary: pd.DataFrame, pivots, centers, radii, k: int) -> np.ndarray:
-    """For each group a score that ``k`` other rows reach with any of its queries."""
+def _bounds(summary: pd.DataFrame, pivots, centers, radii, k: int, own: dict, most_own: int) -> np.ndarray:
+    """For each group a score that ``k`` other rows reach with any of its queries.
+
+    Rows of a query's id are no candidates for it, and an id can hold any number of rows.
+    Of the rows of some cells, others than those of one id are at least all but
+    ``most_own``, and at least what ``own`` leaves of each cell; the larger counts.
+    """
     p, n, r = pivots[summary["cell"]].astype(float), summary["n"].to_numpy(), summary["radius"].to_numpy()
+    left = n - np.array([own.get(c, 0) for c in summary["cell"]])
     out = []
     for c, s in zip(centers, radii):
         low = p @ c - s * np.linalg.norm(p, axis=1) - r * np.linalg.norm(c) - s * r
         best = np.argsort(-low)
-        # One more than k, as a query is no candidate of its own.
-        enough = np.searchsorted(np.cumsum(n[best]), k + 1)
+        others = np.maximum(np.cumsum(n[best]) - most_own, np.cumsum(left[best]))
+        enough = np.searchsorted(others, k)
         out.append(low[best][enough] if enough < len(best) else -np.inf)
     return np.array(out)
 
@@ -195,12 +209,13 @@ def nearest(
     for r in chosen.collect():
         centers = np.vstack([centers, np.array(r["vector"] + [0] * (dim - len(r["vector"])), np.int64)])
     celled = materialize(_cells(rows, centers), "knn-cells")
-    queries = celled.filter(is_query).dropDuplicates(["id", "vector"])
+    asking = celled.filter(is_query)
+    queries = asking.dropDuplicates(["id", "vector"])
     summary, asked = _summary(celled), _summary(queries)
     if asked.empty:
         return spark.createDataFrame([], result)
     where, group_centers, radii = _query_groups(asked, centers, group_queries)
-    bounds = _bounds(summary, centers, group_centers, radii, k)
+    bounds = _bounds(summary, centers, group_centers, radii, k, *_own_rows(asking))
     parts = max(MIN_PARTS, -(-int(summary["n"].sum()) // part_rows))
 
     def replicate(batches):

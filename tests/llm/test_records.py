@@ -85,6 +85,18 @@ def test_knn_brute_force(spark, options):
     assert {tuple(r) for r in found} == brute_nearest(rows, 10)
 
 
+@pytest.mark.parametrize("options", [{}, {"pivots": 4, "group_queries": 1, "part_rows": 3}])
+def test_knn_ids_of_many_rows(spark, options):
+    schema = "vec_id bigint, embedding array<double>"
+    near = [(100, [10.0, 0.0])] * 12 + [(i, [1.0, 0.0]) for i in range(1, 21)]
+    random = np.random.default_rng(1)
+    third = [(0 if i % 3 == 0 else i, random.normal(size=4).round(1).tolist()) for i in range(1, 240)]
+    for rows in (near, third):
+        found = knn.nearest(spark.createDataFrame(rows, schema), F.col("id") % 100 == 0, 10, **options).collect()
+        expected = brute_nearest(rows, 10)
+        assert expected and {tuple(r) for r in found} == expected
+
+
 def test_knn_few_and_none(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert knn.nearest(spark.createDataFrame([], schema), F.col("id") % 100 == 0).count() == 0
