@@ -11,13 +11,17 @@ is always found. Where that must be exact, the hashes found are sent again as a
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SENT = "bucket int, batch int, payload binary"
 MB = 1 << 20
 

@@ -15,15 +15,20 @@ are one query; ties go to the smaller id; fewer than ``k`` candidates give them
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from matchloom.storage import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PIVOTS = 64
 # Queries that are solved together, and rows that one task holds against them.
 GROUP_QUERIES = 4096

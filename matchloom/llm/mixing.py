@@ -15,8 +15,11 @@ rows; extra columns are ignored. Draws depend on the seed and the rows alone.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from matchloom.operators.scale import BROADCAST_ROWS
 from matchloom.storage import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
 # Documents that one task rounds together, and residuals that meet in one tree node.

@@ -15,12 +15,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from matchloom.llm.flat import Texts
 from matchloom.storage import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CAPACITY = 4096
 END_ID = 1
 # Rows of one length that are numbered in one task.

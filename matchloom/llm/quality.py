@@ -15,16 +15,20 @@ inside ``doc``.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.llm.flat import Texts, Words
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PASSAGE_WORDS = 128
 BUCKETS = 256
 HIDDEN, GATES = 32, 16

@@ -14,10 +14,12 @@ empty table gives an empty one; other columns pass through inside ``doc``.
 
 from __future__ import annotations
 
+import sys
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,6 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from matchloom.llm.exchange import SENT, Layout, batched, in_other_batches
 from matchloom.llm.flat import Texts, Words, covered
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WIDTH = 35
 
 

@@ -25,8 +25,11 @@ table gives an empty one; other columns pass through inside ``doc``.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +37,8 @@ from pyspark.sql import types as T
 from matchloom.llm.exchange import SENT, Layout, batched, batches_holding
 from matchloom.llm.flat import Texts, mix, powers, prefix_hashes, stretch_hashes, BASE
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WIDTH = 50
 ANCHOR = 20
 # Anchors that this many batches hold are split up.

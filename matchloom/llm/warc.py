@@ -13,18 +13,22 @@ gives no files and no records; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.operators.scale import BROADCAST_ROWS
 from matchloom.storage import materialize, new_table_path
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_REVISIT_BYTES = 100
 FILE_BYTES = 1 << 28
 SPLIT_BYTES = 1 << 23
