@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchloom.llm import codes, fingerprint, jaccard, knn, language, license, mixing, packing, quality, substring, suffix, warc
+from matchloom.llm import codes, fingerprint, jaccard, knn, language, license, mixing, packing, quality, substring, suffix, variants, warc
 
 REGISTRY = {}
 # Queries that SQL can express at the driver's size; tests hold the others against brute force.
@@ -85,3 +85,8 @@ def op13_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
