@@ -221,14 +221,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _chunks(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
-    """About ``size`` bytes of text at a time."""
-    texts = Texts.of(batch.column("text"), lower=True)
+def _chunks(column: pa.ChunkedArray | pa.Array, size: int = 1 << 20) -> Iterator[Tokens]:
+    """Tokens of about ``size`` bytes of text at a time."""
+    texts = Texts.of(column, lower=True)
     marks = np.searchsorted(texts.offsets, np.arange(0, texts.offsets[-1] + 1, size))
     cuts = np.unique(np.concatenate([[0], marks, [len(texts)]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         own = texts.offsets[a : b + 1]
-        yield a, b, Texts(texts.data[own[0] : own[-1]], own - own[0])
+        yield Tokens.of(Texts(texts.data[own[0] : own[-1]], own - own[0]))
+
+
+def _distinct(column: pa.ChunkedArray) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(t.ids) for t in _chunks(column)]))
 
 
 def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,8 +282,8 @@ def count_tokens(docs: DataFrame, buckets: int) -> DataFrame:
             )
 
         for batch in batches:
-            for _, _, texts in _chunks(batch):
-                waiting.append(np.unique(Tokens.of(texts).ids, return_counts=True))
+            for tokens in _chunks(batch.column("text")):
+                waiting.append(np.unique(tokens.ids, return_counts=True))
                 n += len(waiting[-1][0])
                 if n > COUNT_IDS:
                     waiting = [_summed(*map(np.concatenate, zip(*waiting)))]
@@ -380,8 +384,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> tupl
             vocabulary, weights = pickle.loads(start.value)
             learners = [Learner(w) for w in weights]
             for batch in batches:
-                for _, _, texts in _chunks(batch):
-                    tokens = Tokens.of(texts)
+                for tokens in _chunks(batch.column("text")):
                     hashes = features(tokens)
                     classes, words = vocabulary.outcome(tokens.ids)
                     for a in range(0, len(classes), MINI_BATCH):
@@ -444,7 +447,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     batches = docs.select(key.cast("int").alias("batch"), "text", F.struct(*others).alias("doc"))
 
     def ask(table: pa.Table) -> pa.Table:
-        ids = np.unique(Tokens.of(Texts.of(table["text"], lower=True)).ids)
+        ids = _distinct(table["text"])
         cuts = _cuts(ids, buckets)
         full = np.flatnonzero(np.diff(cuts))
         return pa.table(
@@ -476,24 +479,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in arrow})
         vocabulary, weights = pickle.loads(model.value)
-        tokens = Tokens.of(Texts.of(table["text"], lower=True))
-        ids = np.unique(tokens.ids)
+        ids = _distinct(table["text"])
         cuts, known = _cuts(ids, buckets), np.zeros(len(ids), np.int64)
         for b, payload in zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist()):
             known[cuts[b] : cuts[b + 1]] = _wide(payload, cuts[b + 1] - cuts[b])
-        counts = known[np.searchsorted(ids, tokens.ids)]
-        base = np.log10((counts + 1) / (vocabulary.tokens + vocabulary.types + 1))
-        own = token_scores(tokens, counts, vocabulary, weights)
-        begin = tokens.first[:-1]
-        return pa.table(
-            {
-                "doc": table["doc"],
-                "n_tokens": pa.array(np.diff(tokens.first), pa.int64()),
-                "n_known": pa.array(np.add.reduceat((counts > 0).astype(np.int64), begin)),
-                "base_score": pa.array(np.add.reduceat(base, begin)),
-                "score": pa.array(np.add.reduceat(own, begin)),
-            }
-        )
+        found = []
+        for tokens in _chunks(table["text"]):
+            counts = known[np.searchsorted(ids, tokens.ids)]
+            base = np.log10((counts + 1) / (vocabulary.tokens + vocabulary.types + 1))
+            own = token_scores(tokens, counts, vocabulary, weights)
+            by_text = [np.add.reduceat(x, tokens.first[:-1]) for x in ((counts > 0).astype(np.int64), base, own)]
+            found.append((np.diff(tokens.first), *by_text))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*found)]
+        return pa.table(dict(zip(arrow.names, [table["doc"], *columns])))
 
     grouped = batches.groupBy("batch")
     asked = grouped.applyInArrow(ask, "bucket int, batch int, ids binary")
