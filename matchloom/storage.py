@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def keyed_table(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
+    """``df`` written once in as many buckets of ``key`` as shuffles have partitions.
+
+    Joins and groups on ``key`` read the buckets as they lie, without a shuffle, however
+    often they are asked. The table's name goes when the block ends; its files stay in the
+    shared folder, like those of other written tables.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key)
+    writer.option("path", new_table_path(spark, name)).saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
