@@ -2,15 +2,18 @@
 
 Each source's target is its share of all words by weight, at most ``cap`` times what it
 has. A document is taken ``target / source size`` times on average: the whole part for
-sure, the rest by chance. A document and the pool of its group's smaller ones exchange
-word mass, which keeps the source's total, until one side's chance is 0 or 1; which way
-the mass goes is drawn so that every chance keeps its mean. What is left undecided in one
+sure, the rest by chance. Two documents at a time exchange word mass, which keeps the
+source's total, until the chance of one is 0 or 1; which way the mass goes is drawn so that
+every chance keeps its mean. The open one meets the next, and what is left undecided in one
 group meets the residuals of other groups in a reduction tree, down to one document a
-source.
+source. That one is drawn, and what this adds or takes is made up for by decided documents
+of the last group, larger ones first: totals come as near their targets as the smallest of
+them allow, at the cost of the equal chance of those few.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of
-its own, ranked last; repeated rows are separate documents; an empty table gives no
-rows; extra columns are ignored. Draws depend on the seed and the rows alone.
+its own, ranked last; repeated rows are separate documents, dealt out over groups like
+others; an empty table gives no rows; extra columns are ignored. Draws depend on the seed
+and the rows alone.
 """
 
 from __future__ import annotations
@@ -89,50 +92,93 @@ def source_targets(
 def _settle(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator) -> np.ndarray:
     """Round chances, keeping the sum of chance times size; at most one stays open.
 
-    ``sizes`` come in descending order. A document is paired with the pool of all open
-    ones after it, whose chances move together: mass goes one way or the other until the
-    document, or else one of the pool, is decided. As the pool has far more mass than
-    one document, large ones are decided first and what stays open is small.
+    ``sizes`` come in descending order, so documents of like sizes meet.
     """
-    chance = chances.copy()
-    for i in range(len(chance)):
-        pool = i + 1 + np.flatnonzero((chance[i + 1 :] > 0) & (chance[i + 1 :] < 1))
-        while 0.0 < chance[i] < 1.0 and len(pool):
-            mass, x, y = sizes[pool].sum(), chance[i], chance[pool]
-            up, down = (1 - x) * sizes[i], x * sizes[i]
-            pool_up, pool_down = y.min() * mass, (1 - y).min() * mass
-            gain, loss = min(up, pool_up), min(down, pool_down)
-            if random.random() * (gain + loss) < loss:
-                chance[i] = 1.0 if up <= pool_up else x + gain / sizes[i]
-                moved = np.where((pool_up <= up) & (y == y.min()), 0.0, y - gain / mass)
-            else:
-                chance[i] = 0.0 if down <= pool_down else x - loss / sizes[i]
-                moved = np.where((pool_down <= down) & (y == y.max()), 1.0, y + loss / mass)
-            chance[pool] = np.clip(moved, 0.0, 1.0)
-            pool = pool[(chance[pool] > 0) & (chance[pool] < 1)]
-    return chance
+    size, chance = sizes.tolist(), chances.tolist()
+    draws = random.random(len(size)).tolist()
+    i = None
+    for j, y in enumerate(chance):
+        if not 0.0 < y < 1.0:
+            continue
+        if i is None:
+            i = j
+            continue
+        x, a, b = chance[i], size[i], size[j]
+        gain, loss = min((1 - x) * a, y * b), min(x * a, (1 - y) * b)
+        if draws[j] * (gain + loss) < loss:
+            chance[i] = 1.0 if gain == (1 - x) * a else x + gain / a
+            chance[j] = 0.0 if gain == y * b else y - gain / b
+        else:
+            chance[i] = 0.0 if loss == x * a else x - loss / a
+            chance[j] = 1.0 if loss == (1 - y) * b else y + loss / b
+        # Whichever is open goes on; rounding errors may leave none.
+        i = next((k for k in (i, j) if 0.0 < chance[k] < 1.0), None)
+    return np.array(chance)
+
+
+def _close(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Draw the last open document and make up for the difference with decided ones."""
+    out = chances.copy()
+    open_ = np.flatnonzero((out > 0) & (out < 1))
+    if not len(open_):
+        return out
+    k = open_[0]
+    drawn = float(random.random() < chances[k])
+    tries = []
+    for end in (drawn, 1 - drawn):
+        one = out.copy()
+        one[k] = end
+        excess = sizes[k] * (end - chances[k])
+        for j in range(len(one)):  # descending sizes
+            # Taking out, or in, a document no larger than what is over, or missing.
+            change = sizes[j] if one[j] == 1 else -sizes[j]
+            if j != k and excess and change and 0 < change / excess <= 1:
+                one[j] = 1 - one[j]
+                excess -= change
+        tries.append((abs(excess), one))
+    # As drawn, unless the others cannot make up for that.
+    (error, one), (other_error, other) = tries
+    return other if other_error + sizes[sizes > 0].min() < error else one
 
 
 def _round_group(seed: int, level: int, last: bool):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         # Large documents first, so that what stays open is small.
-        group = group.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True])
+        group = group.sort_values(
+            ["size", "doc_id", "text_hash", "copy"], ascending=[False, True, True, True]
+        )
         source = group["source"].iloc[0]
         key = "" if source is None or pd.isna(source) else f"s{source}"
         node = int(group["_node"].iloc[0])
         # The draw is a function of seed, level, node and source.
         words = np.frombuffer(f"{seed}|{level}|{node}|{key}".encode(), np.uint8)
         random = np.random.default_rng(words.astype(np.uint32))
-        out = _settle(
-            group["size"].to_numpy(float), group["chance"].to_numpy(float), random
-        )
-        if last:  # the last open document of a source
-            out = np.where((out > 0) & (out < 1), random.random(len(out)) < out, out)
+        words = group["size"].to_numpy(float)
+        out = _settle(words, group["chance"].to_numpy(float), random)
+        if last:
+            out = _close(words, out, random)
         return group.assign(chance=out)
 
     return settle
 
 
+def _numbered(sizes: DataFrame, block: int = 4096) -> DataFrame:
+    """``sizes`` with ``copy``, a number among equal rows.
+
+    Equal rows become one with a count, which then gives blocks, and blocks rows, so that
+    no task makes an unbounded number of copies.
+    """
+    counted = sizes.groupBy(*sizes.columns).agg(F.count("*").alias("_n"))
+    some = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / block))))
+    if not counted.filter(F.col("_n") > block).isEmpty():
+        some = some.repartition("doc_id", "text_hash", "_block")
+    rest = F.least(F.lit(block).cast("bigint"), F.col("_n") - F.col("_block") * block)
+    step = F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1))
+    return some.withColumn("_step", step).select(
+        *sizes.columns, (F.col("_block") * block + F.col("_step")).alias("copy")
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -142,7 +188,7 @@ def mix_sources(
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, source, text_hash; a row per input row."""
-    sizes = materialize(document_sizes(docs), "mix-sizes")
+    sizes = materialize(_numbered(document_sizes(docs)), "mix-sizes")
     targets = materialize(source_targets(sizes, weights, cap), "mix-targets")
     small = targets.count() <= BROADCAST_ROWS
     share = F.col("target") / F.col("source_size")
@@ -156,7 +202,7 @@ def mix_sources(
         .withColumn("_whole", F.floor("_rate").cast("bigint"))
         .withColumn("chance", F.when(F.col("size") > 0, F.col("_rate") - F.col("_whole")).otherwise(0.0))
         .withColumn("_nodes", F.ceil(F.col("n_docs") / group_rows).cast("bigint"))
-        .withColumn("_node", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), "_nodes"))
+        .withColumn("_node", F.pmod(F.xxhash64("doc_id", "text_hash", "copy", F.lit(seed)), "_nodes"))
         .drop("n_docs")
     )
     widest = targets.agg(F.max(F.ceil(F.col("n_docs") / group_rows))).first()[0] or 1

@@ -215,8 +215,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     blocks = -(-max(histogram.values(), default=1) // RANK_ROWS)
     order = ("doc_id", "piece", "ids_crc32", "start")
+    # Pieces are a stored table; its row numbers tell pieces of one id apart.
     blocked = pieces.withColumn(
-        "_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int")
+        "_block",
+        F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"),
     )
     before = W.partitionBy("length").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (

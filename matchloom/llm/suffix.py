@@ -15,8 +15,10 @@ is cut into independent parts that never separate equal strings:
   byte by byte; the smallest document of such a run is its strings' first document.
 
 Anchors held by very many batches are replaced by the strings themselves, so that no
-group grows with the corpus. Strings are judged on the input. Stretches are told apart by
-64-bit hashes.
+group grows with the corpus. Strings are judged on the input. What the sort compares is
+verified byte by byte. Whole stretches that are equal, and the strings that replace such
+anchors, are decided without a sort by two hashes of different kinds, that of the anchor
+(its bucket and 32 bits) and a 64-bit polynomial one of all bytes.
 
 Defined cases: a null text is empty; texts shorter than ``width`` lose nothing; documents
 of equal id never remove each other's bytes; a null id counts as the largest; an empty
@@ -99,7 +101,9 @@ class Stretches:
         single = np.repeat(chosen, n)
         high = np.where(single, low, np.repeat(self.high, n))
         anchor = np.repeat(self.anchor, n)
-        anchor[single] = mix(stretch_hashes(prefix, low[single], low[single] + width) + np.uint64(1))
+        # The anchor's own hash stays part of the string's.
+        whole = stretch_hashes(prefix, low[single], low[single] + width)
+        anchor[single] = mix(whole + mix(anchor[single]))
         self.low, self.high, self.anchor, self.text = low, high, anchor, np.repeat(self.text, n)
 
 
@@ -195,6 +199,16 @@ def _unpack(payload: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _narrow(ids: np.ndarray) -> np.ndarray:
+    """The bytes of ids, four each where all fit."""
+    fit = not len(ids) or (ids.min() >= -(1 << 31) and ids.max() < 1 << 31)
+    return np.ascontiguousarray(ids.astype(np.int32 if fit else np.int64)).view(np.uint8)
+
+
+def _wide(data: np.ndarray, n: int) -> np.ndarray:
+    return data.view(np.int32 if len(data) == 4 * n else np.int64).astype(np.int64)
+
+
 def _pieces(batch: int, buckets, payloads) -> pa.Table:
     n = len(payloads)
     return pa.table(
@@ -250,9 +264,10 @@ class _Batch:
     def send_stretches(self, batch: int) -> pa.Table:
         runs, sample = self.runs, self.sample
         full = np.flatnonzero(np.diff(self.cuts))
+        places = self.layout.places(runs.anchor[sample], self.cuts)
+        parts = [slice(self.cuts[b], self.cuts[b + 1]) for b in full]
         return _pieces(batch, full, [
-            _pack(runs.anchor[s], self.key[s], self.ids[runs.text[s]])
-            for s in (sample[self.cuts[b] : self.cuts[b + 1]] for b in full)
+            _pack(self.key[sample[p]], places[p], _narrow(self.ids[runs.text[sample[p]]])) for p in parts
         ])
 
     def hear_stretches(self) -> None:
@@ -260,9 +275,10 @@ class _Batch:
         self.first = np.zeros(len(self.sample), np.int64)
         contested = np.zeros(len(self.sample), bool)
         for bucket, payload in zip(*(self.kinds[1][c].to_pylist() for c in ("bucket", "payload"))):
-            first, several = _unpack(payload, np.int64, np.bool_)
-            self.first[self.cuts[bucket] : self.cuts[bucket + 1]] = first
-            contested[self.cuts[bucket] : self.cuts[bucket + 1]] = several
+            a, b = self.cuts[bucket], self.cuts[bucket + 1]
+            several, first = _unpack(payload, np.uint8, np.uint8)
+            self.first[a:b] = _wide(first, b - a)
+            contested[a:b] = np.unpackbits(several, count=b - a)
         self.enters = contested & (self.ids[self.runs.text[self.sample]] == self.first)
 
     def entering(self):
@@ -314,8 +330,12 @@ class _Batch:
 
 
 def _judge_stretches(table: pa.Table) -> pa.Table:
-    """For every stretch sent: its first document, and whether its anchor has others."""
-    parts = [_unpack(p, np.uint64, np.uint64, np.int64) for p in table["payload"].to_pylist()]
+    """For every stretch sent: its first document, and whether its anchor has others.
+
+    Anchors that share a place count as one; then more stretches than need be are sorted.
+    """
+    parts = [_unpack(p, np.uint64, np.uint32, np.uint8) for p in table["payload"].to_pylist()]
+    parts = [(place, key, _wide(doc, len(key))) for key, place, doc in parts]
     anchor, key, doc = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((doc, key, anchor))
     a, k = anchor[order], key[order]
@@ -329,7 +349,8 @@ def _judge_stretches(table: pa.Table) -> pa.Table:
     first_of[order], several_of[order] = first, several
     ends = np.cumsum([len(p[0]) for p in parts])
     replies = [
-        _pack(first_of[e - len(p[0]) : e], several_of[e - len(p[0]) : e]) for e, p in zip(ends, parts)
+        _pack(np.packbits(several_of[e - len(p[0]) : e]), _narrow(first_of[e - len(p[0]) : e]))
+        for e, p in zip(ends, parts)
     ]
     return pa.table({"bucket": table["bucket"], "batch": table["batch"], "payload": pa.array(replies, pa.binary())})
 
