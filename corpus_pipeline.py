@@ -32,30 +32,29 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id.
 
-    Rows without an id are kept; of rows that repeat an id one is kept, the smallest by
-    text. Documents without words are alike to nothing and stay.
+    Rows without an id are kept. Rows that repeat an id are documents of their own, so only
+    copies go. Documents without words are alike to nothing and stay.
     """
-    copies = (
-        jaccard.similar_components(docs)
-        .filter("n_shingles > 0 and component_id <> doc_id")
-        .select("doc_id")
-        .distinct()
-    )
-    kept = docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = materialize(
-        docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"))
-        .filter("_n > 1").select("doc_id"),
-        "repeated-ids",
-    )
-    if repeated.isEmpty():
-        return kept
+    rows = docs.select(*COLUMNS)
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("doc_id is not null and _n > 1")
+    if several.isEmpty():
+        copies = (
+            jaccard.similar_components(rows)
+            .filter("n_shingles > 0 and component_id <> doc_id")
+            .select("doc_id")
+        )
+        return rows.join(copies.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    # Written with a number per row, by which rows of one id are told apart.
+    number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("_row", number), "numbered")
+    found = jaccard.similar_components(rows.select(F.col("_row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = materialize(found.select(F.col("doc_id").alias("_row"), "component_id"), "numbered-groups")
     first = (
-        kept.join(repeated, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row"))
-        .select("doc_id", "_row.*")
+        rows.select("_row", "doc_id").join(found, "_row")
+        .groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
     )
-    return kept.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(first)
+    copies = found.join(first, "component_id").filter("_row <> _first._row").select("_row")
+    return rows.join(copies, "_row", "left_anti").select(*COLUMNS)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +82,8 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def matched(part: DataFrame) -> DataFrame:
         same = [rows[k].eqNullSafe(part[k]) for k in keys]
-        return rows.join(part, same[0] & same[1] & same[2]).select(
+        # One row per document: too many to broadcast, however few there are now.
+        return rows.join(part.hint("merge"), same[0] & same[1] & same[2]).select(
             *[rows[c] for c in COLUMNS], rows["text_hash"], "_sum", "_rows"
         )
 
