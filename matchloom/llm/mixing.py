@@ -6,9 +6,10 @@ sure, the rest by chance. Two documents at a time exchange word mass, which keep
 source's total, until the chance of one is 0 or 1; which way the mass goes is drawn so that
 every chance keeps its mean. The open one meets the next, and what is left undecided in one
 group meets the residuals of other groups in a reduction tree, down to one document a
-source. That one is drawn, and what this adds or takes is made up for by decided documents
-of the last group, larger ones first: totals come as near their targets as the smallest of
-them allow, at the cost of the equal chance of those few.
+source. One group of each source waits for that last level. There the last open document is
+drawn, and what this adds or takes is made up for by decided ones, larger ones first: totals
+come as near their targets as the smallest of them allow, at the cost of the equal chance of
+those few.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of
 its own, ranked last; repeated rows are separate documents, dealt out over groups like
@@ -143,6 +144,8 @@ def _close(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator)
 
 def _round_group(seed: int, level: int, last: bool):
     def settle(group: pd.DataFrame) -> pd.DataFrame:
+        if not last and group["_node"].iloc[0] == 0:
+            return group  # waits for the last level, to make up for what comes there
         # Large documents first, so that what stays open is small.
         group = group.sort_values(
             ["size", "doc_id", "text_hash", "copy"], ascending=[False, True, True, True]
