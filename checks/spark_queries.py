@@ -20,6 +20,7 @@ from matchloom.operators import (
     lexical,
     matching,
     quality,
+    quantized,
     relational,
     retrieval,
     scale,
@@ -707,6 +708,33 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     return ann.recall(exact, ann.ann_top_k(queries, stored, 10, centroids, 3))
 
 
+def _quantized(spark: SparkSession, sf: str):
+    """Index with trained cells and codebooks, and every hundredth vector as a query."""
+    vectors = _vectors(spark, sf)
+    quantizer = quantized.train_quantizer(vectors, 16)
+    path = new_table_path(spark, "quantized")
+    quantized.write_index(vectors, quantizer, path)
+    index = quantized.read_index(spark, path, quantizer)
+    queries = vectors.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return vectors, index, queries, quantized.choose_effort(index, 10, 0.95)
+
+
+@query
+def ann_quantized_topk(spark: SparkSession, sf: str) -> DataFrame:
+    _, index, queries, effort = _quantized(spark, sf)
+    return _ranked(quantized.top_k(queries, index, 10, effort))
+
+
+@query
+def ann_quantized_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of ordinary queries, and how many rows were scored with their full vectors."""
+    vectors, index, queries, effort = _quantized(spark, sf)
+    found = ann.recall(similarity.top_k_by_dot(queries, vectors, 10), quantized.top_k(queries, index, 10, effort))
+    return found.withColumns(
+        {"probes": F.lit(effort.probes), "rows_listed": F.lit(effort.listed), "rows_all": F.lit(vectors.count())}
+    )
+
+
 # --- patient matching ------------------------------------------------------------
 
 
