@@ -549,6 +549,8 @@ QUERIES: dict[str, str] = {
         SELECT query_id, count(*) AS rows_scored, (SELECT count(*) FROM cell_of) AS rows_all
         FROM probes JOIN cell_of USING (cell) GROUP BY query_id""",
     "incremental_index": "SELECT query_id, chunk_id, score, rank FROM fused_10",
+    "index_after_updates": "SELECT query_id, chunk_id, score, rank FROM fused_10",
+    "bm25_from_postings": "SELECT query_id, chunk_id, score, rank FROM sparse_10",
     "filter_phase_status": """
         SELECT nct_id, phase, status FROM trials WHERE phase = 'en' AND status = 'src5'""",
     "filter_min_enrollment": """

@@ -17,6 +17,7 @@ from matchloom.operators import (
     criteria,
     demographics,
     embedding,
+    impact,
     lexical,
     matching,
     quality,
@@ -593,6 +594,27 @@ def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.rank_chunks(index, view(spark, sf, "queries"), k=10))
 
 
+@query
+def bm25_from_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from the stored postings, block by block, with early termination."""
+    terms = lexical.query_terms(view(spark, sf, "queries"), "query_id", "query")
+    return _ranked(impact.bm25_from_blocks(_index(spark, sf).lexical, terms, 10))
+
+
+@query
+def index_after_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Search in an index whose studies were changed and withdrawn after it was written."""
+    path, chunks = new_table_path(spark, "updated_index"), _study_chunks(spark, sf)
+    early = chunks.filter("phase <> 'fr'")
+    outdated = early.withColumn("text", F.when(F.col("chunk_index") % 2 == 0, F.reverse("text")).otherwise(F.col("text")))
+    extra = early.withColumns({c: F.concat(F.lit("gone-"), F.col(c).cast("string")) for c in ("nct_id", "chunk_id")})
+    search.write_search_index(outdated.withColumn("nct_id", F.col("nct_id").cast("string")).unionByName(extra), path)
+    chunks = chunks.withColumn("nct_id", F.col("nct_id").cast("string"))
+    search.replace_in_index(chunks, path, withdrawn=extra.select("nct_id").distinct())
+    index = search.read_search_index(spark, path, _trials(spark, sf))
+    return _ranked(search.rank_chunks(index, view(spark, sf, "queries"), k=10))
+
+
 @query
 def filter_phase_status(spark: SparkSession, sf: str) -> DataFrame:
     keep = retrieval.phase_status_filter(phase="en", status="src5")

@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from matchloom.functions.text import tokens
 from matchloom.functions.vectors import SCORE_DIGITS
@@ -41,18 +42,25 @@ B = 0.75
 FILE_ROWS = 5_000_000
 
 
+# Folders that terms are dealt to; the same in every batch that is added.
+TERM_BUCKETS = 64
+
+
 class LexicalIndex(NamedTuple):
-    postings: DataFrame  # term, chunk_id, tf, dl (+ term_bucket when written)
-    frequencies: DataFrame  # term, df
+    postings: DataFrame  # term, chunk_id, tf, dl
+    frequencies: DataFrame  # term, df (+ term_bucket when written)
     stats: DataFrame  # one row: n_chunks, avg_dl
     forward: DataFrame | None = None  # chunk_id, terms in text order, duplicates kept
+    blocks: DataFrame | None = None  # stored postings: batch, term_bucket, term, block, ...
+    withdrawn: DataFrame | None = None  # chunk_id, batch of stored postings that no longer count
 
 
 def build_lexical_index(
-    chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text"
+    chunks: DataFrame, *, chunk_id: str = "chunk_id", text: str = "text", terms: str | None = None
 ) -> LexicalIndex:
-    """Term counts of every chunk; chunk ids must be unique."""
-    listed = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(text).alias("_terms"))
+    """Term counts of every chunk; chunk ids must be unique. ``terms``: texts cut already."""
+    cut = tokens(text) if terms is None else F.col(terms)
+    listed = chunks.select(F.col(chunk_id).alias("chunk_id"), cut.alias("_terms"))
     postings = (
         listed.select(
             # The outer form: the plain one adds a filter that tokenises once more.
@@ -71,19 +79,20 @@ def build_lexical_index(
     return LexicalIndex(postings, frequencies, stats, listed.withColumnRenamed("_terms", "terms"))
 
 
-def _term_bucket(buckets: Column | int) -> Column:
-    n = F.lit(buckets) if isinstance(buckets, int) else buckets
-    return F.pmod(F.xxhash64("term"), n).cast("int")
+def term_bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def write_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite") -> None:
-    """Persist the index, or add chunks that it does not have yet with ``mode='append'``.
+def write_lexical_index(index: LexicalIndex, path: str, batch: str) -> None:
+    """Add a batch of chunks to the stored index; readers name the batches they trust.
 
-    The token count sets the number of buckets and of files in each. A bucket is split
-    over its files by chunk, so a frequent term's bucket is not one task's work.
-    Frequencies and statistics are sums, so an addition only appends its own.
+    Postings are stored in blocks by impact, in a folder per batch and term bucket. A folder
+    is written by as many tasks as its blocks' count asks for, dealt by block, so a frequent
+    term's folder is not one task's work. Frequencies and statistics are sums, so a batch
+    brings its own.
     """
-    spark = index.postings.sparkSession
+    from matchloom.operators.impact import impact_blocks
+
     added = materialize(
         index.stats.select(
             "n_chunks", F.coalesce(F.col("n_chunks") * F.col("avg_dl"), F.lit(0.0)).alias("total_dl")
@@ -92,35 +101,59 @@ def write_lexical_index(index: LexicalIndex, path: str, mode: str = "overwrite")
     )
     size = added.first()
     files = max(8, int(size["total_dl"] // FILE_ROWS))
-    buckets = max(1, files // 8)
-    parts = -(-files // buckets)
-    part = F.pmod(F.xxhash64("chunk_id"), F.lit(parts))
+    avg_dl = size["total_dl"] / size["n_chunks"] if size["n_chunks"] else 0.0
     postings = materialize(index.postings, "postings")
+    blocks = impact_blocks(postings, avg_dl).withColumns({"term_bucket": term_bucket(), "batch": F.lit(batch)})
+    part = F.pmod(F.xxhash64("block"), F.lit(max(1, files // TERM_BUCKETS)))
     (
-        postings.withColumns({"term_bucket": _term_bucket(buckets), "_part": part})
+        blocks.withColumn("_part", part)
         .repartition(files, "term_bucket", "_part")
         .drop("_part")
-        .write.mode(mode)
-        .partitionBy("term_bucket")
+        .sortWithinPartitions("term_bucket", "term")
+        .write.mode("append")
+        .partitionBy("batch", "term_bucket")
         .parquet(f"{path}/postings")
     )
     # Counted from the written postings: no second tokenisation.
-    postings.groupBy("term").agg(F.count("*").alias("df")).write.mode(mode).parquet(
-        f"{path}/frequencies"
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
+    add_counts(frequencies, added, path, batch)
+
+
+def add_counts(frequencies: DataFrame, totals: DataFrame, path: str, batch: str) -> None:
+    """Add to document frequencies (term, df) and to the totals (n_chunks, total_dl); less than
+    zero where chunks are withdrawn."""
+    (
+        frequencies.withColumns({"term_bucket": term_bucket(), "batch": F.lit(batch)})
+        .repartition("term_bucket").sortWithinPartitions("term")
+        .write.mode("append").partitionBy("batch", "term_bucket").parquet(f"{path}/frequencies")
     )
-    added.write.mode(mode).parquet(f"{path}/stats")
+    totals.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/stats")
 
 
 def read_lexical_index(
-    spark: SparkSession, path: str, forward: DataFrame | None = None
+    spark: SparkSession, path: str, batches: list[str], forward: DataFrame | None = None,
+    withdrawn: DataFrame | None = None,
 ) -> LexicalIndex:
-    """``forward`` is the table of chunks with their ``terms``, for scoring."""
-    frequencies = spark.read.parquet(f"{path}/frequencies").groupBy("term").agg(F.sum("df").alias("df"))
-    stats = spark.read.parquet(f"{path}/stats").agg(
+    """The index of the named batches. ``forward`` is the table of chunks with their
+    ``terms``; ``withdrawn`` (chunk_id, batch) says which stored postings no longer count."""
+    from matchloom.operators.impact import explode_blocks
+
+    trusted = F.col("batch").isin(batches)
+    frequencies = (
+        spark.read.parquet(f"{path}/frequencies").filter(trusted)
+        .groupBy("term_bucket", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+    )
+    stats = spark.read.parquet(f"{path}/stats").filter(trusted).agg(
         F.sum("n_chunks").alias("n_chunks"),
         F.try_divide(F.sum("total_dl"), F.sum("n_chunks")).alias("avg_dl"),
     )
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), frequencies, stats, forward)
+    blocks = spark.read.parquet(f"{path}/postings").filter(trusted)
+    postings = explode_blocks(blocks)
+    if withdrawn is not None:
+        postings = postings.join(withdrawn, ["chunk_id", "batch"], "left_anti")
+    return LexicalIndex(
+        postings.select("term", "chunk_id", "tf", "dl"), frequencies, stats, forward, blocks, withdrawn
+    )
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
@@ -164,7 +197,7 @@ def _query_weights(index: LexicalIndex, terms: DataFrame) -> QueryWeights:
     )
 
 
-def _best_in_task(weights: QueryWeights, avg_dl: float, k: int, k1: float, b: float):
+def _best_in_task(weights: QueryWeights, kind: pa.DataType, avg_dl: float, k: int, k1: float, b: float):
     """A task function: its chunks' scores, of which each query keeps the best ``k``.
 
     Chunks are scored a block at a time, so that block times queries stays bounded.
@@ -192,7 +225,7 @@ def _best_in_task(weights: QueryWeights, avg_dl: float, k: int, k1: float, b: fl
         if kept:
             kept, ids = _cut(kept, ids, k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([weights.queries[q] for q in kept[0][0]]), ids[0], pa.array(kept[0][1])],
+                [pa.array([weights.queries[q] for q in kept[0][0]], kind), ids[0], pa.array(kept[0][1])],
                 names=["query_id", "chunk_id", "score"],
             )
 
@@ -256,12 +289,13 @@ def bm25_top_k(
     size = terms.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("q")).first()
     parts = max(1, -(-size["n"] // TERM_ROWS), -(-size["q"] // QUERY_ROWS))
     avg_dl = index.stats.first()["avg_dl"] or 0.0
+    kind = to_arrow_type(terms.schema["query_id"].dataType)
     found = []
     for part in range(parts if k > 0 else 0):
         own = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         weights = _query_weights(index, own)
         if weights.queries:
-            run = _best_in_task(weights, avg_dl, k, k1, b)
+            run = _best_in_task(weights, kind, avg_dl, k, k1, b)
             found.append(forward.select("chunk_id", "terms").mapInArrow(run, schema))
     if not found:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))

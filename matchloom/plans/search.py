@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from matchloom.functions.text import tokens
-from matchloom.operators import lexical
+from matchloom.operators import impact, lexical
 from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_input
 from matchloom.operators.lexical import LexicalIndex
 from matchloom.operators.retrieval import (
@@ -26,6 +27,8 @@ from matchloom.sources.sinks import new_chunks
 from matchloom.storage import materialize
 
 LEGS = ("dense", "sparse")
+# Requests that are answered from the postings of their terms; more share a scan of all chunks.
+POSTING_QUERIES = 16
 
 
 class IndexCounts(NamedTuple):
@@ -73,52 +76,139 @@ def extend_search_index(
     a search finds what it would in an index built at once. Repeating a call adds nothing;
     chunks that were rejected before are tried again.
     """
-    spark = chunks.sparkSession
-    try:
-        known = _stored(spark, path, rejected=False)
-    except AnalysisException:
-        return write_search_index(
-            chunks, path, embedder=embedder, metadata=metadata, tolerate=tolerate
-        )
-    fresh = materialize(new_chunks(materialize(chunks, "incoming"), known), "fresh")
+    fresh = materialize(chunks, "incoming")
+    if committed_batches(chunks.sparkSession, path):
+        fresh = materialize(new_chunks(fresh, _stored(chunks.sparkSession, path, rejected=False)), "fresh")
     return _add_chunks(fresh, path, "append", embedder, metadata, tolerate)
 
 
+def replace_in_index(
+    chunks: DataFrame,
+    path: str,
+    *,
+    withdrawn: DataFrame | None = None,
+    key: str = "nct_id",
+    embedder: Embedder | None = None,
+    metadata: str | None = None,
+    tolerate: tuple[type[BaseException], ...] = TOLERATED,
+) -> IndexCounts:
+    """Put the chunks of changed trials in place of their earlier ones, and withdraw trials.
+
+    ``chunks`` holds all chunks of each changed or new trial; ``withdrawn`` has the ``key``
+    of trials that go. What the index held of either is marked as withdrawn and taken out of
+    the frequencies and totals by negative counts; nothing stored is rewritten. Afterwards a
+    search answers like an index built anew, and a failure on the way changes nothing.
+    """
+    fresh = materialize(chunks, "incoming")
+    keys = fresh.select(key)
+    keys = keys if withdrawn is None else keys.union(withdrawn.select(key))
+    return _add_chunks(fresh, path, "append", embedder, metadata, tolerate, gone=materialize(keys.distinct(), "replaced"))
+
+
 def _add_chunks(
-    chunks: DataFrame, path: str, mode: str, embedder: Embedder | None, metadata: str | None, tolerate
+    chunks: DataFrame, path: str, mode: str, embedder: Embedder | None, metadata: str | None, tolerate,
+    gone: DataFrame | None = None,
 ) -> IndexCounts:
+    """Write a batch and commit it: all of its parts are seen together, or none.
+
+    Every part lies in folders of the batch's own id. The last write adds the id to the
+    manifest, which readers go by; a batch that ended before that is never read.
+    """
     spark = chunks.sparkSession
+    batch = f"b{uuid.uuid4().hex}"
+    if gone is not None and committed_batches(spark, path):
+        _withdraw(spark, path, gone, batch)
     text = embed_input("text", F.col(metadata) if metadata else None)
     embedded = embed_column(chunks, text, embedder=embedder, tolerate=tolerate)
     # A chunk's terms stand beside its metadata, where filters reach both.
     embedded = embedded.withColumn("terms", tokens("text"))
     # One pass of the model writes both kinds, each in a folder of its own.
-    marked = embedded.withColumn("rejected", F.col("error").isNotNull())
-    if mode == "append":
-        # What is new is written apart first, so that its terms are counted from it alone.
-        marked = materialize(marked, "added")
-    marked.write.mode(mode).partitionBy("rejected").parquet(f"{path}/chunks")
-    written = _stored(spark, path, rejected=False) if mode == "overwrite" else marked.filter("NOT rejected")
-    lexical.write_lexical_index(lexical.build_lexical_index(written), f"{path}/lexical", mode)
-    return IndexCounts(written.count(), rejected_chunks(spark, path).count())
+    marked = embedded.withColumns({"rejected": F.col("error").isNotNull(), "batch": F.lit(batch)})
+    marked.write.mode("append").partitionBy("batch", "rejected").parquet(f"{path}/chunks")
+    written = spark.read.parquet(f"{path}/chunks").filter(F.col("batch") == batch)
+    written = written.filter(~F.col("rejected")).select("chunk_id", "text", "terms")
+    lexical.write_lexical_index(lexical.build_lexical_index(written, terms="terms"), f"{path}/lexical", batch)
+    # An index that is written anew starts the next generation.
+    generation = _generation(spark, path)
+    commit = [(batch, generation + 1 if mode == "overwrite" else max(generation, 1))]
+    spark.createDataFrame(commit, "batch string, generation int").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    indexed = written.count() if gone is None else _stored(spark, path, rejected=False).count()
+    return IndexCounts(indexed, rejected_chunks(spark, path).count())
+
+
+def _withdraw(spark: SparkSession, path: str, keys: DataFrame, batch: str) -> None:
+    """Mark stored chunks of the given trials as withdrawn, with negative counts."""
+    columns = ["chunk_id", F.col("batch").alias("of_batch"), "terms"]
+    old, refused = (
+        _stored(spark, path, rejected=kind, batches=True).join(keys, keys.columns, "left_semi").select(*columns)
+        for kind in (False, True)
+    )
+    old = materialize(old, "withdrawn")
+    marks = old.unionByName(refused).select("chunk_id", "of_batch", F.lit(batch).alias("batch"))
+    marks.write.mode("append").partitionBy("batch").parquet(f"{path}/withdrawn")
+    frequencies = old.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(
+        (-F.count("*")).alias("df")
+    )
+    totals = old.agg(
+        (-F.count("*")).alias("n_chunks"),
+        F.coalesce(-F.sum(F.size("terms")).cast("double"), F.lit(0.0)).alias("total_dl"),
+    )
+    lexical.add_counts(frequencies, totals, f"{path}/lexical", batch)
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(batch, generation) of all commits: one row a batch."""
+    try:
+        return [tuple(r) for r in spark.read.schema("batch string, generation int").parquet(f"{path}/manifest").collect()]
+    except AnalysisException:
+        return []
+
 
+def _generation(spark: SparkSession, path: str) -> int:
+    return max((g for _, g in _manifest(spark, path)), default=0)
 
-def _stored(spark: SparkSession, path: str, *, rejected: bool) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/chunks")
-    return stored.filter(F.col("rejected") == rejected).drop("rejected")
+
+def committed_batches(spark: SparkSession, path: str) -> list[str]:
+    """The batches that make up the index now."""
+    found = _manifest(spark, path)
+    last = max((g for _, g in found), default=0)
+    return sorted(b for b, g in found if g == last)
+
+
+def _withdrawn(spark: SparkSession, path: str) -> DataFrame | None:
+    """(chunk_id, batch) of stored chunks that no longer count."""
+    try:
+        marks = spark.read.parquet(f"{path}/withdrawn")
+    except AnalysisException:
+        return None
+    marks = marks.filter(F.col("batch").isin(committed_batches(spark, path)))
+    return marks.select("chunk_id", F.col("of_batch").alias("batch")).distinct()
+
+
+def _stored(spark: SparkSession, path: str, *, rejected: bool, batches: bool = False) -> DataFrame:
+    stored = spark.read.parquet(f"{path}/chunks").filter(
+        F.col("batch").isin(committed_batches(spark, path)) & (F.col("rejected") == rejected)
+    )
+    marks = _withdrawn(spark, path)
+    if marks is not None:
+        stored = stored.join(marks, ["chunk_id", "batch"], "left_anti")
+    return stored.drop("rejected") if batches else stored.drop("rejected", "batch")
 
 
 def rejected_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks without a vector, with the reason in ``error``."""
-    return _stored(spark, path, rejected=True).drop("embedding", "terms")
+    """Chunks without a vector, with the reason in ``error``; not those accepted since."""
+    refused = _stored(spark, path, rejected=True).drop("embedding", "terms").dropDuplicates(["chunk_id"])
+    accepted = _stored(spark, path, rejected=False).select("chunk_id")
+    return refused.join(accepted, "chunk_id", "left_anti").select(*refused.columns)
 
 
 def read_search_index(spark: SparkSession, path: str, trials: DataFrame) -> SearchIndex:
     chunks = _stored(spark, path, rejected=False).drop("error")
     forward = chunks.select("chunk_id", "terms")
-    return SearchIndex(
-        chunks, lexical.read_lexical_index(spark, f"{path}/lexical", forward), trials
+    stored = lexical.read_lexical_index(
+        spark, f"{path}/lexical", committed_batches(spark, path), forward, _withdrawn(spark, path)
     )
+    return SearchIndex(chunks, stored, trials)
 
 
 def rank_chunks(
@@ -145,8 +235,13 @@ def rank_chunks(
         ranked.append(top_k_by_dot(vectors, chunks, pool, queries_at_most=queries_at_most))
     if "sparse" in legs:
         terms = lexical.query_terms(queries, "query_id", "query")
-        forward = chunks if keep is not None else index.lexical.forward
-        ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, forward=forward))
+        few = queries_at_most is not None and queries_at_most <= POSTING_QUERIES
+        if few and keep is None and index.lexical.blocks is not None:
+            # A few requests read the postings of their own terms; many share one scan.
+            ranked.append(impact.bm25_from_blocks(index.lexical, terms, pool))
+        else:
+            forward = chunks if keep is not None else index.lexical.forward
+            ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, forward=forward))
     return rrf_fuse(*ranked, k=k)
 
 
