@@ -181,3 +181,17 @@ def test_pipeline_stages_on_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0, name
         stage(spark, docs, SF).collect()
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "one two three four five six"
+    docs = spark.createDataFrame(
+        [(1, one, "en", "s", 1), (1, two, "en", "s", 1), (1, one, "en", "t", 1), (2, two, "en", "s", 1),
+         (3, "seven words that nobody else has here", "en", "s", 1), (0, one, "en", "u", 1)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [
+        (0, one), (1, two), (3, "seven words that nobody else has here")
+    ]
