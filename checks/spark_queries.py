@@ -38,6 +38,8 @@ REGISTRY: dict[str, Query] = {}
 # The default threshold asks for nearly equal names; 0.5 also lets names match that
 # share one of their two words.
 LOOSE = 0.5
+# Text in one map of the single-object layout, about.
+OBJECT_BYTES = 4 << 20
 METADATA = ("phase", "status", "enrollment", "minimum_age", "maximum_age")
 
 _indexes: dict[tuple[str, str], str] = {}
@@ -187,11 +189,14 @@ def scan_trials_object(spark: SparkSession, sf: str) -> DataFrame:
     """One map a file, and the metadata before the document."""
     record = F.struct(F.col("nct_id").alias("key"), F.struct("metadata", "document").alias("value"))
     path = new_table_path(spark, "trials_object")
-    part = F.pmod(F.xxhash64("nct_id"), F.lit(8))
-    maps = _metadata(spark, sf).groupBy(part).agg(
+    studies = _metadata(spark, sf)
+    # A map is one string: as many maps as keep each at a few MB.
+    size = studies.agg(F.coalesce(F.sum(F.octet_length("document")), F.lit(0))).scalar()
+    part = F.pmod(F.xxhash64("nct_id"), F.greatest(F.lit(8), F.ceil(size / F.lit(OBJECT_BYTES))))
+    maps = studies.groupBy(part).agg(
         F.to_json(F.map_from_entries(F.collect_list(record))).alias("value")
     )
-    maps.select("value").repartition(8, "value").write.option("maxRecordsPerFile", 1).text(path)
+    maps.select("value").repartition("value").write.option("maxRecordsPerFile", 1).text(path)
     loaded = tables.trial_table(tables.load_trials(spark, path))
     return loaded.select("nct_id", "text", "conditions", "phase", "status", "enrollment")
 
