@@ -289,6 +289,12 @@ def _best(hits: str, keep: str = "true") -> str:
         QUALIFY row_number() OVER (PARTITION BY h.query_id, t.nct_id ORDER BY h.rank) = 1"""
 
 
+def _own_filter(scores: str) -> str:
+    return f"""
+        SELECT s.* FROM {scores} s JOIN chunks USING (chunk_id) JOIN trials USING (nct_id)
+        WHERE (s.query_id % 3 <> 0 OR trials.phase = 'en') AND coalesce(enrollment, 0) >= 7 * s.query_id"""
+
+
 CTES |= {
     "fused_5_all": _fused("dense_5", "sparse_5"),
     "fused_5": _ranked("fused_5_all", 5),
@@ -316,6 +322,14 @@ CTES |= {
     "fr_fused_all": _fused("fr_dense", "fr_sparse"),
     "fr_fused": _ranked("fr_fused_all", 5),
     "fr_hits": _best("fr_fused"),
+    # A filter of its own for every request.
+    "own_dense_all": _own_filter("dense_scores"),
+    "own_dense": _ranked("own_dense_all", 5),
+    "own_sparse_all": _own_filter("bm25"),
+    "own_sparse": _ranked("own_sparse_all", 5),
+    "own_fused_all": _fused("own_dense", "own_sparse"),
+    "own_fused": _ranked("own_fused_all", 5),
+    "own_hits": _best("own_fused"),
     # Cells: the nearest label direction of each vector, and the three nearest of each query.
     "cell_of": """
         SELECT chunk_id, query_id AS cell FROM label_scores
@@ -566,6 +580,7 @@ QUERIES: dict[str, str] = {
         SELECT query_id, nct_id, chunk_id, rank, round(score, 3) AS chunk_similarity_score, phase,
                enrollment, conditions, length(text) AS full_text_length FROM filtered_hits""",
     "search_trials_prefiltered": "SELECT query_id, nct_id, rank, phase FROM fr_hits",
+    "search_own_filters": "SELECT query_id, nct_id, rank, phase, enrollment FROM own_hits",
     "search_summary": """
         SELECT query_id, r.phase, CAST(r.min_enrollment AS BIGINT) AS min_enrollment,
                count(h.nct_id) AS count

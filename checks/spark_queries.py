@@ -698,6 +698,19 @@ def search_trials_prefiltered(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "nct_id", F.col("rank").cast("bigint").alias("rank"), "phase")
 
 
+@query
+def search_own_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request brings a filter that no other has, before the chunks are scored."""
+    requests = view(spark, sf, "queries").withColumns(
+        {
+            "phase": F.when(F.col("query_id") % 3 == 0, F.lit("en")),
+            "min_enrollment": (7 * F.col("query_id")).cast("bigint"),
+        }
+    )
+    hits = search.search_trials(_index(spark, sf), requests, top_k=5, filter_mode="pre")
+    return hits.select("query_id", "nct_id", F.col("rank").cast("bigint").alias("rank"), "phase", "enrollment")
+
+
 @query
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:
     requests = _search_requests(spark, sf)

@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from matchloom.functions.text import tokens
 from matchloom.functions.vectors import SCORE_DIGITS
+from matchloom.operators.filters import DistinctFilters, RequestFilters
 from matchloom.operators.scale import top_k_per_group
 from matchloom.storage import materialize
 
@@ -197,10 +198,14 @@ def _query_weights(index: LexicalIndex, terms: DataFrame) -> QueryWeights:
     )
 
 
-def _best_in_task(weights: QueryWeights, kind: pa.DataType, avg_dl: float, k: int, k1: float, b: float):
+def _best_in_task(
+    weights: QueryWeights, kind: pa.DataType, avg_dl: float, k: int, k1: float, b: float,
+    own: DistinctFilters | None = None,
+):
     """A task function: its chunks' scores, of which each query keeps the best ``k``.
 
     Chunks are scored a block at a time, so that block times queries stays bounded.
+    ``own`` are the filters of the weights' queries; what one refuses has no score.
     """
     n_queries = len(weights.queries)
     block = max(1, SCORE_CELLS // max(1, n_queries))
@@ -215,6 +220,8 @@ def _best_in_task(weights: QueryWeights, kind: pa.DataType, avg_dl: float, k: in
                 part = batch.slice(at, block)
                 score = _block_scores(part.column("terms"), vocabulary, weights, avg_dl, k1, b)
                 score = np.round(score, SCORE_DIGITS)
+                if own is not None:
+                    score[~own.allowed(part)] = 0.0
                 if len(score) > k:
                     least = np.maximum(least, np.partition(score, -k, axis=0)[-k])
                 chunk, query = np.nonzero(score >= least)
@@ -266,12 +273,26 @@ def _block_scores(
     return score.reshape(n, len(weights.queries))
 
 
+def _own_filters(
+    weights: QueryWeights, own_terms: DataFrame, requests: DataFrame, filters: RequestFilters
+) -> DistinctFilters:
+    """The filters of the weights' queries, in their order; these are at most ``QUERY_ROWS``."""
+    names = own_terms.select("query_id").distinct()
+    asked = requests.select("query_id", *filters.asked(requests)).join(F.broadcast(names), "query_id").toArrow()
+    place = pa.compute.index_in(
+        pa.array(weights.queries, asked.column("query_id").type), value_set=asked.column("query_id").combine_chunks()
+    )
+    return filters.distinct(asked.take(place))
+
+
 def bm25_top_k(
     index: LexicalIndex,
     terms: DataFrame,
     k: int,
     *,
     forward: DataFrame | None = None,
+    requests: DataFrame | None = None,
+    filters: RequestFilters | None = None,
     k1: float = K1,
     b: float = B,
 ) -> DataFrame:
@@ -279,7 +300,9 @@ def bm25_top_k(
 
     A chunk's terms stay together: every task scores its own chunks and lets ``k`` rows
     per query leave. ``forward`` (chunk_id, terms) says which chunks take part; the
-    statistics stay those of the whole corpus. Very many queries come in parts.
+    statistics stay those of the whole corpus. Very many queries come in parts. With
+    ``filters`` a query of ``requests`` gets the chunks that its own filter allows;
+    ``forward`` then has the columns they look at.
     """
     spark = terms.sparkSession
     forward = index.forward if forward is None else forward
@@ -295,8 +318,10 @@ def bm25_top_k(
         own = terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         weights = _query_weights(index, own)
         if weights.queries:
-            run = _best_in_task(weights, kind, avg_dl, k, k1, b)
-            found.append(forward.select("chunk_id", "terms").mapInArrow(run, schema))
+            own = filters and _own_filters(weights, own_terms=own, requests=requests, filters=filters)
+            run = _best_in_task(weights, kind, avg_dl, k, k1, b, own)
+            columns = filters.looked_at() if filters else []
+            found.append(forward.select("chunk_id", "terms", *columns).mapInArrow(run, schema))
     if not found:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     order = [F.col("score").desc(), F.col("chunk_id").asc()]

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchloom.functions.vectors import VECTOR_DIGITS
+from matchloom.operators.filters import RequestFilters
 from matchloom.operators.scale import top_k_per_group
 
 # Task functions travel by value: executors need no copy of this package.
@@ -73,13 +74,14 @@ class _Best:
         self.scores: list[np.ndarray] = [np.empty(0) for _ in range(self.queries)]
 
     def add(self, ids: np.ndarray, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
-        """``scores`` is (rows, queries), of all queries or of those named."""
+        """``scores`` is (rows, queries), of all queries or of those named; a row that a
+        query must not have scores minus infinity."""
         for n, q in enumerate(range(self.queries) if queries is None else queries):
             column = scores[:, n]
             if len(self.scores[q]) >= self.k:
                 keep = column >= self.scores[q][-1]
             else:
-                keep = np.ones(len(column), bool)
+                keep = column != -np.inf
             if len(column) > self.k:
                 # Ties at the k-th score are all kept here; the order decides below.
                 edge = np.partition(column, len(column) - self.k)[len(column) - self.k]
@@ -101,11 +103,13 @@ class _Best:
         return out
 
 
-def _as_vectors(df: DataFrame, id_col: str, vec_col: str, id_as: str, vec_as: str) -> DataFrame:
+def _as_vectors(
+    df: DataFrame, id_col: str, vec_col: str, id_as: str, vec_as: str, others: list | None = None
+) -> DataFrame:
     """Rows without a vector are dropped by the kernels: a filter here would be pushed
     below the embedding expression and work it out a second time."""
     vec = F.col(vec_col).cast("array<float>")
-    return df.select(F.col(id_col).alias(id_as), vec.alias(vec_as))
+    return df.select(F.col(id_col).alias(id_as), vec.alias(vec_as), *(others or []))
 
 
 def _with_vector(rows):
@@ -113,16 +117,16 @@ def _with_vector(rows):
     return rows.filter(pc.is_valid(rows.column(1)))
 
 
-def _block(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a table known to hold at most ``BLOCK_ROWS`` rows."""
+def _block(df: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Ids, vectors and rows of a table known to hold at most ``BLOCK_ROWS`` rows."""
     rows = _with_vector(df.toArrow()).combine_chunks()
     ids = np.array(rows.column(0).to_pylist(), dtype=object)
     if not len(ids):
-        return ids, np.empty((0, 0))
+        return ids, np.empty((0, 0)), rows
     column = rows.column(1)
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    return ids, _arrow_matrix(column)
+    return ids, _arrow_matrix(column), rows
 
 
 def _grid(left: DataFrame, right: DataFrame, n_left: int, n_right: int):
@@ -172,7 +176,7 @@ def pairs_at_least(
     if right_at_most is None or right_at_most > block_rows:
         right_at_most = b.count()
     if right_at_most <= block_rows:
-        ids, matrix = _block(b)
+        ids, matrix, _ = _block(b)
         a_type, b_type = pa_type(a.schema["_a"].dataType), pa_type(b.schema["_b"].dataType)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,15 +218,16 @@ def top_k_by_dot(
     corpus_vec: str = "embedding",
     block_rows: int = BLOCK_ROWS,
     queries_at_most: int | None = None,
+    filters: RequestFilters | None = None,
 ) -> DataFrame:
     """Best ``k`` corpus rows per query by rounded dot product, ties by id.
 
     Returns (query_id, corpus_id, score, rank). Each task keeps ``k`` rows per
     query, so what is shuffled is ``tasks * queries * k`` small rows and never a
-    vector.
+    vector. With ``filters`` a query gets the best rows that its own filter allows.
     """
-    q = _as_vectors(queries, query_id, query_vec, "_q", "_vq")
-    c = _as_vectors(corpus, corpus_id, corpus_vec, "_c_id", "_vc")
+    q = _as_vectors(queries, query_id, query_vec, "_q", "_vq", filters and filters.asked(queries))
+    c = _as_vectors(corpus, corpus_id, corpus_vec, "_c_id", "_vc", filters and filters.looked_at())
     schema = T.StructType(
         [
             T.StructField(query_id, q.schema["_q"].dataType),
@@ -241,7 +246,8 @@ def top_k_by_dot(
     if queries_at_most is None or queries_at_most > block_rows:
         queries_at_most = q.count()
     if queries_at_most <= block_rows:
-        ids, matrix = _block(q)
+        ids, matrix, asked = _block(q)
+        own = filters and filters.distinct(asked)
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(ids), k)
@@ -250,7 +256,10 @@ def top_k_by_dot(
                 for lo in range(0, batch.num_rows if len(ids) else 0, step):
                     part = batch.slice(lo, step)
                     mine = np.array(part.column(0).to_pylist(), dtype=object)
-                    best.add(mine, scored(_arrow_matrix(part.column(1)), matrix))
+                    scores = scored(_arrow_matrix(part.column(1)), matrix)
+                    if own is not None:
+                        scores[~own.allowed(part)] = -np.inf
+                    best.add(mine, scores)
             rows = best_rows(best, ids)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -266,8 +275,10 @@ def top_k_by_dot(
         cells_c, cells_q = _grid(c, q, c.count(), queries_at_most)
 
         def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            x, y = x.dropna(), y.dropna()
+            x, y = x.dropna(subset=["_c_id", "_vc"]), y.dropna(subset=["_q", "_vq"])
             best = _Best(len(y), k)
+            if filters is not None:
+                own = filters.distinct(filters.from_pandas(y, "_ask_"))
             if len(x) and len(y):
                 vectors = np.stack(x["_vc"].to_numpy()).astype(np.float64)
                 matrix = np.stack(y["_vq"].to_numpy()).astype(np.float64)
@@ -275,7 +286,10 @@ def top_k_by_dot(
                 for lo in range(0, len(x), step):
                     part = slice(lo, lo + step)
                     mine = x["_c_id"].to_numpy(dtype=object)[part]
-                    best.add(mine, scored(vectors[part], matrix))
+                    scores = scored(vectors[part], matrix)
+                    if filters is not None:
+                        scores[~own.allowed(filters.from_pandas(x[part], "_of_"))] = -np.inf
+                    best.add(mine, scores)
             return pd.DataFrame(best_rows(best, y["_q"].to_numpy(dtype=object)))
 
         partial = cells_c.cogroup(cells_q).applyInPandas(cell, schema)

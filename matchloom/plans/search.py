@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from matchloom.functions.text import tokens
 from matchloom.operators import impact, lexical
 from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_input
+from matchloom.operators.filters import RequestFilters
 from matchloom.operators.lexical import LexicalIndex
 from matchloom.operators.retrieval import (
     best_chunk_per_trial,
@@ -27,6 +27,10 @@ from matchloom.sources.sinks import new_chunks
 from matchloom.storage import materialize
 
 LEGS = ("dense", "sparse")
+# What a request may ask of the chunks before they are scored.
+CHUNK_FILTERS = RequestFilters(
+    equal=(("phase", "phase"), ("status", "status")), at_least=(("min_enrollment", "enrollment"),)
+)
 # Requests that are answered from the postings of their terms; more share a scan of all chunks.
 POSTING_QUERIES = 16
 
@@ -220,28 +224,33 @@ def rank_chunks(
     legs: tuple[str, ...] = LEGS,
     embedder: Embedder | None = None,
     queries_at_most: int | None = None,
-    keep: Column | None = None,
+    filters: RequestFilters | None = None,
 ) -> DataFrame:
     """(query_id, chunk_id, score, rank): fused top ``k`` chunks of every query.
 
-    ``queries`` has query_id and query. Each leg contributes ``pool`` rows. ``keep``
-    is a predicate on the chunk table that both legs obey.
+    ``queries`` has query_id and query. Each leg contributes ``pool`` rows. With
+    ``filters`` both legs score, in one scan each, the chunks that a query's own filter
+    allows; the filters' columns stand beside query and in the chunk table.
     """
     pool = pool or k
-    chunks = index.chunks if keep is None else index.chunks.filter(keep)
+    chunks = index.chunks
     ranked = []
     if "dense" in legs:
         vectors = embed_column(queries, "query", embedder=embedder)
-        ranked.append(top_k_by_dot(vectors, chunks, pool, queries_at_most=queries_at_most))
+        ranked.append(top_k_by_dot(vectors, chunks, pool, queries_at_most=queries_at_most, filters=filters))
     if "sparse" in legs:
         terms = lexical.query_terms(queries, "query_id", "query")
         few = queries_at_most is not None and queries_at_most <= POSTING_QUERIES
-        if few and keep is None and index.lexical.blocks is not None:
+        if few and filters is None and index.lexical.blocks is not None:
             # A few requests read the postings of their own terms; many share one scan.
             ranked.append(impact.bm25_from_blocks(index.lexical, terms, pool))
         else:
-            forward = chunks if keep is not None else index.lexical.forward
-            ranked.append(lexical.bm25_top_k(index.lexical, terms, pool, forward=forward))
+            forward = index.lexical.forward if filters is None else chunks
+            ranked.append(
+                lexical.bm25_top_k(
+                    index.lexical, terms, pool, forward=forward, requests=queries, filters=filters
+                )
+            )
     return rrf_fuse(*ranked, k=k)
 
 
@@ -261,7 +270,7 @@ def search_trials(
     ``requests``: query_id, query and optionally phase, status, min_enrollment.
     With ``filter_mode='post'`` the filters look at the ``top_k`` hits only, so a
     filtered search may return fewer; with ``'pre'`` they are applied to the chunks
-    before they are scored, in one pass over the chunks for each distinct filter.
+    before they are scored: one pass over the chunks, however many filters there are.
 
     Returns query_id, nct_id, chunk_id, rank, chunk_similarity_score, chunk_text,
     the metadata columns and, with ``enrich``, full_text, conditions, missing_trial.
@@ -274,16 +283,10 @@ def search_trials(
             asked = asked.withColumn(name, F.lit(None).cast(kind))
     if filter_mode not in ("post", "pre"):
         raise ValueError("filter_mode is 'post' or 'pre'")
-    options = {
-        "k": top_k, "pool": pool, "legs": legs, "embedder": embedder, "queries_at_most": n_requests,
-    }
-    if filter_mode == "post" or not n_requests:
-        hits = rank_chunks(index, asked, **options)
-    else:
-        hits = reduce(
-            DataFrame.unionByName,
-            [rank_chunks(index, own, keep=keep, **options) for own, keep in _by_filter(asked)],
-        )
+    hits = rank_chunks(
+        index, asked, k=top_k, pool=pool, legs=legs, embedder=embedder, queries_at_most=n_requests,
+        filters=CHUNK_FILTERS if filter_mode == "pre" else None,
+    )
     chunks = index.chunks.drop("embedding", "terms")
     # Every hit is a chunk of this table, so an inner join loses none.
     found = lookup_join(chunks, hits, ["chunk_id"], small_is_bounded=bounded)
@@ -309,18 +312,6 @@ def search_trials(
     return enrich_trials(best, index.trials, hits_bounded=bounded) if enrich else best
 
 
-def _by_filter(requests: DataFrame) -> list[tuple[DataFrame, Column]]:
-    """The requests of each distinct filter, and the filter on the chunks."""
-    names = ["phase", "status", "min_enrollment"]
-    out = []
-    for values in requests.select(*names).distinct().collect():
-        same = [F.col(n).eqNullSafe(F.lit(v)) for n, v in zip(names, values)]
-        phase, status, minimum = values
-        keep = phase_status_filter(phase, status) & min_enrollment_filter(minimum)
-        out.append((requests.filter(same[0] & same[1] & same[2]), keep))
-    return out
-
-
 def search_summary(requests: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per request: its filters and how many trials were found."""
     counts = hits.groupBy("query_id").agg(F.count("*").alias("count"))
