@@ -447,6 +447,8 @@ QUERIES: dict[str, str] = {
     "sink_overwrite": "SELECT * FROM patients",
     "scan_trials_object": """
         SELECT nct_id, document AS text, conditions, phase, status, enrollment FROM studies""",
+    "scan_trials_split": """
+        SELECT nct_id, document AS text, conditions, phase, status, enrollment FROM studies""",
     "trial_table_numbers": """
         SELECT nct_id, CASE WHEN doc_id % 3 < 2 THEN enrollment END AS enrollment FROM studies""",
     "load_all": """

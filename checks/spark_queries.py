@@ -40,6 +40,8 @@ REGISTRY: dict[str, Query] = {}
 LOOSE = 0.5
 # Text in one map of the single-object layout, about.
 OBJECT_BYTES = 4 << 20
+# Bytes of text in one file that byte ranges split.
+SPLIT_BYTES = 1 << 30
 METADATA = ("phase", "status", "enrollment", "minimum_age", "maximum_age")
 
 _indexes: dict[tuple[str, str], str] = {}
@@ -201,6 +203,29 @@ def scan_trials_object(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select("nct_id", "text", "conditions", "phase", "status", "enrollment")
 
 
+@query
+def scan_trials_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps of many records, compact and metadata first, each read in byte ranges."""
+    studies = _metadata(spark, sf)
+    size = studies.agg(F.coalesce(F.sum(F.octet_length("document")), F.lit(0))).scalar()
+    part = F.pmod(F.xxhash64("nct_id"), F.ceil(size / F.lit(SPLIT_BYTES)) + 1).cast("int").alias("part")
+    entry = F.to_json(F.create_map("nct_id", F.struct("metadata", "document")))
+    studies = studies.select(part, "nct_id", entry.alias("entry"))
+    last = F.broadcast(studies.groupBy("part").agg(F.max("nct_id").alias("last")))
+    after = F.when(F.col("nct_id") == F.col("last"), F.lit("")).otherwise(F.lit(","))
+    # The lines of a file: its opening brace, entries without their own braces, the closing one.
+    entries = studies.join(last, "part").select(
+        "part", F.lit(1).alias("place"), F.concat(F.expr("substr(entry, 2, length(entry) - 2)"), after).alias("value")
+    )
+    ends = last.select("part", F.explode(F.map_from_arrays(
+        F.array(F.lit(0), F.lit(2)), F.array(F.lit("{"), F.lit("}")))).alias("place", "value"))
+    path = new_table_path(spark, "trials_split")
+    lines = entries.unionByName(ends).repartition("part").sortWithinPartitions("part", "place")
+    lines.select("part", "value").write.partitionBy("part").text(path)
+    loaded = tables.trial_table(tables.load_trials(spark, path, layout="split"))
+    return loaded.select("nct_id", "text", "conditions", "phase", "status", "enrollment")
+
+
 @query
 def trial_table_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Enrollment written as 120.0, 120.5 and NA."""

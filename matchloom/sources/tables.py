@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from matchloom.operators.quality import keep_first_by_key, project_metadata
 from matchloom.functions.text import joined_numbered_fields, lenient_int, numbered_fields
+from matchloom.sources.ranges import map_records
 
 # Column names of the input files.
 DEMOGRAPHICS_COLUMNS = (
@@ -35,9 +36,6 @@ TRIAL_SCHEMA = T.MapType(
     ),
 )
 
-# What separates two records when a map of records is written on one line.
-OBJECT_SEPARATOR = '}}, "'
-
 
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
@@ -79,9 +77,7 @@ def load_trials(spark: SparkSession, path: str, layout: str = "object") -> DataF
     Layouts:
       ``lines``   each line is a map, usually of one record; splits freely;
       ``object``  one map per file, parsed whole by one task per file;
-      ``split``   one map on one line, cut at the record separator, so that a file of
-                  any size is read by many tasks. A text that happens to contain the
-                  separator would be cut, does not parse, and raises.
+      ``split``   one map per file, read by many tasks: see :mod:`matchloom.sources.ranges`.
 
     The layout is the caller's choice and never follows from a file's size, so a file
     reads alike however large it is.
@@ -91,7 +87,7 @@ def load_trials(spark: SparkSession, path: str, layout: str = "object") -> DataF
     elif layout == "object":
         text = spark.read.text(path, wholetext=True)
     elif layout == "split":
-        text = _split_object(spark, path)
+        text = map_records(spark, path)
     else:
         raise ValueError("layout is 'lines', 'object' or 'split'")
     parsed = text.select(
@@ -106,14 +102,6 @@ def load_trials(spark: SparkSession, path: str, layout: str = "object") -> DataF
     )
 
 
-def _split_object(spark: SparkSession, path: str) -> DataFrame:
-    pieces = spark.read.text(path, lineSep=OBJECT_SEPARATOR)
-    # The first piece still has the opening '{', the last one the closing '}}}'.
-    body = F.regexp_replace("value", r'^\s*\{\s*"', "")
-    body = F.regexp_replace(body, r"\}\s*\}\s*\}\s*$", "")
-    return pieces.select(F.concat(F.lit('{"'), body, F.lit("}}}")).alias("value"))
-
-
 def trial_table(source: DataFrame) -> DataFrame:
     """Loaded trials as a table, the known metadata keys promoted to columns.
 

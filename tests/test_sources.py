@@ -35,17 +35,49 @@ def test_json_layouts(spark, trials_file, layout):
     assert set(row.metadata) == {"nct_id", "phase", "enrollment", "conditions_count"}
 
 
-def test_split_layout_is_whole_or_raises(spark, tmp_path):
-    records = {"N1": {"document": "d", "metadata": {}}, "N2": {"document": "d", "metadata": {}}}
-    pretty = tmp_path / "pretty.json"
-    pretty.write_text(json.dumps(records, indent=2))
-    assert tables.load_trials(spark, str(pretty), "split").count() == 2
-    # A text ending in what separates records would be cut in the middle.
-    tricky = tmp_path / "tricky.json"
-    tricky.write_text(json.dumps({"N0": {"document": "d}}, ", "metadata": {}}, **records}))
-    assert tables.load_trials(spark, str(tricky), "object").count() == 3
-    with pytest.raises(Exception, match="MALFORMED|Malformed"):
-        tables.load_trials(spark, str(tricky), "split").collect()
+@pytest.fixture()
+def small_ranges(spark):
+    """Some two hundred bytes a task, so that records lie across ranges."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n, size in zip(names, ("200", "10")):
+        spark.conf.set(n, size)
+    yield
+    for n, size in zip(names, before):
+        spark.conf.set(n, size)
+
+
+HARD_TEXTS = (
+    "d}}, ", "}", "{", '"', "\\", '\\"}', '{"x": {"y": "z"}}', "}}}" * 100, "long " * 300, "", "é}\u2028{\n}", '}}, "N9": {"',
+)
+
+
+@pytest.mark.parametrize("form", ["compact", "spaced", "indented", "ascii"])
+def test_split_layout_reads_any_spelling(spark, small_ranges, tmp_path, form):
+    records = {
+        f"N{i}" + "}" * (i % 5 == 4): {"metadata": {"a{": t, "b": "}"}, "document": t * (1 + i % 3)}
+        for i, t in enumerate(HARD_TEXTS * 4)
+    }
+    records["null"] = None
+    options = {
+        "compact": {"separators": (",", ":"), "ensure_ascii": False}, "spaced": {"ensure_ascii": False},
+        "indented": {"indent": 2, "ensure_ascii": False}, "ascii": {},
+    }[form]
+    for n, part in enumerate((records, {}, {"last": None}, {"one": {"document": "x", "metadata": {}}})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(part, **options) + "\n" * n, encoding="utf-8")
+    got = {r.nct_id: (r.document, r.metadata) for r in tables.load_trials(spark, str(tmp_path), "split").collect()}
+    expected = {k: (v["document"], v["metadata"]) if v else ("", {}) for k, v in records.items()}
+    assert got == expected | {"last": ("", {}), "one": ("x", {})}
+    assert spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions() > 20
+
+
+def test_split_layout_is_whole_or_raises(spark, small_ranges, tmp_path):
+    text = json.dumps({f"N{i}": {"document": "d" * 50, "metadata": {}} for i in range(20)})
+    for end in (len(text) - 1, len(text) - 2, len(text) - 10, len(text) // 2):
+        path = tmp_path / f"{end}.json"
+        path.write_text(text[:end])
+        with pytest.raises(Exception, match="not a whole JSON map"):
+            tables.load_trials(spark, str(path), "split").collect()
 
 
 def test_demographics(spark, tmp_path):
