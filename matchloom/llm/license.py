@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
 A rule is a regular expression over normalised words, gated by a keyword that the text
-must contain. Hits become word intervals. An interval inside another one is suppressed;
+must contain: written rules for texts, notices and names (``license_rules``), and common
+forms of every versioned family. Hits become word intervals. An interval inside another one is suppressed;
 of two equal intervals the rule with the better (smaller) priority stays. Everything is
 a row-local column expression, so a scan needs no shuffle.
 
@@ -16,6 +17,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchloom.llm.license_rules import written_rules
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,7 +50,7 @@ FAMILIES = (
     ("epl-1", "e", r"eclipse public|epl", r"1(?: 0)?"),
     ("epl-2", "e", r"eclipse public|epl", r"2(?: 0)?"),
     ("cddl-1", "d", r"common development and distribution|cddl", r"1 [01]"),
-    ("cpl-1", "common public", r"common public", r"1(?: 0)?"),
+    ("cpl-1", "common", r"common public", r"1(?: 0)?"),
     ("eupl-1", "e", r"european union public|eupl", r"1 [012]"),
     ("artistic-1", "artistic", r"artistic", r"1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic", r"2(?: 0)?"),
@@ -61,10 +64,10 @@ FAMILIES = (
     ("openssl", "openssl", r"openssl", ""),
     ("python-2", "python", r"python(?: software foundation)?|psf", r"2(?: 0)?"),
     ("ruby", "ruby", r"ruby", ""),
-    ("php-3", "php", r"php", r"3(?: [01])*"),
+    ("php-3", "php", r"php", r"3(?: [01]){0,2}"),
     ("ofl-1", "o", r"sil open font|open font|ofl", r"1 [01]"),
     ("odbl-1", "o", r"open data commons open database|open database|odbl", r"1(?: 0)?"),
-    ("ecl-2", "educational community", r"educational community", r"2(?: 0)?"),
+    ("ecl-2", "educational", r"educational community", r"2(?: 0)?"),
     ("afl-3", "a", r"academic free|afl", r"3(?: 0)?"),
     ("ms-pl", "m", r"microsoft public|ms pl", ""),
     ("upl-1", "u", r"universal permissive|upl", r"1(?: 0)?"),
@@ -90,7 +93,7 @@ FORMS = (
 
 
 def _rules() -> list[dict]:
-    """Every family in every form, besides the base phrases; more than two hundred rules."""
+    """Base phrases, every family in every form, and the written rules; best priority first."""
     rules = [
         {"kw": p.split()[0], "kw2": p.split()[-1], "rx": p, "label": label, "base": True, "conf": 0.9}
         for p, label in BASE_PHRASES
@@ -104,36 +107,46 @@ def _rules() -> list[dict]:
             rx = rx.replace("(?: version| v)?(?: {v})", f"(?: version| v)? {version}" if version else "")
             rx = rx.replace("(?: version| v)? {v}", f"(?: version| v)? {version}" if version else "")
             rules.append({"kw": need, "kw2": kw, "rx": rx, "label": label, "base": False, "conf": conf})
+    rules += [
+        {"kw": kw, "kw2": kw, "rx": rx, "label": label, "base": False, "conf": conf}
+        for label, kw, rx, conf in written_rules()
+    ]
     return [r | {"prio": i} for i, r in enumerate(rules)]
 
 
 RULES = _rules()
+# No rule matches more words.
+MOST_WORDS = 64
 _SCHEMA = (
     "array<struct<kw:string,kw2:string,rx:string,label:string,base:boolean,conf:double,prio:int>>"
 )
 
 
-def _hits(rule: Column, norm: Column) -> Column:
+def _place(rule: Column) -> Column:
+    """Where a rule matches whole words, as an expression that takes up no text."""
+    return F.concat(F.lit("(?<= )(?=(?:"), rule["rx"], F.lit(") )"))
+
+
+def _hits(rule: Column, norm: Column, words: Column) -> Column:
     """Intervals (in words, end exclusive) at which a rule matches.
 
-    A marker is put before each match; marked words give the starts, and the text cut at
-    the same places gives each match's length.
+    A marker is put before each match; marked words give the starts, and the words from
+    there on each match's length. Matches of one rule may overlap.
     """
-    place = F.concat(F.lit("(?<= )(?=(?:"), rule["rx"], F.lit(") )"))
+    place = _place(rule)
     marked = F.split(F.trim(F.regexp_replace(norm, place, F.lit("\x01"))), " ")
     starts = F.filter(
         F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i)),
         lambda i: i.isNotNull(),
     )
-    pieces = F.split(norm, place)
     found = F.concat(F.lit("^(?:"), rule["rx"], F.lit(")(?= )"))
     return F.transform(
         starts,
-        lambda s, j: F.struct(
+        lambda s: F.struct(
             s.cast("bigint").alias("start"),
             # Negated, so that the natural order puts the longer of two first.
             (-(s + F.size(F.split(F.call_function(
-                "regexp_extract", F.get(pieces, j + 1), found, F.lit(0)), " "))
+                "regexp_extract", _text_from(words, s), found, F.lit(0)), " "))
             )).cast("bigint").alias("minus_end"),
             rule["prio"].alias("prio"),
             rule["label"].alias("label"),
@@ -143,6 +156,10 @@ def _hits(rule: Column, norm: Column) -> Column:
     )
 
 
+def _text_from(words: Column, start: Column) -> Column:
+    return F.concat(F.array_join(F.slice(words, start + 1, F.lit(MOST_WORDS)), " "), F.lit(" "))
+
+
 def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame:
     """Licenses of every text; see the module for the method and the defined cases.
 
@@ -151,14 +168,15 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
     """
     rules = RULES if rules is None else rules
     table = F.from_json(F.lit(json.dumps(rules)), _SCHEMA)
-    gates = F.array(*[F.lit(k) for k in sorted({r["kw"] for r in rules})])
+    gates = F.array(*[F.lit(k) for k in sorted({r[k] for r in rules for k in ("kw", "kw2")})])
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("_lower", NOT_WORD, " ")), F.lit(" "))
     none = "array<struct<start:bigint,minus_end:bigint,prio:int,label:string,conf:double,base:boolean>>"
     active = F.filter(
         table,
         lambda r: F.array_contains(F.col("_gates"), r["kw"])
-        & F.contains(F.col("_lower"), r["kw2"]),
+        & F.array_contains(F.col("_gates"), r["kw2"])
+        & F.rlike(F.col("_norm"), _place(r)),
     )
     sweep = F.aggregate(
         F.col("_hits"),
@@ -184,12 +202,13 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
         .withColumn("_gates", F.filter(gates, lambda k: F.contains(F.col("_lower"), k)))
         .withColumn("_norm", F.when(F.size("_gates") > 0, norm))
         .withColumn("_active", F.when(F.size("_gates") > 0, active))
+        .withColumn("_words", F.when(F.size("_active") > 0, F.split(F.trim("_norm"), " ")))
         .withColumn(
             "_hits",
             F.when(
                 F.size("_active") > 0,
                 F.array_sort(
-                    F.flatten(F.transform(F.col("_active"), lambda r: _hits(r, F.col("_norm"))))
+                    F.flatten(F.transform(F.col("_active"), lambda r: _hits(r, F.col("_norm"), F.col("_words"))))
                 ),
             ).otherwise(F.array().cast(none)),
         )

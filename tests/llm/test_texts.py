@@ -1,7 +1,9 @@
 """Operators on texts against brute force, with edge rows."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,7 +192,61 @@ def test_licenses(spark):
     assert found[5].labels == "gpl-3" and found[5].base_labels == "" and found[5].score == 1.0
     assert found[7].labels == "gpl-2"
     assert all(0 <= r.score <= 1 for r in found.values())
-    assert len(license.RULES) > 200
+    assert len(license.RULES) > 400
+
+
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this
+software and associated documentation files (the "Software"), to deal in the Software without restriction"""
+
+
+def test_written_license_rules(spark):
+    """Wordings by hand, with the labels they must give."""
+    cases = [
+        ("released under the GNU General Public License", "gpl"), ("licensed under the Mozilla Public License.", "mpl"),
+        ("GPLv3", "gpl-3"), ("GPL v2 or later", "gpl-2"), ("licensed under the Apache License", "apache"),
+        ("Apache License v2", "apache-2"), ("BSD license", "bsd"), (MIT_GRANT, "mit"), ("the MIT-licensed code", "mit"),
+        ("(LGPLv2.1+)", "lgpl-2"), ("the Library, GNU Lesser General Public License, version 3", "lgpl-3"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"), ("CC0 1.0 Universal", "cc0-1"),
+        ("All rights reserved.", "all-rights-reserved"), ("three-clause BSD", "bsd-3-clause"),
+        ("submitted to MIT in 2002; the apache tribe; gplus", ""), ("it is under the bridge, with a license plate", ""),
+    ]
+    data = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in license.scan_licenses(data).collect()}
+    assert {cases[i][0]: r[0] for i, r in found.items()} == dict(cases)
+    assert all((score > 0) == bool(labels) for labels, score in found.values())
+    # A keyword is part of one word, so it is found however the words are set apart.
+    assert all(re.fullmatch("[a-z0-9]+", rule["kw2"]) for rule in license.RULES)
+    # Repeats are bounded, by 12 words at most.
+    assert not any(re.search(r"[*+](?! )|\)\+", rule["rx"].replace("[^ ]+ ", "").replace("[0-9]+ ", "").replace("[a-z]*", "")) for rule in license.RULES)
+    assert max(rule["rx"].count(" ") for rule in license.RULES) + 12 < license.MOST_WORDS
+
+
+def test_licenses_against_brute_force(spark):
+    """Every rule tried at every word with Python's expressions, and hits inside others removed."""
+    parts = ["under the mit license", "GNU GPL v3", "Apache License, Version 2.0", "cc by-nc", "the", "license", MIT_GRANT,
+             "the BSD license", "all rights reserved", "version 2 of the GNU General Public License", "é", "under"]
+    random.seed(1)
+    texts = [random.choice([" ", "\n", " - "]).join(random.choices(parts, k=random.randint(0, 8))) for _ in range(60)]
+    data = spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id bigint, text string")
+    rows = license.scan_licenses(data).collect()
+    assert len(rows) == 120
+    for r in rows:
+        words = re.findall(license.WORD, texts[r.doc_id].lower())
+        norm = " " + " ".join(words) + " "
+        starts = [0, *itertools.accumulate(len(w) + 1 for w in words)]
+        hits = []
+        for rule in license.RULES:
+            for i in range(len(words)):
+                m = re.compile(f"(?:{rule['rx']})(?= )").match(norm, starts[i] + 1)
+                if m:
+                    hits.append((i, -(i + len(m.group().split(" "))), rule["prio"], rule))
+        end, labels, base = 0, set(), [h for h in hits if h[3]["base"]]
+        for start, minus_end, _, rule in sorted(hits, key=lambda h: h[:3]):
+            if -minus_end > end:
+                end, labels = -minus_end, labels | {rule["label"]}
+        assert (r.n_words, r.n_base) == (len(words), len(base))
+        assert r.labels == ",".join(sorted(labels | {h[3]["label"] for h in base}))
 
 
 def test_license_suppression(spark):
