@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over normalised words, gated by a keyword that the text
-must contain: written rules for texts, notices and names (``license_rules``), and common
+A rule is a regular expression over normalised words, gated by keywords of which the text
+must have one as a word: written rules for texts, notices and names (``license_rules``), and common
 forms of every versioned family. Hits become word intervals. An interval inside another one is suppressed;
 of two equal intervals the rule with the better (smaller) priority stays. Everything is
 a row-local column expression, so a scan needs no shuffle.
@@ -30,55 +30,55 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# Label, keyword, the license's names and its versions as expressions
+# Label, keywords, the license's names and its versions as expressions
 # over normalised words. Names stand without the word license.
 FAMILIES = (
-    ("mit", "mit", r"mit|expat|mit x11", ""),
+    ("mit", "mit expat", r"mit|expat|mit x11", ""),
     ("apache-1", "apache", r"apache(?: software)?", r"1 [01]"),
-    ("apache-2", "apache", r"apache(?: software)?|asl", r"2(?: 0)?"),
-    ("bsd-2-clause", "bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", ""),
+    ("apache-2", "apache asl", r"apache(?: software)?|asl", r"2(?: 0)?"),
+    ("bsd-2-clause", "bsd freebsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd", ""),
     ("bsd-3-clause", "bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", ""),
     ("bsd-4-clause", "bsd", r"bsd 4 clause|4 clause bsd|original bsd", ""),
-    ("gpl-1", "g", r"gnu general public|gnu gpl|gpl", r"1(?: 0)?"),
-    ("gpl-2", "g", r"gnu general public|gnu gpl|gpl", r"2(?: 0)?"),
-    ("gpl-3", "g", r"gnu general public|gnu gpl|gpl", r"3(?: 0)?"),
-    ("lgpl-2", "l", r"gnu (?:lesser|library) general public|gnu lgpl|lgpl", r"2(?: [01])?"),
-    ("lgpl-3", "l", r"gnu lesser general public|gnu lgpl|lgpl", r"3(?: 0)?"),
-    ("agpl-3", "a", r"gnu affero general public|gnu agpl|agpl", r"3(?: 0)?"),
-    ("mpl-1", "m", r"mozilla public|mpl", r"1 [01]"),
-    ("mpl-2", "m", r"mozilla public|mpl", r"2(?: 0)?"),
-    ("epl-1", "e", r"eclipse public|epl", r"1(?: 0)?"),
-    ("epl-2", "e", r"eclipse public|epl", r"2(?: 0)?"),
-    ("cddl-1", "d", r"common development and distribution|cddl", r"1 [01]"),
+    ("gpl-1", "general gpl", r"gnu general public|gnu gpl|gpl", r"1(?: 0)?"),
+    ("gpl-2", "general gpl", r"gnu general public|gnu gpl|gpl", r"2(?: 0)?"),
+    ("gpl-3", "general gpl", r"gnu general public|gnu gpl|gpl", r"3(?: 0)?"),
+    ("lgpl-2", "lesser library lgpl", r"gnu (?:lesser|library) general public|gnu lgpl|lgpl", r"2(?: [01])?"),
+    ("lgpl-3", "lesser lgpl", r"gnu lesser general public|gnu lgpl|lgpl", r"3(?: 0)?"),
+    ("agpl-3", "affero agpl", r"gnu affero general public|gnu agpl|agpl", r"3(?: 0)?"),
+    ("mpl-1", "mozilla mpl", r"mozilla public|mpl", r"1 [01]"),
+    ("mpl-2", "mozilla mpl", r"mozilla public|mpl", r"2(?: 0)?"),
+    ("epl-1", "eclipse epl", r"eclipse public|epl", r"1(?: 0)?"),
+    ("epl-2", "eclipse epl", r"eclipse public|epl", r"2(?: 0)?"),
+    ("cddl-1", "development cddl", r"common development and distribution|cddl", r"1 [01]"),
     ("cpl-1", "common", r"common public", r"1(?: 0)?"),
-    ("eupl-1", "e", r"european union public|eupl", r"1 [012]"),
+    ("eupl-1", "european eupl", r"european union public|eupl", r"1 [012]"),
     ("artistic-1", "artistic", r"artistic", r"1(?: 0)?"),
     ("artistic-2", "artistic", r"artistic", r"2(?: 0)?"),
-    ("bsl-1", "b", r"boost software|bsl", r"1(?: 0)?"),
-    ("busl-1", "b", r"business source|busl", r"1 1"),
+    ("bsl-1", "boost bsl", r"boost software|bsl", r"1(?: 0)?"),
+    ("busl-1", "business busl", r"business source|busl", r"1 1"),
     ("zlib", "zlib", r"zlib(?: libpng)?", ""),
     ("isc", "isc", r"isc", ""),
     ("unlicense", "unlicense", r"unlicense", ""),
     ("wtfpl", "wtfpl", r"wtfpl", ""),
     ("postgresql", "postgresql", r"postgresql", ""),
     ("openssl", "openssl", r"openssl", ""),
-    ("python-2", "python", r"python(?: software foundation)?|psf", r"2(?: 0)?"),
+    ("python-2", "python psf", r"python(?: software foundation)?|psf", r"2(?: 0)?"),
     ("ruby", "ruby", r"ruby", ""),
     ("php-3", "php", r"php", r"3(?: [01]){0,2}"),
-    ("ofl-1", "o", r"sil open font|open font|ofl", r"1 [01]"),
-    ("odbl-1", "o", r"open data commons open database|open database|odbl", r"1(?: 0)?"),
+    ("ofl-1", "font ofl", r"sil open font|open font|ofl", r"1 [01]"),
+    ("odbl-1", "database odbl", r"open data commons open database|open database|odbl", r"1(?: 0)?"),
     ("ecl-2", "educational", r"educational community", r"2(?: 0)?"),
-    ("afl-3", "a", r"academic free|afl", r"3(?: 0)?"),
-    ("ms-pl", "m", r"microsoft public|ms pl", ""),
-    ("upl-1", "u", r"universal permissive|upl", r"1(?: 0)?"),
-    ("gfdl-1", "gnu", r"gnu free documentation|gfdl", r"1 [123]"),
-    ("cc0-1", "cc0", r"cc0|creative commons zero", r"1(?: 0)?"),
-    ("cc-by", "c", r"creative commons attribution|cc by", r"[1234](?: [05])?"),
-    ("cc-by-sa", "c", r"creative commons attribution share ?alike|cc by sa", r"[1234](?: [05])?"),
-    ("cc-by-nd", "c", r"creative commons attribution no ?deriv[a-z]*|cc by nd", r"[1234](?: [05])?"),
-    ("cc-by-nc", "c", r"creative commons attribution non ?commercial|cc by nc", r"[1234](?: [05])?"),
-    ("cc-by-nc-sa", "c", r"creative commons attribution non ?commercial share ?alike|cc by nc sa", r"[1234](?: [05])?"),
-    ("cc-by-nc-nd", "c", r"creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd", r"[1234](?: [05])?"),
+    ("afl-3", "academic afl", r"academic free|afl", r"3(?: 0)?"),
+    ("ms-pl", "microsoft ms", r"microsoft public|ms pl", ""),
+    ("upl-1", "universal upl", r"universal permissive|upl", r"1(?: 0)?"),
+    ("gfdl-1", "documentation gfdl", r"gnu free documentation|gfdl", r"1 [123]"),
+    ("cc0-1", "cc0 creative", r"cc0|creative commons zero", r"1(?: 0)?"),
+    ("cc-by", "cc creative", r"creative commons attribution|cc by", r"[1234](?: [05])?"),
+    ("cc-by-sa", "cc creative", r"creative commons attribution share ?alike|cc by sa", r"[1234](?: [05])?"),
+    ("cc-by-nd", "cc creative", r"creative commons attribution no ?deriv[a-z]*|cc by nd", r"[1234](?: [05])?"),
+    ("cc-by-nc", "cc creative", r"creative commons attribution non ?commercial|cc by nc", r"[1234](?: [05])?"),
+    ("cc-by-nc-sa", "cc creative", r"creative commons attribution non ?commercial share ?alike|cc by nc sa", r"[1234](?: [05])?"),
+    ("cc-by-nc-nd", "cc creative", r"creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd", r"[1234](?: [05])?"),
 )
 
 # Name, confidence, form, and what the form needs besides the name, from
@@ -108,7 +108,7 @@ def _rules() -> list[dict]:
             rx = rx.replace("(?: version| v)? {v}", f"(?: version| v)? {version}" if version else "")
             rules.append({"kw": need, "kw2": kw, "rx": rx, "label": label, "base": False, "conf": conf})
     rules += [
-        {"kw": kw, "kw2": kw, "rx": rx, "label": label, "base": False, "conf": conf}
+        {"kw": "", "kw2": kw, "rx": rx, "label": label, "base": False, "conf": conf}
         for label, kw, rx, conf in written_rules()
     ]
     return [r | {"prio": i} for i, r in enumerate(rules)]
@@ -117,9 +117,17 @@ def _rules() -> list[dict]:
 RULES = _rules()
 # No rule matches more words.
 MOST_WORDS = 64
-_SCHEMA = (
-    "array<struct<kw:string,kw2:string,rx:string,label:string,base:boolean,conf:double,prio:int>>"
-)
+_RULE = "struct<kw:string,rx:string,label:string,base:boolean,conf:double,prio:int>"
+
+
+def _by_keyword(rules: list[dict]) -> Column:
+    """Each keyword with the rules it lets through, as a literal."""
+    groups: dict[str, list] = {}
+    for rule in rules:
+        for word in rule["kw2"].split():
+            groups.setdefault(word, []).append({k: v for k, v in rule.items() if k != "kw2"})
+    table = [{"word": word, "rules": own} for word, own in groups.items()]
+    return F.from_json(F.lit(json.dumps(table)), f"array<struct<word:string,rules:array<{_RULE}>>>")
 
 
 def _place(rule: Column) -> Column:
@@ -167,16 +175,15 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
     phrase, null without one. ``score`` is the confidence of the best rule that stayed.
     """
     rules = RULES if rules is None else rules
-    table = F.from_json(F.lit(json.dumps(rules)), _SCHEMA)
-    gates = F.array(*[F.lit(k) for k in sorted({r[k] for r in rules for k in ("kw", "kw2")})])
+    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules for k in r["kw2"].split()})])
     lower = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("_lower", NOT_WORD, " ")), F.lit(" "))
     none = "array<struct<start:bigint,minus_end:bigint,prio:int,label:string,conf:double,base:boolean>>"
+    groups = F.filter(_by_keyword(rules), lambda g: F.array_contains("_present", g["word"]))
     active = F.filter(
-        table,
-        lambda r: F.array_contains(F.col("_gates"), r["kw"])
-        & F.array_contains(F.col("_gates"), r["kw2"])
-        & F.rlike(F.col("_norm"), _place(r)),
+        F.array_distinct(F.flatten(F.transform(groups, lambda g: g["rules"]))),
+        # The second keyword, if any, starts a word.
+        lambda r: F.contains(F.col("_norm"), F.concat(F.lit(" "), r["kw"])) & F.rlike(F.col("_norm"), _place(r)),
     )
     sweep = F.aggregate(
         F.col("_hits"),
@@ -199,10 +206,10 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
     )
     scanned = (
         docs.select("doc_id", lower.alias("_lower"))
-        .withColumn("_gates", F.filter(gates, lambda k: F.contains(F.col("_lower"), k)))
-        .withColumn("_norm", F.when(F.size("_gates") > 0, norm))
-        .withColumn("_active", F.when(F.size("_gates") > 0, active))
-        .withColumn("_words", F.when(F.size("_active") > 0, F.split(F.trim("_norm"), " ")))
+        .withColumn("_norm", norm)
+        .withColumn("_words", F.filter(F.split(F.trim("_norm"), " "), lambda w: w != ""))
+        .withColumn("_present", F.array_intersect("_words", keywords))
+        .withColumn("_active", F.when(F.size("_present") > 0, active))
         .withColumn(
             "_hits",
             F.when(
@@ -219,7 +226,7 @@ def scan_licenses(docs: DataFrame, rules: list[dict] | None = None) -> DataFrame
     starts = F.transform("_base", lambda h: h["start"])
     return scanned.select(
         "doc_id",
-        F.regexp_count("_lower", F.lit(WORD)).cast("bigint").alias("n_words"),
+        F.size("_words").cast("bigint").alias("n_words"),
         F.size("_base").cast("bigint").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),

@@ -1,7 +1,7 @@
 """Hand-written signature rules for license texts, notices and names.
 
-One rule a line: label, keyword (part of a word) that the text must contain, and an expression
-over normalised words (lower case, one space between words). Rules stand from the most telling
+One rule a line: label, keywords, and an expression over normalised words (lower case, one
+space between words). A text that it matches has one of the keywords as a word. Rules stand from the most telling
 to the least; a version wins over a bare name because its interval is longer.
 """
 
@@ -16,7 +16,7 @@ hpnd | hereby | permission to use copy modify and distribute this software and i
 bsd | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 bsd-3-clause | endorse | neither the names? of (?:the )?(?:[^ ]+ ){1,8}nor the names of (?:its|their) contributors may be used to endorse or promote products derived from this software
 bsd-4-clause | advertising | all advertising materials mentioning features or use of this software must display the following acknowledge?ment
-bsd | binary | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions | redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
 gpl | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
 gpl-2 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 2(?: of the license)?
 gpl-3 | redistribute | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation (?:either )?version 3(?: of the license)?
@@ -56,7 +56,7 @@ unlicense | unencumbered | this is free and unencumbered software released into
 unlicense | anyone | anyone is free to copy modify publish use compile sell or distribute this software
 wtfpl | want | you just do what the (?:fuck|f ?ck) you want to
 wtfpl | everyone | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
-cc0-1 | waive | affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
+cc0-1 | waives | affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders
 cc0-1 | waived | has waived all copyright and related or neighboring rights
 public-domain | domain | (?:released|placed|dedicated) (?:in|into|to) the public domain
 public-domain | disclaims | the author disclaims copyright to this source code
@@ -77,7 +77,7 @@ python-2 | python | this license agreement is between the python software founda
 ruby | ruby | you may make and give away verbatim copies of the source form of the software without restriction
 php-3 | php | this product includes php software freely available from
 vim | charityware | vim is charityware
-beerware | beer | the beer ?ware license
+beerware | beer beerware | the beer ?ware license
 json | evil | the software shall be used for good not evil
 afl-3 | academic | licensed under the academic free license version 3 0
 osl-3 | software | licensed under the open software license version 3 0
@@ -87,7 +87,7 @@ busl-1 | business | use limitation (?:[^ ]+ ){0,12}business source license
 sspl-1 | server | server side public license
 elastic-2 | elastic | you may not provide the software to third parties as a hosted or managed service
 commons-clause | clause | commons clause license condition
-proprietary | reproduction | unauthorized (?:copying|reproduction|distribution)(?: or (?:copying|reproduction|distribution))? of this (?:file|software|document|material) (?:via any medium )?is strictly prohibited
+proprietary | unauthorized | unauthorized (?:copying|reproduction|distribution)(?: or (?:copying|reproduction|distribution))? of this (?:file|software|document|material) (?:via any medium )?is strictly prohibited
 proprietary | confidential | proprietary and confidential
 proprietary | permission | may not be (?:reproduced|copied|redistributed)(?: or (?:reproduced|copied|redistributed|transmitted))?(?: in any form)?(?: or by any means)? without (?:the )?(?:prior )?(?:express )?(?:written )?permission
 all-rights-reserved | rights | all rights reserved
@@ -95,44 +95,44 @@ all-rights-reserved | rights | all rights reserved
 
 # Notices that name a license with its version, joined or abbreviated.
 NOTICES = r"""
-gpl-1 | gpl | (?:gnu )?gpl ?v1(?: 0)?(?: only| or later| or any later version)?
-gpl-2 | gpl | (?:gnu )?gpl ?v2(?: 0)?(?: only| or later| or any later version)?
+gpl-1 | gpl gplv1 | (?:gnu )?gpl ?v1(?: 0)?(?: only| or later| or any later version)?
+gpl-2 | gpl gplv2 | (?:gnu )?gpl ?v2(?: 0)?(?: only| or later| or any later version)?
 gpl-2 | gpl | (?:gnu )?gpl (?:version )?2(?: 0)?(?: only| or later| or any later version)?
 gpl-2 | gpl2 | gpl2
-gpl-3 | gpl | (?:gnu )?gpl ?v3(?: 0)?(?: only| or later| or any later version)?
+gpl-3 | gpl gplv3 | (?:gnu )?gpl ?v3(?: 0)?(?: only| or later| or any later version)?
 gpl-3 | gpl | (?:gnu )?gpl (?:version )?3(?: 0)?(?: only| or later| or any later version)?
 gpl-3 | gpl3 | gpl3
 gpl-2 | general | gnu general public licen[sc]e ?v(?:ersion )?2(?: 0)?(?: only| or later| or any later version)?
 gpl-3 | general | gnu general public licen[sc]e ?v(?:ersion )?3(?: 0)?(?: only| or later| or any later version)?
 gpl-2 | general | version 2 of the gnu general public licen[sc]e
 gpl-3 | general | version 3 of the gnu general public licen[sc]e
-lgpl-2 | lgpl | (?:gnu )?lgpl ?v2(?: [01])?(?: only| or later| or any later version)?
+lgpl-2 | lgpl lgplv2 | (?:gnu )?lgpl ?v2(?: [01])?(?: only| or later| or any later version)?
 lgpl-2 | lgpl | (?:gnu )?lgpl (?:version )?2(?: [01])?(?: only| or later| or any later version)?
-lgpl-3 | lgpl | (?:gnu )?lgpl ?v3(?: 0)?(?: only| or later| or any later version)?
+lgpl-3 | lgpl lgplv3 | (?:gnu )?lgpl ?v3(?: 0)?(?: only| or later| or any later version)?
 lgpl-3 | lgpl | (?:gnu )?lgpl (?:version )?3(?: 0)?(?: only| or later| or any later version)?
 lgpl-2 | general | (?:gnu )?(?:lesser|library) general public licen[sc]e ?v2(?: [01])?
 lgpl-3 | general | (?:gnu )?lesser general public licen[sc]e ?v3(?: 0)?
 lgpl-2 | general | version 2(?: [01])? of the gnu (?:lesser|library) general public licen[sc]e
 lgpl-3 | general | version 3 of the gnu lesser general public licen[sc]e
-agpl-3 | agpl | (?:gnu )?agpl ?v3(?: 0)?(?: only| or later| or any later version)?
+agpl-3 | agpl agplv3 | (?:gnu )?agpl ?v3(?: 0)?(?: only| or later| or any later version)?
 agpl-3 | agpl | (?:gnu )?agpl (?:version )?3(?: 0)?(?: only| or later| or any later version)?
 agpl-3 | affero | (?:gnu )?affero general public licen[sc]e ?v(?:ersion )?3(?: 0)?
-gfdl-1 | gfdl | (?:gnu )?(?:gfdl|fdl) ?v?1 [123]
+gfdl-1 | gfdl gfdlv1 gfdl1 fdl fdlv1 fdl1 | (?:gnu )?(?:gfdl|fdl) ?v?1 [123]
 apache-2 | apache | apache licen[sc]e ?v2(?: 0)?
-apache-2 | apache | apache ?v?2(?: 0)? licen[sc]ed?
+apache-2 | apache apachev2 apache2 | apache ?v?2(?: 0)? licen[sc]ed?
 apache-2 | apache | apache software licen[sc]e ?v?2(?: 0)?
-apache-2 | asl | asl ?v?2(?: 0)?
+apache-2 | asl aslv2 asl2 | asl ?v?2(?: 0)?
 apache-1 | apache | apache (?:software )?licen[sc]e ?v1 [01]
-mpl-1 | mpl | mpl ?v?1 [01]
-mpl-2 | mpl | mpl ?v?2(?: 0)?
+mpl-1 | mpl mplv1 mpl1 | mpl ?v?1 [01]
+mpl-2 | mpl mplv2 mpl2 | mpl ?v?2(?: 0)?
 mpl-2 | mozilla | mozilla public licen[sc]e ?v2(?: 0)?
-epl-1 | epl | epl ?v?1(?: 0)?
-epl-2 | epl | epl ?v?2(?: 0)?
+epl-1 | epl eplv1 epl1 | epl ?v?1(?: 0)?
+epl-2 | epl eplv2 epl2 | epl ?v?2(?: 0)?
 epl-1 | eclipse | eclipse public licen[sc]e ?v1(?: 0)?
 epl-2 | eclipse | eclipse public licen[sc]e ?v2(?: 0)?
 edl-1 | eclipse | eclipse distribution licen[sc]e(?: ?v(?:ersion )?1(?: 0)?)?
-cddl-1 | cddl | cddl ?v?1 [01]
-eupl-1 | eupl | eupl ?v?1 [012]
+cddl-1 | cddl cddlv1 cddl1 | cddl ?v?1 [01]
+eupl-1 | eupl euplv1 eupl1 | eupl ?v?1 [012]
 artistic-2 | artistic | artistic licen[sc]e ?v?2(?: 0)?
 artistic-1 | artistic | artistic licen[sc]e ?v?1(?: 0)?
 bsl-1 | boost | boost software licen[sc]e(?: ?v(?:ersion )?)?(?: ?1(?: 0)?)?
@@ -144,7 +144,7 @@ bsd-4-clause | bsd | (?:4|four) clause bsd(?: licen[sc]e)?
 bsd-2-clause | bsd | (?:simplified|freebsd) bsd licen[sc]e
 bsd-3-clause | bsd | (?:new|modified|revised) bsd licen[sc]e
 bsd-4-clause | bsd | (?:original|old) bsd licen[sc]e
-0bsd | bsd | (?:0bsd|zero clause bsd)(?: licen[sc]e)?
+0bsd | bsd 0bsd | (?:0bsd|zero clause bsd)(?: licen[sc]e)?
 cc0-1 | cc0 | cc0(?: 1 0)?(?: universal)?
 cc0-1 | creative | creative commons (?:zero|cc0)(?: v?1 0)?(?: universal)?
 cc-by | cc | cc by [1234] [05](?: [a-z]{2,4})?
@@ -167,7 +167,7 @@ mit | opensource | opensource org licenses? mit
 apache-2 | opensource | opensource org licenses? apache 2 0
 bsd-2-clause | opensource | opensource org licenses? bsd 2 clause
 bsd-3-clause | opensource | opensource org licenses? bsd 3 clause
-odbl-1 | odbl | odbl ?v?1(?: 0)?
+odbl-1 | odbl odblv1 odbl1 | odbl ?v?1(?: 0)?
 odc-by-1 | odc | odc by(?: 1 0)?
 osl-3 | software | open software licen[sc]e(?: version| v)? ?3(?: 0)?
 mulan-2 | mulan | mulan (?:psl|permissive software licen[sc]e)(?: ?v(?:ersion )?2)?
@@ -218,12 +218,12 @@ upl | permissive | (?:the )?universal permissive licen[sc]e
 ms-pl | microsoft | (?:the )?microsoft public licen[sc]e
 busl | business | (?:the )?business source licen[sc]e
 elastic | elastic | (?:the )?elastic licen[sc]e
-cc-by | attribution | creative commons attribution licen[sc]e
-cc-by-sa | share | creative commons attribution share ?alike(?: licen[sc]e)?
-cc-by-nd | deriv | creative commons attribution no ?deriv[a-z]*(?: licen[sc]e)?
-cc-by-nc | commercial | creative commons attribution non ?commercial(?: licen[sc]e)?
-cc-by-nc-sa | commercial | creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?
-cc-by-nc-nd | commercial | creative commons attribution non ?commercial no ?deriv[a-z]*(?: licen[sc]e)?
+cc-by | creative | creative commons attribution licen[sc]e
+cc-by-sa | creative | creative commons attribution share ?alike(?: licen[sc]e)?
+cc-by-nd | creative | creative commons attribution no ?deriv[a-z]*(?: licen[sc]e)?
+cc-by-nc | creative | creative commons attribution non ?commercial(?: licen[sc]e)?
+cc-by-nc-sa | creative | creative commons attribution non ?commercial share ?alike(?: licen[sc]e)?
+cc-by-nc-nd | creative | creative commons attribution non ?commercial no ?deriv[a-z]*(?: licen[sc]e)?
 cc | creative | (?:under |with )?(?:a |the )?creative commons licen[sc]ed?
 public-domain | domain | (?:is|are) in the public domain
 """
@@ -233,6 +233,6 @@ KINDS = ((TEXTS, 0.95), (NOTICES, 0.85), (NAMES, 0.6))
 
 
 def written_rules() -> list[tuple[str, str, str, float]]:
-    """(label, keyword, expression, confidence) of every rule, in order of priority."""
+    """(label, keywords, expression, confidence) of every rule, in order of priority."""
     lines = [(line, conf) for text, conf in KINDS for line in text.strip().splitlines()]
     return [(*line.split(" | ", 2), conf) for line, conf in lines]
