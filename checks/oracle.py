@@ -532,6 +532,7 @@ QUERIES: dict[str, str] = {
     "chunk_documents": "SELECT chunk_id, nct_id, chunk_index, text FROM chunks",
     "embed_text": "SELECT doc_id, pos, round(CAST(x AS DOUBLE), 6) AS x FROM document_vectors",
     "normalize_key": "SELECT id, lower(conditions) AS key FROM patient_conditions",
+    "embed_cached": "SELECT key, pos, round(CAST(x AS DOUBLE), 6) AS x FROM vocabulary",
     "embed_distinct": "SELECT key, pos, round(CAST(x AS DOUBLE), 6) AS x FROM vocabulary",
     "l2_normalize": """
         SELECT chunk_id AS vec_id, pos, round(x3 / sqrt(sum(x3 * x3) OVER (PARTITION BY chunk_id)), 6) AS x

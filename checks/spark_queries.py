@@ -13,6 +13,7 @@ from matchloom.functions import text as tx
 from matchloom.functions import vectors as vx
 from matchloom.operators import (
     ann,
+    cache,
     chunking,
     criteria,
     demographics,
@@ -504,6 +505,17 @@ def normalize_key(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "patient_conditions").select("id", tx.normalize_key(padded).alias("key"))
 
 
+@query
+def embed_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """The vocabulary when the strings of every other patient are stored already."""
+    conditions = view(spark, sf, "patient_conditions")
+    stored = cache.EmbeddingCache(new_table_path(spark, "vectors"), "hash 64")
+    earlier = embedding.distinct_keys(conditions.filter(F.col("patient_id") % 2 == 0), "conditions")
+    cache.embed_cached(earlier, "key", stored)
+    found = cache.embed_cached(embedding.distinct_keys(conditions, "conditions"), "key", stored)
+    return _components(found, "key")
+
+
 @query
 def embed_distinct(spark: SparkSession, sf: str) -> DataFrame:
     conditions = view(spark, sf, "patient_conditions")

@@ -135,13 +135,17 @@ def embed_distinct(
 ) -> DataFrame:
     """(key, n, embedding, error): every distinct normalised non-blank string once.
 
-    ``n`` counts its rows. Duplicates collapse in the map tasks, so a string that
-    makes up most rows costs no more than any other.
+    ``n`` counts its rows.
     """
-    keys = (
-        df.select(normalize_key(text).alias(key))
-        .filter(F.col(key) != "")
-        .groupBy(key)
-        .agg(F.count("*").alias("n"))
-    )
+    keys = distinct_keys(df, text, key)
     return embed_column(keys, key, embedder=embedder, dim=dim, tolerate=tolerate)
+
+
+def distinct_keys(df: DataFrame, text: str, key: str = "key") -> DataFrame:
+    """(key, n): distinct normalised non-blank strings and their numbers of rows.
+
+    Duplicates collapse in the map tasks, so a string that makes up most rows costs no
+    more than any other.
+    """
+    keys = df.select(normalize_key(text).alias(key)).filter(F.col(key) != "")
+    return keys.groupBy(key).agg(F.count("*").alias("n"))

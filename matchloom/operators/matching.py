@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_conditions, normalize_key
-from matchloom.operators.embedding import TOLERATED, Embedder, embed_column, embed_distinct
+from matchloom.operators.cache import EmbeddingCache, embed_cached
+from matchloom.operators.embedding import TOLERATED, Embedder, distinct_keys
 from matchloom.operators.scale import SPREAD_ROWS, is_small, lookup_join
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
@@ -169,14 +170,14 @@ def _strict_matches(
     widest: int,
     tolerate: tuple[type[BaseException], ...],
     quarantine: str | None,
+    cache: EmbeddingCache | None,
 ) -> DataFrame:
     required = requirements(criteria)
     distinct = required.select(F.col("req_key").alias("key")).distinct()
-    req_vectors = embed_column(distinct, "key", embedder=embedder, tolerate=tolerate)
+    req_vectors = embed_cached(distinct, "key", cache, embedder=embedder, tolerate=tolerate)
     if vocabulary is None:
-        vocabulary = embed_distinct(
-            conditions, "conditions", embedder=embedder, tolerate=tolerate
-        )
+        keys = distinct_keys(conditions, "conditions")
+        vocabulary = embed_cached(keys, "key", cache, embedder=embedder, tolerate=tolerate)
     # Embedding may be a model call; both results are written so that it runs once.
     vocabulary = materialize(vocabulary, "vocabulary")
     req_vectors = materialize(req_vectors, "required")
@@ -263,6 +264,7 @@ def eligible_patients(
     fields: Sequence[str] = PATIENT_FIELDS,
     tolerate: tuple[type[BaseException], ...] = TOLERATED,
     quarantine: str | None = None,
+    cache: EmbeddingCache | None = None,
 ) -> DataFrame:
     """(criteria_id, patient_id, *fields): everyone who meets each criteria row.
 
@@ -272,7 +274,8 @@ def eligible_patients(
     or ``min_match`` relax how many requirements must be met. ``vocabulary`` is a
     stored (key, n, embedding) table of the condition strings, if there is one. Strings
     on which the model raises one of ``tolerate`` go to the table at ``quarantine``; the
-    call fails if there are any and no such table.
+    call fails if there are any and no such table. With a ``cache`` the model sees only
+    strings whose vectors it does not hold.
     """
     kept = ["criteria_id", "age_min", "age_max", "required_conditions"]
     known = criteria
@@ -311,6 +314,7 @@ def eligible_patients(
                 widest=facts["widest"],
                 tolerate=tolerate,
                 quarantine=quarantine,
+                cache=cache,
             )
         )
     if facts["free"] or not found:
