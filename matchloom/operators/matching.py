@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from matchloom.functions.text import clean_conditions, normalize_key
 from matchloom.operators.cache import EmbeddingCache, embed_cached
 from matchloom.operators.embedding import TOLERATED, Embedder, distinct_keys
-from matchloom.operators.scale import SPREAD_ROWS, is_small, lookup_join
+from matchloom.operators.scale import BROADCAST_ROWS, SPREAD_ROWS, is_small, lookup_join
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
 
@@ -201,8 +201,10 @@ def _strict_matches(
         cores = people.sparkSession.sparkContext.defaultParallelism
         candidates = candidates.repartition(cores, "patient_id", "age")
     candidates = candidates.withColumn("anchor", F.explode("met"))
+    # There are no more anchors than requirements.
+    few = n_criteria * widest <= BROADCAST_ROWS or is_small(wanted)
     candidates = lookup_join(
-        candidates, wanted, ["anchor"], small_is_bounded=is_small(wanted)
+        candidates, wanted, ["anchor"], small_is_bounded=few
     ).filter(age_between(F.col("age_min"), F.col("age_max")))
     # A pair that several anchors find is kept at the first of them.
     first = F.transform(
@@ -227,9 +229,10 @@ def _report_failures(embedded: dict[str, DataFrame], quarantine: str | None) ->
     if quarantine is not None:
         failed.write.mode("append").parquet(quarantine)
         return
-    first = failed.take(3)
+    # One pass; taking rows would start a job for each few files of a clean table.
+    first = failed.agg(F.min(F.struct("role", "key", "error"))).first()[0]
     if first:
-        raise ValueError(f"no vectors for some strings, such as {[tuple(r) for r in first]}")
+        raise ValueError(f"no vectors for some strings, such as {tuple(first)}")
 
 
 def by_age(criteria: DataFrame, people: DataFrame) -> DataFrame:

@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.functions.text import clean_conditions
+from matchloom.operators.ageranges import count_in_ranges, first_in_ranges
 from matchloom.operators.demographics import age_summary, category_counts
 from matchloom.operators.matching import (
     DEFAULT_THRESHOLD,
-    by_age,
+    PATIENT_FIELDS,
     candidate_conditions,
     count_conditions,
     eligible_patients,
     nest_conditions,
 )
-from matchloom.operators.scale import is_small, lookup_join, top_k_per_group
+from matchloom.operators.scale import BROADCAST_ROWS, lookup_join
 from matchloom.storage import materialize
 
 DEFAULT_LIMIT = 100
+# Lists of ages (one per profile, about 2 KB) that may be broadcast.
+STEP_LISTS = 20_000
 
 
 class Cohorts(NamedTuple):
@@ -59,16 +62,20 @@ def match_cohorts(
     optionally gender. A limit of 0 or less gives no patients. Options are those of
     :func:`matchloom.operators.matching.eligible_patients`.
 
-    Many criteria ask for the same conditions, most of all for none. Patients are
-    matched once per distinct profile, then cut to the first rows, and counted, per
-    (profile, age). Criteria look up the ages in their range in these two tables, so
-    the work does not grow with criteria times patients.
+    Many criteria ask for the same conditions, most of all for none. Patients are matched
+    once per distinct profile, and only their ages and ids are carried. Age ranges are
+    then answered from sums and first members (:mod:`matchloom.operators.ageranges`), so the
+    work does not grow with criteria times patients, nor times ages. Other fields are
+    fetched for the patients found; ``patient_id`` is unique among ``patients``.
     """
     if "limit" not in criteria.columns:
         criteria = criteria.withColumn("limit", F.lit(DEFAULT_LIMIT))
+    fields = options.pop("fields", PATIENT_FIELDS)
     asked = materialize(_profiled(criteria), "asked")
     facts = asked.agg(
-        F.count("*").alias("rows"), F.coalesce(F.max("_limit"), F.lit(0)).alias("widest")
+        F.coalesce(F.max("_limit"), F.lit(0)).alias("widest"),
+        F.coalesce(F.sum(F.greatest("_limit", F.lit(0)).cast("double")), F.lit(0.0)).alias("at_most"),
+        F.count("*").alias("rows"),
     ).first()
     profiles = asked.groupBy(F.col("profile").alias("criteria_id")).agg(
         F.min("age_min").alias("age_min"),
@@ -76,36 +83,22 @@ def match_cohorts(
         F.first("required_conditions").alias("required_conditions"),
         F.first("gender").alias("gender"),
     )
-    eligible = eligible_patients(patients, conditions, profiles, threshold=threshold, **options)
-    eligible = materialize(eligible.withColumnRenamed("criteria_id", "profile"), "eligible")
-
-    by = ["profile", "age"]
-    histogram = eligible.groupBy(*by).agg(F.count("*").alias("_n"))
-    wanted = by_age(asked, histogram).select("criteria_id", "profile", "_limit", "age")
-
-    # Very many criteria may share one profile, so they are the large side here.
-    counts = (
-        lookup_join(wanted, histogram, by, small_is_bounded=is_small(histogram))
-        .groupBy("criteria_id")
-        .agg(F.sum("_n").alias("eligible"))
-    )
-    first = top_k_per_group(
-        eligible, by, [F.col("patient_id")], facts["widest"], rank="_in_age", salt_by=["patient_id"]
-    ).drop("_in_age")
-    candidates = lookup_join(
-        wanted.filter(F.col("_limit") > 0), first, by, small_is_bounded=is_small(first)
-    ).drop("profile")
-    matched = (
-        top_k_per_group(
-            candidates, ["criteria_id"], [F.col("patient_id")], facts["widest"],
-            salt_by=["patient_id"],
-        )
-        .filter(F.col("rank") <= F.col("_limit"))
-        .drop("_limit")
-    )
-    matched = materialize(matched, "matched")
+    eligible = eligible_patients(
+        patients, conditions, profiles, threshold=threshold, fields=("age", "gender"), **options
+    ).select(F.col("criteria_id").alias("profile"), "age", "patient_id")
+    eligible = materialize(eligible, "eligible")
+
+    ranges = asked.select("criteria_id", "profile", "age_min", "age_max", "_limit")
+    # There are at most as many lists of ages as criteria.
+    counts = count_in_ranges(ranges, eligible, steps_bounded=facts["rows"] <= STEP_LISTS)
+    first = first_in_ranges(ranges.filter(F.col("_limit") > 0), eligible, facts["widest"])
+    first = first.filter(F.col("rank") <= F.col("_limit")).select("criteria_id", "patient_id", "rank")
+    first = materialize(first, "first")
+    few = facts["at_most"] <= BROADCAST_ROWS
+    public = patients.select("patient_id", *fields)
+    matched = materialize(lookup_join(public, first, ["patient_id"], small_is_bounded=few), "matched")
     listed = count_conditions(
-        candidate_conditions(conditions, matched, patients_bounded=is_small(matched))
+        candidate_conditions(conditions, first, patients_bounded=few)
     )
     return Cohorts(matched, listed, counts)
 
