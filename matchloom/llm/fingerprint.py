@@ -22,6 +22,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 # Blocks of neighbouring ids per shuffle partition, and their largest number.
 BLOCKS_PER_PARTITION = 4
 MAX_BLOCKS = 1 << 16
+# Text of a block, beyond that number of blocks per partition.
+BLOCK_BYTES = 1 << 26
 LOWEST = -(1 << 63)
 
 
@@ -107,49 +109,97 @@ def id_block(key: Column, bounds: list[int]) -> Column:
     )
 
 
+def _pieces(cuts: list[int]) -> tuple[list[int], dict[int, int]]:
+    """Bounds of blocks of ids, and into how many pieces the block of a hot id is cut.
+
+    An id that several ascending cuts name holds as many shares of all rows; its block
+    then has no other id.
+    """
+    cuts = sorted(cuts)
+    hot = {v: cuts.count(v) + 1 for v in set(cuts) if cuts.count(v) > 1}
+    bounds = sorted(set(cuts) | {v + 1 for v in hot if v < (1 << 63) - 1})
+    return bounds, {bounds.index(v) + 1: n for v, n in hot.items()}
+
+
+def _merged(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """``rows`` with ``_n``: equal rows of a hot id are one row that counts them."""
+    if not hot:
+        return rows.withColumn("_n", F.lit(1).cast("bigint"))
+    edge = rows.sparkSession.createDataFrame([(v,) for v in hot], "_key bigint")
+    few = rows.join(F.broadcast(edge), "_key", "left_semi")
+    rest = rows.join(F.broadcast(edge), "_key", "left_anti")
+    counted = few.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    return rest.withColumn("_n", F.lit(1).cast("bigint")).unionByName(counted)
+
+
 def with_next(docs: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
     """Each document with the text and sketch of the one that follows by descending id.
 
-    After the last comes the first. Equal ids follow in descending order of text; null
-    ids come last. Ids are cut into blocks of about equal size, so the order needs no
-    task that sees all rows: only the first row of a block travels to another block.
+    After the last comes the first. Equal ids follow in descending order of their text's
+    hash, then of text; null ids come last. Rows are cut into blocks of about equal size, so
+    the order needs no task that sees all: only the first row of a block travels to another
+    block. An id that holds many rows has pieces by the hash, and its equal rows travel as
+    one.
     """
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = min(MAX_BLOCKS, BLOCKS_PER_PARTITION * partitions)
     rows = docs.select(
         "doc_id",
         F.coalesce(F.col("doc_id"), F.lit(LOWEST)).alias("_key"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
+    ).withColumn("_tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = min(MAX_BLOCKS, max(BLOCKS_PER_PARTITION * partitions, size // BLOCK_BYTES + 1))
     cuts = [i / blocks for i in range(1, blocks)]
-    bounds = rows.agg(F.percentile_approx("_key", cuts, 10 * max(1000, blocks))).first()[0]
-    rows = rows.withColumn("_block", id_block(F.col("_key"), sorted(set(bounds or []))))
-    # One row per block: at most MAX_BLOCKS pairs of numbers reach the driver.
-    firsts = sorted(map(tuple, rows.groupBy("_block").agg(F.max("_key")).collect()), reverse=True)
-    follows = [(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)]
-    edge = spark.createDataFrame(follows, "_block int, _key bigint")
+    found = rows.agg(F.percentile_approx("_key", cuts, 10 * max(1000, blocks))).first()[0]
+    bounds, pieces = _pieces(found or [])
+    rows = _merged(rows, [bounds[b - 1] for b in pieces])
+    numbers = [pieces.get(b, 1) for b in range(len(bounds) + 1)]
+    of = F.get(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), F.col("_block"))
+    # Rounding keeps the order, so a piece holds a range of hashes.
+    share = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * of).cast("int")
+    rows = rows.withColumn("_block", id_block(F.col("_key"), bounds)).withColumn(
+        "_piece", F.least(share, of - 1)
+    )
+    # One row per block: at most twice MAX_BLOCKS rows of numbers reach the driver.
+    first = F.max(F.struct("_key", "_tie")).alias("_first")
+    firsts = sorted(rows.groupBy("_block", "_piece").agg(first).collect(), reverse=True)
+    follows = [(r[0], r[1], *firsts[(i + 1) % len(firsts)][2]) for i, r in enumerate(firsts)]
+    edge = spark.createDataFrame(follows, "_block int, _piece int, _key bigint, _tie bigint")
     edges = with_sketch(
-        rows.select("_key", "text")
-        .join(F.broadcast(edge), "_key")
-        .groupBy("_block")
+        rows.select("_key", "_tie", "text")
+        .join(F.broadcast(edge), ["_key", "_tie"])
+        .groupBy("_block", "_piece")
         .agg(F.max("text").alias("_edge_text")),
         "_edge_text",
         "_edge_sketch",
         k,
     )
-    order = W.partitionBy("_block").orderBy(F.desc("_key"), F.desc("text"))
+    order = W.partitionBy("_block", "_piece").orderBy(F.desc("_key"), F.desc("_tie"), F.desc("text"))
     inside = (
         with_sketch(rows, "text", "sketch", k)
         .withColumn("_next_text", F.lead("text").over(order))
         .withColumn("_next_sketch", F.lead("sketch").over(order))
     )
-    return inside.join(edges, "_block", "left").select(
+    out = inside.join(edges, ["_block", "_piece"], "left").select(
         "doc_id",
         "text",
         "sketch",
         F.coalesce("_next_text", "_edge_text").alias("next_text"),
         F.coalesce("_next_sketch", "_edge_sketch").alias("next_sketch"),
+        "_n",
+    )
+    if not pieces:
+        return out.drop("_n")
+    # Of equal rows, each but the last is followed by its equal.
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_i")
+    last = F.col("_i") == F.col("_n")
+    return out.select("*", again).select(
+        "doc_id",
+        "text",
+        "sketch",
+        F.when(last, F.col("next_text")).otherwise(F.col("text")).alias("next_text"),
+        F.when(last, F.col("next_sketch")).otherwise(F.col("sketch")).alias("next_sketch"),
     )
 
 

@@ -306,6 +306,25 @@ def test_one_document_follows_itself(spark):
     assert (row.n_chars, row.near_next) == (7, 1.0)
 
 
+@pytest.mark.parametrize("n", [0, 700])
+def test_fingerprints_of_a_hot_id(spark, n):
+    """One id holds a third of all rows, half of them equal; next by id, then by text's hash."""
+    hot = [(5, f"hot {i} " + "w x y z " * (i % 4)) for i in range(n // 2)] + [(5, "same text of many rows")] * (n // 2)
+    rows = hot + [(i, f"row {i} of the others") for i in range(2 * n // 3 + 4)] + [(None, "no id"), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, _n string").repartition(6)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in fingerprint.with_next(docs).collect())
+    tied = spark.createDataFrame([(r[0], r[1] or "") for r in rows], "id bigint, text string")
+    tied = tied.select("id", "text", F.xxhash64("text").alias("tie")).collect()
+    ordered = sorted(tied, key=lambda r: (r.id is not None, r.id or 0, r.tie, r.text), reverse=True)
+    following = ordered[1:] + ordered[:1]
+    assert got == sorted((a.id is not None, a.id or 0, a.text, b.text) for a, b in zip(ordered, following))
+
+
+def test_hot_ids_are_cut():
+    bounds, pieces = fingerprint._pieces([3, 9, 9, 9, 20])
+    assert (bounds, pieces) == ([3, 9, 10, 20], {2: 4})
+
+
 def test_packing_against_whole_text_tokenizer(docs, rows):
     from tokenizers import Tokenizer
 
