@@ -10,7 +10,38 @@ from matchloom.llm import codes, fingerprint, jaccard, knn, language, license, m
 
 REGISTRY = {}
 # Queries that SQL can express at the driver's size; tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op13_vector_code_compression": codes.compress_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archives": """
+WITH payloads AS (
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+described AS (
+  SELECT page_id, url, strlen(payload) AS n, sha256(payload) AS digest,
+         min(page_id) OVER (PARTITION BY payload) AS first_page
+  FROM payloads)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_page THEN first_page END AS refers_to,
+       url AS target_uri
+FROM described""",
+    "op5_exact_top_k": """
+WITH kept AS (
+  SELECT CAST(vec_id AS BIGINT) AS id,
+         list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+asked AS (
+  SELECT DISTINCT id, v FROM kept WHERE id % 100 = 0),
+scored AS (
+  SELECT a.id AS query_id, a.v AS asked, b.id AS vec_id,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM asked AS a JOIN kept AS b ON a.id <> b.id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS place
+  FROM scored)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10""",
+    "op13_vector_code_compression": codes.compress_sql(),
+}
 
 
 def query(function):

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -9,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from checks.compare import duck
 from matchloom.llm import knn, quality, warc
-from matchloom.llm.queries import REGISTRY
+from matchloom.llm.queries import ORACLE_SQL, REGISTRY
 from matchloom.storage import new_table_path
 
 SF = "/root/testdata/sf0.001"
@@ -195,3 +197,13 @@ def test_pipeline_keeps_unlike_texts_of_one_id(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [
         (0, one), (1, two), (3, "seven words that nobody else has here")
     ]
+
+
+@pytest.mark.parametrize("name", ["op2_warc_archives", "op5_exact_top_k"])
+def test_queries_equal_sql(spark, name):
+    folder = SF.replace("0.001", "0.01")
+    sql = duck(folder).execute(ORACLE_SQL[name])
+    columns = [d[0] for d in sql.description]
+    found = REGISTRY[name](spark, folder)
+    assert sorted(found.columns) == sorted(columns)
+    assert Counter(map(tuple, found.select(*columns).collect())) == Counter(sql.fetchall())
