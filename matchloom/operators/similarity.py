@@ -9,7 +9,9 @@ Two ways to bring the sides together, chosen by counting the smaller side:
   table streams past it in Arrow batches, without any shuffle;
 * beyond: the grid of Okcan & Riedewald (2011). Each side is cut into hash blocks,
   copied to the row or column of cells it belongs to, and every cell multiplies
-  one block by one block. Cells are of bounded size whatever the data looks like.
+  one block by one block. Cells are of bounded size whatever the data looks like. With a
+  threshold the blocks follow pivots: pieces of rows around a pivot have a bound of their
+  products, and only pieces whose bound reaches the threshold meet.
 
 Vector tables have a unique ``id`` column and a vector column of one length.
 """
@@ -32,6 +34,7 @@ from pyspark.sql import types as T
 from matchloom.functions.vectors import VECTOR_DIGITS
 from matchloom.operators.filters import RequestFilters
 from matchloom.operators.scale import top_k_per_group
+from matchloom.storage import materialize
 
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,6 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_ROWS = 4096
 # Scores worked on at once in a task (doubles, so 32 MB).
 SCORES_AT_ONCE = 4_000_000
+# The most pivots around which rows are gathered; their pairs are broadcast.
+MAX_PIVOTS = 256
 
 
 def _round_half_up(x: np.ndarray) -> np.ndarray:
@@ -145,6 +150,85 @@ def _grid(left: DataFrame, right: DataFrame, n_left: int, n_right: int):
     return a.groupBy("_r", "_c"), b.groupBy("_r", "_c")
 
 
+def _around(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Rows with an id and a vector, their nearest pivot ``_cell`` and the distance to it."""
+    square = (pivots**2).sum(1)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(_with_vector, batches):
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            if not batch.num_rows:
+                continue
+            v = _arrow_matrix(batch.column(1))
+            cell = (square - 2 * v @ pivots.T).argmin(1)
+            away = np.linalg.norm(v - pivots[cell], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(away)],
+                names=[*batch.schema.names, "_cell", "_away"],
+            )
+
+    return df.mapInArrow(assign, f"{fields}, _cell int, _away double")
+
+
+def near_cells(
+    pivots: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float
+) -> np.ndarray:
+    """(left cell, right cell) that may hold a pair of at least ``threshold``.
+
+    ``left`` and ``right`` are the cells' radii, minus one for an empty cell. Rows p + x and
+    q + y with |x| <= r and |y| <= s have a product of at most pq + r|q| + s|p| + rs.
+    """
+    size = np.linalg.norm(pivots, axis=1)
+    most = pivots @ pivots.T + left[:, None] * size + right * size[:, None] + left[:, None] * right
+    # Rounding of scores and of the bound itself.
+    slack = 10.0**-VECTOR_DIGITS + 1e-9 * (1 + np.abs(most))
+    return np.argwhere((most >= threshold - slack) & (left >= 0)[:, None] & (right >= 0))
+
+
+def _near_grid(left: DataFrame, right: DataFrame, n: int, threshold: float, block_rows: int):
+    """Both sides copied to the cells (left piece, right piece) that may hold a pair.
+
+    The pivots are the rows with the smallest hashes of their ids on the left: a bounded
+    number, as many as make pieces of about half a block. A pivot that very many rows
+    are near to has several pieces.
+    """
+    spark = left.sparkSession
+    wanted = min(MAX_PIVOTS, max(2, 2 * -(-n // block_rows)))
+    sample = left.filter(F.col("_va").isNotNull()).orderBy(F.xxhash64("_a"), "_a").limit(wanted)
+    pivots = np.array([r["_va"] for r in sample.collect()], dtype=np.float64)
+    if not len(pivots):
+        pivots = np.zeros((1, 1))
+        left, right = left.limit(0), right.limit(0)
+    sides, radii, pieces = [], [], []
+    for df in (left, right):
+        df = _around(df, pivots)
+        radius, count = np.full(len(pivots), -1.0), np.zeros(len(pivots), int)
+        # One row per pivot.
+        for r in df.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_away").alias("r")).collect():
+            radius[r["_cell"]], count[r["_cell"]] = r["r"], -(-r["n"] // block_rows)
+        sides.append(df), radii.append(radius), pieces.append(count)
+    near = near_cells(pivots, *radii, threshold).tolist()
+    grouped = []
+    for side, (own, other) in enumerate((("_r", "_c"), ("_c", "_r"))):
+        begin = [np.concatenate([[0], np.cumsum(p)]) for p in pieces]
+        rows = [
+            (pair[side], int(begin[side][pair[side]]), int(pieces[side][pair[side]]),
+             int(begin[1 - side][pair[1 - side]]), int(pieces[1 - side][pair[1 - side]]))
+            for pair in near
+        ]
+        meets = spark.createDataFrame(rows, "_cell int, _own int, _own_n int, _at int, _n int")
+        df = sides[side]
+        piece = F.pmod(F.xxhash64(df.columns[0]), F.col("_own_n")).cast("int")
+        copied = df.join(F.broadcast(meets), "_cell").select(
+            *df.columns[:2],
+            (F.col("_own") + piece).alias(own),
+            F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)).alias(other),
+        )
+        grouped.append(copied.groupBy("_r", "_c"))
+    return grouped
+
+
 def pairs_at_least(
     left: DataFrame,
     right: DataFrame,
@@ -192,19 +276,24 @@ def pairs_at_least(
 
         return a.mapInArrow(stream, schema)
 
-    cells_a, cells_b = _grid(a, b, a.count(), right_at_most)
+    # Read several times from here on; vectors may come from a model.
+    a, b = materialize(a, "left"), materialize(b, "right")
+    cells_a, cells_b = _near_grid(a, b, max(a.count(), right_at_most), threshold, block_rows)
+
+    kinds = [pa_type(a.schema["_a"].dataType), pa_type(b.schema["_b"].dataType), pa.float64()]
 
-    def cell(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        x, y, found = x.dropna(), y.dropna(), []
-        if len(x) and len(y):
-            va = np.stack(x["_va"].to_numpy()).astype(np.float64)
-            vb = np.stack(y["_vb"].to_numpy()).astype(np.float64)
+    def cell(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = [[pa.array([], kind)] for kind in kinds]
+        if x.num_rows and y.num_rows:
+            va, vb = (_arrow_matrix(pa.concat_arrays(t.column(1).chunks)) for t in (x, y))
+            ids_a, ids_b = (np.array(t.column(0).to_pylist(), dtype=object) for t in (x, y))
             for i, j, s in _threshold_pairs(va, vb, threshold):
-                found.append((x["_a"].to_numpy()[i], y["_b"].to_numpy()[j], s))
-        merged = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
-        return pd.DataFrame(dict(zip([out_left, out_right, "similarity"], merged)))
+                for column, values, kind in zip(found, (ids_a[i], ids_b[j], s), kinds):
+                    column.append(pa.array(values, kind))
+        merged = [pa.concat_arrays(column) for column in found]
+        return pa.table(merged, names=[out_left, out_right, "similarity"])
 
-    return cells_a.cogroup(cells_b).applyInPandas(cell, schema)
+    return cells_a.cogroup(cells_b).applyInArrow(cell, schema)
 
 
 def top_k_by_dot(

@@ -126,3 +126,43 @@ def test_quality_rules(spark):
     assert (parted.good.count(), parted.rejected.count()) == (4, 2)
     report = quality.load_report("t", df, required=["pid", "c"], key="pid").first()
     assert tuple(report) == ("t", 6, 3, 3, 0)
+
+
+def _clustered(spark, n, seed, zero=True):
+    """Unit vectors around ten directions, with a zero one and a missing one."""
+    draw = np.random.default_rng(3)
+    centres = np.linalg.qr(draw.normal(size=(16, 16)))[0][:10]
+    draw = np.random.default_rng(seed)
+    v = centres[draw.integers(0, 10, n)] + draw.normal(0, 0.03, (n, 16))
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    v[0] = 0
+    rows = [(f"k{i}", x.tolist()) for i, x in enumerate(v)] + [("none", None)]
+    return v.astype(float), spark.createDataFrame(rows, "key string, embedding array<float>").repartition(5)
+
+
+@pytest.mark.parametrize("threshold", [-2.0, 0.0, 0.75, 0.99])
+def test_pairs_of_near_cells(spark, threshold):
+    a, left = _clustered(spark, 300, 1)
+    b, right = _clustered(spark, 150, 2)
+    found = similarity.pairs_at_least(
+        left, right, threshold, left_id="key", right_id="key", block_rows=20
+    ).collect()
+    scores = similarity._round_half_up(a @ b.T)
+    wanted = {(f"k{i}", f"k{j}") for i, j in np.argwhere(scores >= threshold)}
+    assert len(found) == len(wanted) and {(r.left_id, r.right_id) for r in found} == wanted
+
+
+def test_far_cells_do_not_meet():
+    pivots = np.eye(10)
+    radius = np.full(10, 0.1)
+    radius[9] = -1
+    near = similarity.near_cells(pivots, radius, radius, 0.75)
+    assert near.tolist() == [[i, i] for i in range(9)]
+
+
+def test_pairs_of_nothing(spark):
+    _, some = _clustered(spark, 30, 1)
+    for left, right in ((some.limit(0), some), (some.filter("embedding is null"), some)):
+        assert similarity.pairs_at_least(
+            left, right, 0.5, left_id="key", right_id="key", block_rows=4
+        ).count() == 0
