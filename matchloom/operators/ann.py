@@ -104,7 +104,7 @@ def _parts(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[
     n = -(-vectors.count() // BLOCK_ROWS) * 2 if vectors.count() > BLOCK_ROWS else 1
     for part in range(n):
         own = vectors.filter(F.pmod(F.xxhash64("_q"), F.lit(n)) == part) if n > 1 else vectors
-        ids, matrix = _block(own)
+        ids, matrix, _ = _block(own)
         if len(ids):
             yield ids, matrix
 

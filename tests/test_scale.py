@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchloom.operators import quality, scale, similarity
-from matchloom.operators.ann import ann_top_k, train_cells
+from matchloom.operators import ann
+from matchloom.operators.ann import ann_top_k, rows_scored, train_cells
 
 
 def rows(df):
@@ -111,6 +112,22 @@ def test_ann_with_all_cells_is_exact(spark):
     assert len(rows(ann_top_k(queries, corpus, 5, centroids, 1))) <= len(exact)
 
 
+def test_ann_queries_in_parts(spark, monkeypatch):
+    """Queries that travel in several parts, one of them without a vector."""
+    _, corpus = vectors(spark, 60, 3, "c")
+    _, queries = vectors(spark, 25, 4, "q")
+    corpus = corpus.withColumnRenamed("id", "chunk_id")
+    none = spark.createDataFrame([("none", None)], queries.schema)
+    queries = queries.union(none).withColumnRenamed("id", "query_id")
+    centroids = train_cells(corpus, 3)
+    whole = rows(ann_top_k(queries, corpus, 4, centroids, 2))
+    assert len({r[0] for r in whole}) == 25
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 6)
+    assert rows(ann_top_k(queries, corpus, 4, centroids, 2)) == whole
+    celled = ann.with_cells(corpus, centroids)
+    assert {r.rows_all for r in rows_scored(queries, celled, centroids, 3).collect()} == {60}
+
+
 def test_quality_rules(spark):
     df = spark.createDataFrame(
         [("p1", "a", 1), ("p1", "b", 2), ("p2", None, 3), ("p2", "c", 4), ("zz", "d", 5), (None, "e", 6)],
