@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.scale import BROADCAST_ROWS, lookup_join, top_k_per_group
+from matchloom.operators.scale import is_small, lookup_join, top_k_per_group
+from matchloom.storage import materialize
 
 BLOCK = ["profile", "level", "block"]
 
@@ -108,7 +109,7 @@ def first_in_blocks(people: DataFrame, k: int, base: int, levels: int) -> DataFr
 def first_in_ranges(ranges: DataFrame, people: DataFrame, k: int) -> DataFrame:
     """(criteria_id, patient_id, age, rank, and the other columns of ``ranges``): the first
     ``k`` people of every range by patient_id."""
-    facts = people.agg(F.min("age").alias("low"), F.max("age").alias("high"), F.count("*").alias("n")).first()
+    facts = people.agg(F.min("age").alias("low"), F.max("age").alias("high")).first()
     base, top = facts["low"] or 0, facts["high"] or 0
     levels = (top - base + 1).bit_length()
     low, high = F.greatest("age_min", F.lit(base)) - base, F.least("age_max", F.lit(top)) - base
@@ -116,10 +117,9 @@ def first_in_ranges(ranges: DataFrame, people: DataFrame, k: int) -> DataFrame:
     pieces = asked.withColumn("_piece", F.explode(blocks_of(low, high, levels))).withColumns(
         {"level": F.col("_piece.level"), "block": F.col("_piece.block")}
     )
-    blocks = first_in_blocks(people.filter(F.col("age").isNotNull()), k, base, levels)
-    # A block row is a copy of a person's row, one a level at most.
-    bounded = facts["n"] * (levels + 1) <= BROADCAST_ROWS
+    # At most k rows a block: few, however many people there are.
+    blocks = materialize(first_in_blocks(people.filter(F.col("age").isNotNull()), k, base, levels), "blocks")
     found = lookup_join(
-        pieces.drop("_piece", "age_min", "age_max"), blocks, BLOCK, small_is_bounded=bounded
+        pieces.drop("_piece", "age_min", "age_max"), blocks, BLOCK, small_is_bounded=is_small(blocks)
     ).drop(*BLOCK)
     return top_k_per_group(found, ["criteria_id"], [F.col("patient_id")], k, salt_by=["patient_id"])

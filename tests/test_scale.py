@@ -30,6 +30,17 @@ def test_hot_key_join_equals_plain_join(spark, skewed, how):
     assert rows(scale.hot_keys(skewed, ["k"], 500)) == [(0,)]
 
 
+def test_unbounded_sides_are_not_broadcast(spark):
+    """Sides that compress well are small in bytes only; none may go through the driver."""
+    big = spark.range(300_000).select((F.col("id") % 40_000).alias("k"), F.lit(1).alias("v"))
+    small = spark.range(0, 40_000, 2, 4).select(F.col("id").alias("k")).distinct()
+    found = scale.lookup_join(big, small, ["k"], small_is_bounded=False)
+    assert found.count() == 150_000
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_salted_top_k_equals_plain(spark, skewed, monkeypatch):
     order = [F.col("v").desc()]
     plain = rows(scale.top_k_per_group(skewed, ["k"], order, 7))
