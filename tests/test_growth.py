@@ -53,6 +53,43 @@ def test_blocks_leave_out_what_cannot_matter(spark, tmp_path):
     assert {r[0] for r in read.select("term").distinct().collect()} == {"rare", "the"}
 
 
+def test_postings_need_no_shuffle(spark, monkeypatch):
+    """Chunks are counted where they are; rows of one id and length count as one chunk."""
+    rows = [(i % 90, " ".join(["the"] * (i % 5) + [f"w{i % 7}", f"w{i % 3}"])) for i in range(60)]
+    rows += [(200, None), (201, ""), (None, "a b a"), (None, "b c d"), (None, "a")]
+    again = rows + rows[:20] + [(3, "other words of a length")]
+    for table in (rows[:-3], again):
+        chunks = spark.createDataFrame(table, "chunk_id bigint, text string").repartition(3)
+        monkeypatch.setattr(lexical, "LIST_WORDS", 7)
+        index = lexical.build_lexical_index(chunks)
+        expected = {}
+        for chunk, text in table:
+            words = (text or "").split()
+            for word in words:
+                key = (word, chunk, len(words))
+                expected[key] = expected.get(key, 0) + 1
+        found = {(r["term"], r["chunk_id"], r["dl"]): r["tf"] for r in index.postings.collect()}
+        assert found == expected and index.postings.count() == len(expected)
+    plan = lexical.build_lexical_index(spark.createDataFrame(rows[:-3], "chunk_id bigint, text string")).postings
+    assert "Exchange" not in plan._jdf.queryExecution().toString()
+
+
+def test_frequent_terms_in_parts(spark, monkeypatch, tmp_path):
+    """Terms above the bound are cut by several tasks; the answers stay."""
+    monkeypatch.setattr(lexical, "FILE_ROWS", 40)
+    monkeypatch.setattr(lexical, "LIST_WORDS", 30)
+    monkeypatch.setattr(impact, "CUT_POSTINGS", 25)
+    path = str(tmp_path / "index")
+    search.write_search_index(spark.createDataFrame(texts(300), SCHEMA).repartition(3), path)
+    index = search.read_search_index(spark, path, None).lexical
+    assert index.blocks.count() == index.blocks.select("term", "block").distinct().count()
+    assert index.blocks.filter("term = 'the'").select(F.shiftright("block", 32)).distinct().count() > 1
+    terms = lexical.query_terms(asked(spark), "query_id", "query")
+    assert hits(impact.bm25_from_blocks(index, terms, 9)) == hits(lexical.bm25_top_k(index, terms, 9))
+    built = lexical.build_lexical_index(spark.createDataFrame(texts(300), SCHEMA))
+    assert sorted(index.postings.collect()) == sorted(built.postings.collect())
+
+
 def test_a_batch_that_failed_is_not_seen(spark, tmp_path, monkeypatch):
     path, rows = str(tmp_path / "index"), texts(60)
     first, rest = rows[:20], rows[15:]
