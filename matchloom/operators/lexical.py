@@ -36,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TERM_ROWS = 200_000
 QUERY_ROWS = 20_000
 SCORE_CELLS = 2_000_000
+# Postings that a task scores at a time.
+POSTING_ROWS = 200_000
 # Standard BM25 parameters.
 K1 = 1.2
 B = 0.75
@@ -43,7 +45,7 @@ B = 0.75
 # Postings per file, and of one term in a task.
 FILE_ROWS = 1_000_000
 # Words that a task counts at a time.
-LIST_WORDS = 1_000_000
+LIST_WORDS = 4_000_000
 
 
 # Folders that terms are dealt to; the same in every batch that is added.
@@ -70,8 +72,9 @@ def build_lexical_index(
     cut = tokens(text) if terms is None else F.col(terms)
     listed = chunks.select(F.col(chunk_id).alias("chunk_id"), cut.alias("_terms"))
     lists = posting_lists(listed.withColumnRenamed("_terms", "terms"))
-    postings = lists.select("term", F.inline(F.arrays_zip("chunk_ids", "tfs", "dls"))).toDF(
-        "term", "chunk_id", "tf", "dl"
+    rows = lists.select("term", F.inline(F.arrays_zip("chunk_ids", "tfs", "dls")))
+    postings = rows.toDF("term", "chunk_id", "tf", "dl").withColumns(
+        {c: F.col(c).cast("bigint") for c in ("tf", "dl")}
     )
     frequencies = lists.groupBy("term").agg(F.sum(F.size("chunk_ids")).alias("df"))
     stats = listed.agg(
@@ -95,11 +98,11 @@ def posting_lists(forward: DataFrame) -> DataFrame:
     again = F.col("chunk_id").eqNullSafe(F.col("_again"))
     shared = (
         forward.join(repeated, again, "left_semi")
-        .select("chunk_id", F.size("terms").cast("bigint").alias("dl"), F.explode("terms").alias("term"))
+        .select("chunk_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
         .filter(F.col("term").isNotNull())
         # (chunk, term) is spread evenly even when one term or one chunk is hot.
         .groupBy("chunk_id", "term", "dl")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").cast("int").alias("tf"))
         .select("term", ids.alias("chunk_ids"), F.array("tf").alias("tfs"), F.array("dl").alias("dls"))
     )
     return _listed_in_task(forward.join(repeated, again, "left_anti")).unionByName(shared)
@@ -109,11 +112,11 @@ def _listed_in_task(forward: DataFrame) -> DataFrame:
     schema = T.StructType([
         T.StructField("term", T.StringType()),
         T.StructField("chunk_ids", T.ArrayType(forward.schema["chunk_id"].dataType)),
-        T.StructField("tfs", T.ArrayType(T.LongType())),
-        T.StructField("dls", T.ArrayType(T.LongType())),
+        T.StructField("tfs", T.ArrayType(T.IntegerType())),
+        T.StructField("dls", T.ArrayType(T.IntegerType())),
     ])
     kind = to_arrow_type(forward.schema["chunk_id"].dataType)
-    types = [pa.string(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.string(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def lists(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -128,7 +131,7 @@ def _listed_in_task(forward: DataFrame) -> DataFrame:
         term, row = np.divmod(pair, n)
         first = np.flatnonzero(np.diff(term, prepend=-1))
         offsets = pa.array(np.append(first, len(term)), pa.int32())
-        values = (ids.take(pa.array(row)), pa.array(tf, pa.int64()), pa.array(length[row], pa.int64()))
+        values = (ids.take(pa.array(row)), pa.array(tf, pa.int32()), pa.array(length[row], pa.int32()))
         columns = [coded.dictionary.take(pa.array(term[first]))]
         columns += [pa.ListArray.from_arrays(offsets, v) for v in values]
         return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types)], names=schema.names)
@@ -180,7 +183,7 @@ def write_lexical_index(index: LexicalIndex, path: str, batch: str) -> None:
     (
         blocks.withColumns({"term_bucket": term_bucket(), "batch": F.lit(batch)})
         .sortWithinPartitions("term_bucket", "term")
-        .write.mode("append")
+        .write.mode("append").option("compression", "zstd")
         .partitionBy("batch", "term_bucket")
         .parquet(f"{path}/postings")
     )
@@ -274,6 +277,11 @@ def _query_weights(index: LexicalIndex, terms: DataFrame) -> QueryWeights:
         .select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
         .collect()
     )
+    return _as_weights(rows)
+
+
+def _as_weights(rows: list) -> QueryWeights:
+    """Rows of (query_id, term, weight) as arrays."""
     queries = sorted({r["query_id"] for r in rows})
     place = {q: i for i, q in enumerate(queries)}
     rows.sort(key=lambda r: r["term"])
@@ -296,42 +304,97 @@ def _best_in_task(
     Chunks are scored a block at a time, so that block times queries stays bounded.
     ``own`` are the filters of the weights' queries; what one refuses has no score.
     """
-    n_queries = len(weights.queries)
-    block = max(1, SCORE_CELLS // max(1, n_queries))
+    block = max(1, SCORE_CELLS // max(1, len(weights.queries)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
         vocabulary = pa.array(weights.vocabulary, pa.string())
-        least = np.full(n_queries, np.finfo(float).tiny)
-        kept, ids, schema = [], [], None
         for batch in batches:
-            schema = batch.schema
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 score = _block_scores(part.column("terms"), vocabulary, weights, avg_dl, k1, b)
                 score = np.round(score, SCORE_DIGITS)
                 if own is not None:
                     score[~own.allowed(part)] = 0.0
-                if len(score) > k:
-                    least = np.maximum(least, np.partition(score, -k, axis=0)[-k])
-                chunk, query = np.nonzero(score >= least)
-                kept.append((query, score[chunk, query]))
-                ids.append(part.column("chunk_id").take(pa.array(chunk)))
-                if sum(len(x) for x in ids) > 4 * k * n_queries:
-                    kept, ids = _cut(kept, ids, k)
-        if kept:
-            kept, ids = _cut(kept, ids, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([weights.queries[q] for q in kept[0][0]], kind), ids[0], pa.array(kept[0][1])],
-                names=["query_id", "chunk_id", "score"],
-            )
+                yield part.column("chunk_id"), score
+
+    return lambda batches: _best_of(scored(batches), weights, kind, k)
 
-    return run
+
+def _best_of(
+    scored: Iterator[tuple[pa.Array, np.ndarray]], weights: QueryWeights, kind: pa.DataType, k: int
+) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of every query, from blocks of chunk ids and their (chunk, query) scores."""
+    n_queries = len(weights.queries)
+    least = np.full(n_queries, np.finfo(float).tiny)
+    kept, ids = [], []
+    for names, score in scored:
+        if len(score) > k:
+            least = np.maximum(least, np.partition(score, -k, axis=0)[-k])
+        chunk, query = np.nonzero(score >= least)
+        kept.append((query, score[chunk, query]))
+        ids.append(names.take(pa.array(chunk)))
+        if sum(len(x) for x in ids) > 4 * k * n_queries:
+            kept, ids = _cut(kept, ids, k)
+    if kept:
+        kept, ids = _cut(kept, ids, k)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weights.queries[q] for q in kept[0][0]], kind), ids[0], pa.array(kept[0][1])],
+            names=["query_id", "chunk_id", "score"],
+        )
+
+
+def best_from_postings(weights: QueryWeights, kind: pa.DataType, avg_dl: float, k: int, k1: float, b: float):
+    """A task function over postings (chunk_id, term, tf, dl) that lie by chunk: like
+    :func:`_best_in_task`, of the scores that these postings add up to."""
+    block = max(1, SCORE_CELLS // max(1, len(weights.queries)))
+
+    def scores(rows: pa.Table, chunk: np.ndarray, vocabulary: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        first = np.flatnonzero(np.diff(chunk, prepend=-1))
+        number = np.cumsum(np.diff(chunk, prepend=-1) != 0) - 1
+        found = pa.compute.index_in(rows.column(1), value_set=vocabulary).to_numpy().astype(np.int64)
+        tf, dl = (rows.column(c).to_numpy().astype(float) for c in (2, 3))
+        norm = 1.0 - b + b * dl / avg_dl if avg_dl else np.ones(len(dl))
+        value = tf * (k1 + 1.0) / (tf + k1 * norm)
+        names = rows.column(0).combine_chunks()
+        names = pa.concat_arrays(names.chunks) if isinstance(names, pa.ChunkedArray) else names
+        for at in range(0, len(first), block):
+            lo = first[at]
+            hi = first[at + block] if at + block < len(first) else len(chunk)
+            n = min(block, len(first) - at)
+            score = _added(number[lo:hi] - at, found[lo:hi], value[lo:hi], n, weights)
+            yield names.take(pa.array(first[at : at + n])), np.round(score, SCORE_DIGITS)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        vocabulary, held, size = pa.array(weights.vocabulary, pa.string()), [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < POSTING_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            chunk = _codes(rows.column(0))
+            # The last chunk may go on in the next batch.
+            whole = int(np.flatnonzero(chunk != chunk[-1])[-1]) + 1 if (chunk != chunk[-1]).any() else 0
+            if whole:
+                yield from scores(rows.slice(0, whole), chunk[:whole], vocabulary)
+            held, size = rows.slice(whole).to_batches(), rows.num_rows - whole
+        if size:
+            rows = pa.Table.from_batches(held)
+            yield from scores(rows, _codes(rows.column(0)), vocabulary)
+
+    return lambda batches: _best_of(scored(batches), weights, kind, k)
+
+
+def _codes(names: pa.ChunkedArray) -> np.ndarray:
+    coded = names.combine_chunks()
+    coded = pa.concat_arrays(coded.chunks) if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _cut(kept: list, ids: list, k: int) -> tuple[list, list]:
     query, score = (np.concatenate(x) for x in zip(*kept))
     names = pa.concat_arrays(ids)
-    place = pa.compute.rank(names, tiebreaker="dense").to_numpy(zero_copy_only=False)
+    place = pa.compute.rank(names, null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
     order = np.lexsort((place, -score, query))
     query, score = query[order], score[order]
     first = np.arange(len(query)) - np.searchsorted(query, query) < k
@@ -352,7 +415,11 @@ def _block_scores(
     chunk, term = np.divmod(pair, max(1, len(vocabulary)))
     norm = 1.0 - b + b * length[chunk] / avg_dl if avg_dl else np.ones(len(chunk))
     value = tf * (k1 + 1.0) / (tf + k1 * norm)
-    # Each pair meets the queries of its term.
+    return _added(chunk, term, value, n, weights)
+
+
+def _added(chunk: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, weights: QueryWeights) -> np.ndarray:
+    """(chunk, query) scores of ``n`` chunks. Each pair meets the queries of its term."""
     size = weights.first[term + 1] - weights.first[term]
     row = np.repeat(weights.first[term] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     cell = np.repeat(chunk, size) * len(weights.queries) + weights.query[row]

@@ -128,7 +128,9 @@ def _add_chunks(
     embedded = embedded.withColumn("terms", tokens("text"))
     # One pass of the model writes both kinds, each in a folder of its own.
     marked = embedded.withColumns({"rejected": F.col("error").isNotNull(), "batch": F.lit(batch)})
-    marked.write.mode("append").partitionBy("batch", "rejected").parquet(f"{path}/chunks")
+    marked.write.mode("append").option("compression", "zstd").partitionBy("batch", "rejected").parquet(
+        f"{path}/chunks"
+    )
     written = spark.read.parquet(f"{path}/chunks").filter(F.col("batch") == batch)
     written = written.filter(~F.col("rejected")).select("chunk_id", "text", "terms")
     lexical.write_lexical_index(lexical.build_lexical_index(written, terms="terms"), f"{path}/lexical", batch)

@@ -90,6 +90,24 @@ def test_frequent_terms_in_parts(spark, monkeypatch, tmp_path):
     assert sorted(index.postings.collect()) == sorted(built.postings.collect())
 
 
+def test_block_search_does_not_grow_with_queries(spark, monkeypatch, tmp_path):
+    """Queries that share their terms share the blocks and postings read, in any number of parts."""
+    path, seen = str(tmp_path / "index"), []
+    search.write_search_index(spark.createDataFrame(texts(200), SCHEMA), path)
+    index = search.read_search_index(spark, path, None).lexical
+    one = spark.createDataFrame([(1, "the w3 w4 w9")], "query_id int, query string")
+    many = spark.createDataFrame([(i, "the w3 w4 w9") for i in range(40)], one.schema)
+    monkeypatch.setattr(impact, "materialize", lambda d, n, f=impact.materialize: seen.append((n, d.count())) or f(d, n))
+    monkeypatch.setattr(lexical, "POSTING_ROWS", 30)
+    for queries in (one, many):
+        terms = lexical.query_terms(queries, "query_id", "query")
+        assert hits(impact.bm25_from_blocks(index, terms, 6)) == hits(lexical.bm25_top_k(index, terms, 6))
+    sizes = [n for name, n in seen if name.startswith(("block", "needed"))]
+    assert sizes[: len(sizes) // 2] == sizes[len(sizes) // 2 :]
+    monkeypatch.setattr(impact, "QUERY_ROWS", 9)
+    assert hits(impact.bm25_from_blocks(index, terms, 6)) == hits(lexical.bm25_top_k(index, terms, 6))
+
+
 def test_a_batch_that_failed_is_not_seen(spark, tmp_path, monkeypatch):
     path, rows = str(tmp_path / "index"), texts(60)
     first, rest = rows[:20], rows[15:]
