@@ -41,8 +41,8 @@ REGISTRY: dict[str, Query] = {}
 LOOSE = 0.5
 # Text in one map of the single-object layout, about.
 OBJECT_BYTES = 4 << 20
-# Bytes of text in one file that byte ranges split.
-SPLIT_BYTES = 1 << 30
+# Bytes of text in one file that byte ranges split; a file is written by one task.
+SPLIT_BYTES = 1 << 27
 METADATA = ("phase", "status", "enrollment", "minimum_age", "maximum_age")
 
 _indexes: dict[tuple[str, str], str] = {}

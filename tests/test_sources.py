@@ -215,3 +215,10 @@ def test_index_counts_what_the_model_refuses(spark, tmp_path):
 def test_embed_input(spark):
     df = spark.createDataFrame([({"b": "2", "a": "1"}, "body")], "m map<string,string>, t string")
     assert df.select(embedding.embed_input("t", F.col("m"))).first()[0] == "a: 1\nb: 2\n\nbody"
+
+
+def test_a_split_file_is_bounded():
+    """One task writes a file, so files of the split layout grow in number and not in size."""
+    from checks import spark_queries
+
+    assert spark_queries.SPLIT_BYTES <= 128 << 20
