@@ -36,22 +36,77 @@ CAPACITY = 4096
 END_ID = 1
 # Rows of one length that are numbered in one task.
 RANK_ROWS = 1 << 16
-# Words whose ids a task remembers, and half as many pieces; it starts anew beyond.
-KNOWN_WORDS = 1_000_000
+# Words whose ids a task remembers, and as many pieces; it starts anew beyond.
+KNOWN_WORDS = 1 << 18
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-# Words of these characters alone are unchanged by Unicode composition; lower-cased, the
-# tokenizer cuts them at the places that PIECE matches. Fixed values of its file.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# Bytes of words that Unicode composition leaves as they are: printable ASCII, and two-byte
+# letters from À to ÿ. Lower-cased, the tokenizer cuts them as LINES does when each word is
+# on a line of its own. Fixed values of its file.
+ASCII = np.zeros(256, bool)
+ASCII[33:127] = True
+LETTER = np.zeros(256, bool)
+LETTER[0x80:0xC0] = True
+LETTER[[0x97, 0xB7]] = False
+LINES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+|\n")
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for; ``new`` has the latest."""
+
+    def __init__(self) -> None:
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+
+class Lists:
+    """Lists of ids by number, one after the other in one array."""
+
+    def __init__(self) -> None:
+        self._first, self._ids, self._n, self._used = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0, 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n, used = self._n + len(sizes), self._used + len(ids)
+        if n >= len(self._first):
+            self._first = np.append(self._first, np.zeros(n, np.int64))
+        if used > len(self._ids):
+            self._ids = np.append(self._ids, np.zeros(used, np.uint32))
+        self._first[self._n + 1 : n + 1] = self._used + np.cumsum(sizes)
+        self._ids[self._used : used] = ids
+        self._n, self._used = n, used
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all asked lists, and where each list ends among them."""
+        first = self._first[at]
+        n = self._first[at + 1] - first
+        ends = np.cumsum(n)
+        return self._ids[np.repeat(first - (ends - n), n) + np.arange(n.sum())], ends
+
+
+def plain_words(words: list[bytes]) -> np.ndarray:
+    """Which words have only characters that LINES knows, and no mark of a special token."""
+    data = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
+    lead = data == 0xC3
+    good = ASCII[data]
+    good[:-1] |= lead[:-1] & LETTER[data[1:]]
+    good[1:] |= lead[:-1] & LETTER[data[1:]]
+    good[:-1] &= ~((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    bad = np.append(0, np.cumsum(~good))
+    # The line's end is the one byte of a plain word that is not good.
+    return bad[ends] - bad[np.append(0, ends[:-1])] == 1
 
 
 class WordEncoder:
     """Ids of texts, word by word, remembering the ids of words and of their pieces.
 
     Right for tokenizers that never join bytes across white space. ``pieces`` says that
-    the tokenizer lower-cases and cuts plain words as ``PIECE`` does; others are encoded
+    the tokenizer lower-cases and cuts plain words as ``LINES`` does; others are encoded
     whole, as are words with a special token in them.
     """
 
@@ -66,57 +121,67 @@ class WordEncoder:
         letters = {chr(c) for c in range(33, 127)} | {chr(c) for c in range(192, 256)}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._bytes = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in letters}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._forget()
+        self._forget_words()
+        self._forget_pieces()
 
-    def _forget(self) -> None:
-        self._index: dict[bytes, int] = {}
-        self._first = np.zeros(1, np.int64)
-        self._ids = np.zeros(0, np.uint32)
+    def _forget_words(self) -> None:
+        self._number, self._ids = Numbers(), Lists()
+
+    def _forget_pieces(self) -> None:
+        self._piece, self._piece_ids = Numbers(), Lists()
+        self._piece["\n"] = 0
+        self._piece_ids.add(np.zeros(1, np.int64), np.zeros(0, np.uint32))
 
     def _whole(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _merged(self, piece: str) -> list[int]:
         """Ids of one piece, straight from the merges."""
-        known = self._known.get(piece)
-        if known is None:
-            if len(self._known) >= self._limit // 2:
-                self._known = {}
-            merged = self._model.tokenize(piece.translate(self._bytes))
-            known = self._known[piece] = tuple([t.id for t in merged])
-        return known
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = []
-        for word in words:
-            text = word.decode()
-            if self._pieces and PLAIN.fullmatch(text) and "<|" not in text:
-                parts = PIECE.findall(text.lower())
-                ids = self._piece(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._piece(p)]
-            else:
-                ids = self._whole(text)
-            found.append(ids)
-        self._index.update(zip(words, range(len(self._index), len(self._index) + len(words))))
-        ends = self._first[-1] + np.cumsum([len(x) for x in found])
-        self._first = np.concatenate([self._first, ends])
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        self._ids = np.concatenate([self._ids, flat])
+        # Printable ASCII characters stand for their own bytes.
+        return [t.id for t in self._model.tokenize(piece if piece.isascii() else piece.translate(self._bytes))]
+
+    def _learn_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and the ids, of words that are cut in pieces."""
+        if len(self._piece) > self._limit:
+            self._forget_pieces()
+        found = LINES.findall((b"\n".join(words) + b"\n").decode().lower())
+        at = np.fromiter(map(self._piece.__getitem__, found), np.int64, len(found))
+        sizes, ids = _listed([self._merged(p) for p in self._piece.new])
+        self._piece_ids.add(sizes, ids)
+        self._piece.new.clear()
+        ids, ends = self._piece_ids.take(at)
+        return np.diff(ends[at == 0], prepend=0), ids
+
+    def _learn(self) -> None:
+        words = self._number.new
+        plain = plain_words(words) if self._pieces else np.zeros(len(words), bool)
+        parts = Lists()
+        own = [w for w, p in zip(words, plain) if p]
+        if own:
+            parts.add(*self._learn_plain(own))
+        others = [w for w, p in zip(words, plain) if not p]
+        parts.add(*_listed([self._whole(w.decode()) for w in others]))
+        # Plain words come first among the parts.
+        place = np.where(plain, np.cumsum(plain) - 1, len(own) + np.cumsum(~plain) - 1)
+        ids, ends = parts.take(place)
+        self._ids.add(np.diff(ends, prepend=0), ids)
+        words.clear()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if len(self._number) > self._limit:
+            self._forget_words()
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words}.difference(self._index)
-        if len(self._index) + len(new) > self._limit:
-            self._forget()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(list(new))
-        for words in split:
-            at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-            first, n = self._first[at], self._first[at + 1] - self._first[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            yield self._ids[np.repeat(first - (ends - n), n) + np.arange(total)]
+        total = sum(map(len, split))
+        at = np.fromiter(map(self._number.__getitem__, chain.from_iterable(split)), np.int64, total)
+        if self._number.new:
+            self._learn()
+        ids, ends = self._ids.take(at)
+        ends = np.append(0, ends)[np.cumsum([len(words) for words in split], dtype=np.int64)]
+        yield from np.split(ids, ends[:-1])
+
+
+def _listed(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([len(x) for x in found], np.int64), np.fromiter(chain.from_iterable(found), np.uint32)
 
 
 def cut_pieces(

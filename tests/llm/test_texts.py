@@ -325,6 +325,17 @@ def test_hot_ids_are_cut():
     assert (bounds, pieces) == ([3, 9, 10, 20], {2: 4})
 
 
+def test_word_encoder_forgets_and_stays_exact():
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for part in range(4):
+        words = [f"w{n * 7919:x}é's" for n in range(part * 90_000, (part + 1) * 90_000)]
+        (found,) = encoder.encode([" ".join(words).encode()])
+        assert len(encoder._number) <= packing.KNOWN_WORDS + 90_000
+        assert len(encoder._piece) <= packing.KNOWN_WORDS + 90_000
+    assert packing.KNOWN_WORDS <= 300_000
+    assert found.tolist() == encoder._whole(" ".join(words))
+
+
 def test_packing_against_whole_text_tokenizer(docs, rows):
     from tokenizers import Tokenizer
 
