@@ -267,3 +267,16 @@ def test_mixing_last_document_is_made_up_for():
         assert set(out) <= {0.0, 1.0}
         worst = max(worst, abs(sizes @ out - sizes @ chances))
     assert worst <= 20
+
+
+def test_segment_sums_of_short_and_long_segments():
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([[1, 2, 500, language.SHORT, language.SHORT + 1], rng.integers(1, 6, 40)])
+    first = np.cumsum(sizes) - sizes
+    values = rng.random((64, 8)).astype(np.float32)
+    at = rng.integers(0, 64, sizes.sum())
+    found = language.segment_sums(values, at, first, sizes)
+    for a, n, row in zip(first, sizes, found):
+        assert np.allclose(row, values[at[a : a + n]].sum(0), rtol=1e-4)
+    weights, rows = values[:16], rng.integers(0, 16, (20, 3))
+    assert np.allclose(np.log(language.softmax(weights, rows)), language.softmax_log(weights, rows), atol=1e-5)
