@@ -175,3 +175,18 @@ def test_rejected_chunks_that_were_accepted_later(spark, tmp_path):
     # Written anew, the index forgets earlier generations.
     assert search.write_search_index(chunks.limit(1), path, embedder=load(False)) == (1, 0)
     assert search.read_search_index(spark, path, None).chunks.count() == 1
+
+
+def test_replacing_writes_the_chunks_once(spark, tmp_path, monkeypatch):
+    names, plain = [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: names.append(name) or plain(df, name))
+    columns = "chunk_id string, nct_id string, text string"
+    path = str(tmp_path / "index")
+    old = [("a0", "a", "red bolt"), ("b0", "b", "blue ring"), ("c0", "c", "old gear")]
+    search.write_search_index(spark.createDataFrame(old, columns), path)
+    gone = spark.createDataFrame([("c",), (None,)], "nct_id string")
+    new = spark.createDataFrame([("a0", "a", "green plate"), ("d0", "d", "new bolt")], columns)
+    counts = search.replace_in_index(new, path, withdrawn=gone)
+    assert counts.indexed == 3 and "incoming" not in names
+    left = search._stored(spark, path, rejected=False).select("chunk_id", "text").collect()
+    assert sorted(map(tuple, left)) == [("a0", "green plate"), ("b0", "blue ring"), ("d0", "new bolt")]
