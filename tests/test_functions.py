@@ -111,3 +111,23 @@ def test_pack_words_against_a_loop(spark):
             expected[-1].append(word)
             used += len(word) + 1
         assert r.p == [" ".join(g) for g in expected]
+
+
+def test_hash_embedding_parts_and_nulls(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    lists = [["hot", "gizmo", "hot"], None, [], ["ñ"]]
+    found = vx._hashed(pa.array(lists, pa.list_(pa.string())), 8).to_pylist()
+    for tokens, vector in zip(lists, found):
+        want = [0.0] * 8 if tokens is not None else [None] * 8
+        for token in tokens or ():
+            want[int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % 8] += 1
+        norm = sum(x * x for x in want) ** 0.5 if tokens else 1.0
+        assert vector == ([None] * 8 if tokens is None else [pytest.approx(x / norm) for x in want])
+    rows = spark.createDataFrame([(i, "a b c " * i) for i in range(40)] + [(99, None)], "i int, x string")
+    whole = dict(rows.select("i", vx.hash_embedding("x")).collect())
+    monkeypatch.setattr(vx, "HASH_TOKENS", 50)
+    assert dict(rows.select("i", vx.hash_embedding("x")).collect()) == whole
+    assert whole[99] == [None] * 64 and whole[0] == [0.0] * 64
