@@ -212,7 +212,10 @@ def _strict_matches(
         lambda both: (F.size(both) >= F.col("n_required"))
         & (F.get(both, F.lit(0)) == F.col("anchor")),
     )
-    return candidates.filter(F.get(first, F.lit(0)))
+    # Who must meet all has one anchor; the test ends at the first requirement not met.
+    every = F.forall("wanted", lambda key: F.array_contains("met", key))
+    is_met = F.when(F.col("n_required") == F.size("wanted"), every).otherwise(F.get(first, F.lit(0)))
+    return candidates.filter(is_met)
 
 
 def _report_failures(embedded: dict[str, DataFrame], quarantine: str | None) -> None:
