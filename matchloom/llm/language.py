@@ -53,8 +53,8 @@ CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 10
 WORD_FEATURES = 3
 ROUNDS = 3
 MINI_BATCH = 8192
-# Lines of a segment that are added place by place.
-SHORT = 32
+# Lines of a segment that are added place by place, at most.
+SHORT = 8
 RATE = 0.5
 # Changes that one task of the reduction tree adds up.
 FAN_IN = 16
@@ -114,46 +114,39 @@ def features(tokens: Tokens) -> np.ndarray:
     )
 
 
-def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows that each line of row numbers selects; the largest of a line is 0."""
+def softmax_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of all outcomes for each line of row numbers."""
     logits = weights.take(rows[:, 0], 0)
     for j in range(1, rows.shape[1]):
         logits += weights.take(rows[:, j], 0)
     logits -= logits.max(1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
     return logits
 
 
-def softmax_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of all outcomes for each line of row numbers."""
-    logits = _logits(weights, rows)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
-
-
-def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Probabilities of all outcomes for each line of row numbers."""
-    odds = _logits(weights, rows)
-    np.exp(odds, out=odds)
-    odds /= odds.sum(1, keepdims=True)
-    return odds
-
-
 def segment_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For every segment i, the sum of ``values`` in the lines at[first[i] : first[i] + sizes[i]].
 
-    Most segments are short: their lines are added place by place, for all segments at once.
-    Long ones are added one by one.
+    Most segments are short: their lines are added place by place, for all segments at once,
+    in the order of ``np.add.reduceat``, which adds up the long ones.
     """
     longest = np.argsort(-sizes, kind="stable")
     begin, ordered = first[longest], sizes[longest]
     out = values.take(at[begin], 0)
-    # How many segments go beyond each place.
+    # How many segments go beyond each place; those beyond the last are long.
     beyond = np.searchsorted(-ordered, -np.arange(1, SHORT + 1))
-    for place, n in zip(range(1, SHORT), beyond):
-        if not n:
-            break
-        out[:n] += values.take(at[begin[:n] + place], 0)
-    for i in range(beyond[-1]):
-        out[i] += values.take(at[begin[i] + SHORT : begin[i] + ordered[i]], 0).sum(0)
+    long = beyond[-1]
+    if beyond[0] > long:
+        rest = values.take(at[begin[long : beyond[0]] + 1], 0)
+        for place, n in zip(range(2, SHORT), beyond[1:]):
+            if n <= long:
+                break
+            rest[: n - long] += values.take(at[begin[long:n] + place], 0)
+        out[long : beyond[0]] += rest
+    if long:
+        starts = np.cumsum(ordered[:long]) - ordered[:long]
+        lines = np.repeat(begin[:long] - starts, ordered[:long]) + np.arange(ordered[:long].sum())
+        out[:long] = np.add.reduceat(values.take(at[lines], 0), starts)
     back = np.empty(len(first), np.int64)
     back[longest] = np.arange(len(first))
     return out.take(back, 0)
@@ -170,7 +163,8 @@ class Learner:
     def step(self, rows: np.ndarray, target: np.ndarray) -> None:
         if not len(rows):
             return
-        gradient = softmax(self.weights, rows)
+        gradient = softmax_log(self.weights, rows)
+        np.exp(gradient, out=gradient)
         gradient[np.arange(len(target)), target] -= 1
         flat = rows.ravel()
         order = np.argsort(flat, kind="stable")
@@ -181,7 +175,7 @@ class Learner:
         mean = segment_sums(gradient, order // rows.shape[1], first, sizes)
         mean /= n[:, None]
         # Rows seen often in one batch have a surer mean; each has its own rate.
-        self.squares[found] += np.einsum("ij,ij->i", mean, mean) * np.minimum(n, 8)
+        self.squares[found] += np.square(mean).sum(1) * np.minimum(n, 8)
         rate = RATE * np.sqrt(np.minimum(n, 8) / self.squares[found])
         mean *= np.minimum(rate, 1.0)[:, None]
         self.weights[found] -= mean

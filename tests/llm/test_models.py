@@ -276,7 +276,5 @@ def test_segment_sums_of_short_and_long_segments():
     values = rng.random((64, 8)).astype(np.float32)
     at = rng.integers(0, 64, sizes.sum())
     found = language.segment_sums(values, at, first, sizes)
-    for a, n, row in zip(first, sizes, found):
-        assert np.allclose(row, values[at[a : a + n]].sum(0), rtol=1e-4)
-    weights, rows = values[:16], rng.integers(0, 16, (20, 3))
-    assert np.allclose(np.log(language.softmax(weights, rows)), language.softmax_log(weights, rows), atol=1e-5)
+    # Bit for bit, whatever the sizes: scores must not change with how sums are added.
+    assert np.array_equal(found, np.add.reduceat(values[at], first))
