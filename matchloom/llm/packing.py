@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.flat import Texts
+from matchloom.llm.flat import Texts, released
 from matchloom.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,6 +38,8 @@ END_ID = 1
 RANK_ROWS = 1 << 16
 # Words whose ids a task remembers, and as many pieces; it starts anew beyond.
 KNOWN_WORDS = 1 << 18
+# Bytes of text, at least, that are cut in words at a time.
+PART_BYTES = 1 << 18
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -195,8 +197,7 @@ def cut_pieces(
         encoder = WordEncoder(tokenizer)
         for batch in batches:
             texts = Texts.of(batch.column("text"))
-            # About 1 MB of text at a time.
-            parts = np.unique(np.searchsorted(texts.offsets, np.arange(0, texts.offsets[-1] + 1, 1 << 20)))
+            parts = np.unique(np.searchsorted(texts.offsets, np.arange(0, texts.offsets[-1] + 1, PART_BYTES)))
             parts = np.unique(np.concatenate([[0], parts, [len(texts)]]))
             names = batch.column("doc_id").to_pylist()
             for a, b in zip(parts[:-1], parts[1:]):
@@ -215,7 +216,7 @@ def cut_pieces(
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(released(cut), schema)
 
 
 def _fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:

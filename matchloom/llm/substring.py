@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchloom.llm.exchange import SENT, Layout, batched, in_other_batches
-from matchloom.llm.flat import Texts, Words, covered
+from matchloom.llm.flat import Texts, Words, covered, released_group, released_pair
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -100,10 +100,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, as_is: bool = False) ->
     def heard(replies: DataFrame, turn: int) -> DataFrame:
         return replies.select("batch", F.lit(turn).alias("turn"), "bucket", "payload")
 
-    notes = heard(in_other_batches(grouped.applyInArrow(send, SENT)), 1)
-    sent = grouped.cogroup(notes.groupBy("batch")).applyInArrow(send_found, SENT)
+    notes = heard(in_other_batches(grouped.applyInArrow(released_group(send), SENT)), 1)
+    sent = grouped.cogroup(notes.groupBy("batch")).applyInArrow(released_pair(send_found), SENT)
     notes = notes.union(heard(in_other_batches(sent, whole=True), 2))
-    return grouped.cogroup(notes.groupBy("batch")).applyInArrow(remove, schema)
+    return grouped.cogroup(notes.groupBy("batch")).applyInArrow(released_pair(remove), schema)
 
 
 def removal_digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -1,12 +1,16 @@
 """Operators on texts against brute force, with edge rows."""
 
+import ctypes
 import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,6 +340,45 @@ def test_word_encoder_forgets_and_stays_exact():
     assert found.tolist() == encoder._whole(" ".join(words))
 
 
+def test_packing_task_stays_small(spark):
+    """A task over 4 MB of ever new words, run here: what it holds at most, and what it gives back."""
+    tasks = []
+
+    class Rows:  # takes the task, as a DataFrame would
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):
+            tasks.append(task)
+
+    packing.cut_pieces(Rows(), public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"{n * 2654435761 % 2**32:x}" for n in range(i * 150, i * 150 + 150)) for i in range(3000)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    n = sum(found.num_rows for found in tasks[0](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts)
+    assert most < 90e6, f"{most / 1e6:.0f} MB"
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs malloc_trim")
+def test_released_memory_leaves_the_process():
+    def used():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    kept = []
+
+    def task(batches):
+        blocks = [bytes(4096) for _ in range(50_000)]
+        kept.extend(blocks[::1000])  # between the others, which are freed
+        yield len(blocks)
+
+    before = used()
+    assert list(flat.released(task)(iter([]))) == [50_000]
+    assert used() - before < 50
+
+
 def test_packing_against_whole_text_tokenizer(docs, rows):
     from tokenizers import Tokenizer
 
