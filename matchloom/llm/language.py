@@ -30,6 +30,7 @@ import pickle
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +61,12 @@ RATE = 0.5
 FAN_IN = 16
 BLOCK_ROWS = 1 << 12
 # Tokens counted or scored at a time.
-COUNT_IDS, SCORE_TOKENS = 4_000_000, 1 << 14
+COUNT_IDS, SCORE_TOKENS = 4_000_000, 1 << 12
 BATCH_BYTES = 8 << 20
 END, START = np.uint64(0), np.uint64((1 << 64) - 1)
 TAIL_MASK = np.uint64(TAIL_CLASSES - 1)
+# Bits of an id by which head words are looked up.
+PLACE_BITS = 17
 
 
 @dataclass
@@ -114,23 +117,38 @@ def features(tokens: Tokens) -> np.ndarray:
     )
 
 
-def softmax_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of all outcomes for each line of row numbers."""
+def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each line of row numbers; the largest outcome of a line is 0."""
     logits = weights.take(rows[:, 0], 0)
     for j in range(1, rows.shape[1]):
         logits += weights.take(rows[:, j], 0)
     logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def softmax_log(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of all outcomes for each line of row numbers."""
+    logits = _logits(weights, rows)
     logits -= np.log(np.exp(logits).sum(1, keepdims=True))
     return logits
 
 
+def target_log(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of one outcome for each line: ``softmax_log`` at ``target``."""
+    logits = _logits(weights, rows)
+    own = logits[np.arange(len(target)), target]
+    return own - np.log(np.exp(logits, out=logits).sum(1))
+
+
 def segment_sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For every segment i, the sum of ``values`` in the lines at[first[i] : first[i] + sizes[i]].
 
     Most segments are short: their lines are added place by place, for all segments at once,
     in the order of ``np.add.reduceat``, which adds up the long ones.
     """
-    longest = np.argsort(-sizes, kind="stable")
+    # Numbers of 16 bits sort fastest.
+    most = sizes.max()
+    longest = np.argsort((most - sizes).astype(np.min_scalar_type(most)), kind="stable")
     begin, ordered = first[longest], sizes[longest]
     out = values.take(at[begin], 0)
     # How many segments go beyond each place; those beyond the last are long.
@@ -170,7 +188,7 @@ class Learner:
         order = np.argsort(flat, kind="stable")
         ordered = flat[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        found, sizes = ordered[first], np.diff(np.append(first, len(flat)))
+        found, sizes = ordered[first].astype(np.intp), np.diff(np.append(first, len(flat)))
         n = sizes.astype(np.float32)
         mean = segment_sums(gradient, order // rows.shape[1], first, sizes)
         mean /= n[:, None]
@@ -178,7 +196,7 @@ class Learner:
         self.squares[found] += np.square(mean).sum(1) * np.minimum(n, 8)
         rate = RATE * np.sqrt(np.minimum(n, 8) / self.squares[found])
         mean *= np.minimum(rate, 1.0)[:, None]
-        self.weights[found] -= mean
+        self.weights[found] = self.weights.take(found, 0) - mean
         self.steps[found] += n
 
 
@@ -194,13 +212,33 @@ class Vocabulary:
     tail_tokens: np.ndarray
     tail_types: np.ndarray
 
+    @cached_property
+    def _places(self) -> tuple[np.uint64, np.ndarray] | None:
+        """How far ids are shifted, and where the head word with those last bits is; None when
+        no shift tells all head words apart.
+        """
+        for shift in range(TAIL_CLASSES.bit_length() - 1, 65 - PLACE_BITS):
+            keys = self._keys(self.head, np.uint64(shift))
+            if len(np.unique(keys)) == len(keys):
+                places = np.zeros(1 << PLACE_BITS, np.int16)
+                places[keys] = np.arange(len(keys))
+                return np.uint64(shift), places
+        return None
+
+    def _keys(self, ids: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((ids >> shift) & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64)
+
     def outcome(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of every token, and place in the class (-1 in a tail class)."""
         if not len(self.head):
             slot = np.full(len(ids), -1)
         else:
-            at = np.minimum(np.searchsorted(self.head, ids), len(self.head) - 1)
-            slot = np.where(self.head[at] == ids, self.slot[at], -1)
+            if self._places:
+                shift, places = self._places
+                at = places.take(self._keys(ids, shift))
+            else:
+                at = np.minimum(np.searchsorted(self.head, ids), len(self.head) - 1)
+            slot = np.where(self.head.take(at) == ids, self.slot.take(at), -1)
         tail = HEAD_CLASSES + (ids & TAIL_MASK).astype(np.int64)
         return np.where(slot >= 0, slot // CLASS_WORDS, tail), np.where(slot >= 0, slot % CLASS_WORDS, -1)
 
@@ -240,10 +278,9 @@ def token_scores(
     for a in range(0, len(out), SCORE_TOKENS):
         part = slice(a, a + SCORE_TOKENS)
         own, word = classes[part], words[part]
-        score = softmax_log(weights[0], _rows(hashes[part]))[np.arange(len(own)), own].astype(float)
+        score = target_log(weights[0], _rows(hashes[part]), own).astype(float)
         head = np.flatnonzero(word >= 0)
-        inside = softmax_log(weights[1], _rows(hashes[part][head], own[head]))
-        score[head] += inside[np.arange(len(head)), word[head]]
+        score[head] += target_log(weights[1], _rows(hashes[part][head], own[head]), word[head])
         tail = np.flatnonzero(word < 0)
         t = own[tail] - HEAD_CLASSES
         room = vocabulary.tail_tokens[t] + vocabulary.tail_types[t] + 1
@@ -267,8 +304,10 @@ def _chunks(column: pa.ChunkedArray | pa.Array, size: int = 1 << 20) -> Iterator
         yield Tokens.of(Texts(texts.data[own[0] : own[-1]], own - own[0]))
 
 
-def _distinct(column: pa.ChunkedArray) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(t.ids) for t in _chunks(column)]))
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """All distinct ids in ascending order; a sort takes less time than ``np.unique`` here."""
+    ids = np.sort(np.concatenate(parts))
+    return ids[np.append(True, ids[1:] != ids[:-1])]
 
 
 def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -483,7 +522,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     batches = docs.select(key.cast("int").alias("batch"), "text", F.struct(*others).alias("doc"))
 
     def ask(table: pa.Table) -> pa.Table:
-        ids = _distinct(table["text"])
+        ids = _distinct([_distinct([tokens.ids]) for tokens in _chunks(table["text"])])
         cuts = _cuts(ids, buckets)
         full = np.flatnonzero(np.diff(cuts))
         return pa.table(
@@ -515,14 +554,16 @@ def score_texts(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in arrow})
         vocabulary, weights = pickle.loads(model.value)
-        ids = _distinct(table["text"])
+        chunks = [(tokens, *np.unique(tokens.ids, return_inverse=True)) for tokens in _chunks(table["text"])]
+        ids = _distinct([own for _, own, _ in chunks])
         cuts, known = _cuts(ids, buckets), np.zeros(len(ids), np.int64)
         for b, payload in zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist()):
             known[cuts[b] : cuts[b + 1]] = _wide(payload, cuts[b + 1] - cuts[b])
         found = []
-        for tokens in _chunks(table["text"]):
-            counts = known[np.searchsorted(ids, tokens.ids)]
-            base = np.log10((counts + 1) / (vocabulary.tokens + vocabulary.types + 1))
+        for tokens, distinct, at in chunks:
+            counts = known[np.searchsorted(ids, distinct)]
+            base = np.log10((counts + 1) / (vocabulary.tokens + vocabulary.types + 1)).take(at)
+            counts = counts.take(at)
             own = token_scores(tokens, counts, vocabulary, weights)
             by_text = [np.add.reduceat(x, tokens.first[:-1]) for x in ((counts > 0).astype(np.int64), base, own)]
             found.append((np.diff(tokens.first), *by_text))

@@ -176,6 +176,33 @@ def test_learner_follows_the_gradient():
     assert before == pytest.approx(math.log(4)) and after < 0.3
 
 
+@pytest.mark.parametrize("told_apart", [True, False])
+def test_outcomes_of_head_words_and_others(told_apart):
+    random = np.random.default_rng(8)
+    head = np.unique(np.append(random.integers(1, 1 << 63, 300, np.uint64), language.END))
+    if not told_apart:  # no bits next to each other tell all of these apart
+        head = np.unique(np.concatenate([np.arange(1 << 5, dtype=np.uint64) << np.uint64(s) for s in (0, 30, 59)]))
+    slot = random.permutation(len(head))
+    none = np.zeros(0, np.int64)
+    vocabulary = language.Vocabulary(1, 1, head, slot, none, none, none)
+    assert (vocabulary._places is not None) == told_apart
+    ids = random.permutation(np.concatenate([head, head, random.integers(0, 1 << 63, 5000, np.uint64), head ^ np.uint64(1 << 62)]))
+    known = dict(zip(head.tolist(), slot.tolist()))
+    expected = [
+        divmod(known[i], language.CLASS_WORDS) if i in known else (language.HEAD_CLASSES + i % language.TAIL_CLASSES, -1)
+        for i in ids.tolist()
+    ]
+    assert list(zip(*(x.tolist() for x in vocabulary.outcome(ids)))) == expected
+
+
+def test_target_log_is_the_softmax_at_the_target():
+    random = np.random.default_rng(9)
+    weights = random.normal(0, 2, (50, 32)).astype(np.float32)
+    rows, target = random.integers(0, 50, (700, 6)).astype(np.uint16), random.integers(0, 32, 700)
+    found = language.target_log(weights, rows, target)
+    assert (found == language.softmax_log(weights, rows)[np.arange(700), target]).all()
+
+
 CODES = ("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
