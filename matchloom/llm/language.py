@@ -296,12 +296,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _chunks(column: pa.ChunkedArray | pa.Array, size: int = 1 << 20) -> Iterator[Tokens]:
     """Tokens of about ``size`` bytes of text at a time."""
-    texts = Texts.of(column, lower=True)
-    marks = np.searchsorted(texts.offsets, np.arange(0, texts.offsets[-1] + 1, size))
-    cuts = np.unique(np.concatenate([[0], marks, [len(texts)]]))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        own = texts.offsets[a : b + 1]
-        yield Tokens.of(Texts(texts.data[own[0] : own[-1]], own - own[0]))
+    for _, part in Texts.of(column, lower=True).parts(size):
+        yield Tokens.of(part)
 
 
 def _distinct(parts: list[np.ndarray]) -> np.ndarray:

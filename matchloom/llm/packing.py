@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from matchloom.llm.flat import Texts, released
+from matchloom.llm.flat import Texts, released, trim
 from matchloom.storage import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,6 +118,7 @@ class WordEncoder:
 
         self._tokenizer, self._limit = Tokenizer.from_file(path), limit
         self._model = self._tokenizer.model
+        trim()  # a third of what reading the file took
         self._pieces = os.path.basename(path) == "word_bpe_49k.json" if pieces is None else pieces
 
         letters = {chr(c) for c in range(33, 127)} | {chr(c) for c in range(192, 256)}

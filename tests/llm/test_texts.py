@@ -10,13 +10,14 @@ import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
 from matchloom.llm import (
-    exchange, fingerprint, flat, jaccard, license, mixing, packing, substring, suffix,
+    exchange, fingerprint, flat, jaccard, license, mixing, packing, quality, substring, suffix,
 )
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -379,6 +380,31 @@ def test_released_memory_leaves_the_process():
     assert used() - before < 50
 
 
+def test_words_and_passages_by_parts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["a", "été", "Xyz,", "\n", "", "longer-word", "12"]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 400, 300)] + ["", None, " ", "e" * 5000, "", " \t"]
+    for some in (texts, texts[::-1], texts[-6:], [None], []):
+        column = flat.Texts.of(pa.array(some, pa.string()))
+        monkeypatch.setattr(flat, "PART_BYTES", 1 << 40)
+        monkeypatch.setattr(quality, "PART_BYTES", 1 << 40)
+        whole = [*vars(flat.Words.of(column)).values(), *quality.passages(column)]
+        monkeypatch.setattr(flat, "PART_BYTES", 3000)
+        monkeypatch.setattr(quality, "PART_BYTES", 4000)
+        parts = [*vars(flat.Words.of(column)).values(), *quality.passages(column)]
+        assert all(a.dtype == b.dtype and np.array_equal(a, b) for a, b in zip(whole, parts))
+
+
+def test_words_and_passages_take_memory_of_a_part():
+    texts = flat.Texts.of(pa.array(["some words of a text " * 100] * 1000))
+    for task, most in ((flat.Words.of, 20), (quality.passages, 16)):
+        tracemalloc.start()
+        task(texts)
+        peak = tracemalloc.get_traced_memory()[1] / len(texts.data)
+        tracemalloc.stop()
+        assert peak < most
+
+
 def test_packing_against_whole_text_tokenizer(docs, rows):
     from tokenizers import Tokenizer
 
