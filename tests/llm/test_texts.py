@@ -159,6 +159,32 @@ def test_jaccard_brute_force(docs, rows, options):
     assert len({c for _, c in expected.values()}) < len(expected) - 10
 
 
+def test_shingle_sets_are_sorted_text_by_text(monkeypatch):
+    """One sort of all hashes by text and hash took most of the task's time."""
+    def refuse(*_):
+        raise AssertionError("all texts sorted at once")
+
+    monkeypatch.setattr(np, "lexsort", refuse)
+    random = np.random.default_rng(5)
+    texts = ["", None, "one", "ONE", "a b c d", "a b c d e", "A b c d e", "a b a b a b a b a b", " \t\v\n ", "x" * 300]
+    texts += [" ".join(random.choice(list("abcde"), random.integers(1, 60))) for _ in range(200)]
+    for size in (1, 3, 5):
+        hashes, first = jaccard.shingle_sets(flat.Texts.of(pa.array(texts), lower=True), size)
+        named = {}
+        for i, text in enumerate(texts):
+            words = (text or "").lower().split()
+            shingles = {tuple(words[j : j + size]) for j in range(max(1, len(words) - size + 1))} if words else set()
+            found = hashes[first[i] : first[i + 1]]
+            assert len(found) == len(shingles) and (found[1:] > found[:-1]).all()
+            assert named.setdefault(frozenset(shingles), found.tolist()) == found.tolist()
+        assert len({tuple(x) for x in named.values()}) == len(named)
+
+
+def test_lowered_bytes():
+    data = np.arange(256, dtype=np.uint8)
+    assert flat.lowered(data).tobytes() == data.tobytes().lower()
+
+
 def test_jaccard_chain_of_links(spark):
     """Neighbours link, the ends do not; all are one component."""
     base = [f"w{i}" for i in range(120)]
