@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchloom.operators.scale import is_small, lookup_join, top_k_per_group
+from matchloom.operators.scale import is_small, lookup_join, top_k_per_group, without_late_rows
 from matchloom.storage import materialize
 
 BLOCK = ["profile", "level", "block"]
@@ -95,9 +95,11 @@ def blocks_of(low: Column, high: Column, levels: int) -> Column:
 def first_in_blocks(people: DataFrame, k: int, base: int, levels: int) -> DataFrame:
     """(profile, level, block, patient_id, age): the first ``k`` people of every block.
 
-    People are cut to ``k`` per age before they are copied to the wider blocks.
+    People are cut to ``k`` per age before they are copied to the wider blocks; most of those
+    who are far behind go before they are sorted.
     """
     order = [F.col("patient_id")]
+    people = without_late_rows(people, ["profile", "age"], "patient_id", k)
     by_age = top_k_per_group(people, ["profile", "age"], order, k, rank="_first", salt_by=["patient_id"])
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     copied = by_age.select("profile", "age", "patient_id", level).withColumn(

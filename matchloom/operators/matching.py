@@ -3,16 +3,24 @@
 Patients are never compared with requirements. The distinct required strings are
 compared with the distinct condition strings of the population. The resulting pairs
 turn each patient's rows into the set of requirements that patient meets, in one
-shuffle, and criteria look up candidates by their rarest requirement.
+shuffle, and criteria look up candidates by their rarest requirement: in tasks over blocks
+of patients where criteria and pairs are few, else by joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchloom.functions.text import clean_conditions, normalize_key
 from matchloom.operators.cache import EmbeddingCache, embed_cached
@@ -21,7 +29,14 @@ from matchloom.operators.scale import BROADCAST_ROWS, SPREAD_ROWS, is_small, loo
 from matchloom.operators.similarity import pairs_at_least
 from matchloom.storage import materialize
 
+# Task functions travel by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DEFAULT_THRESHOLD = 0.75
+# Patients per task that tests them, and (patient, requirement) or (patient, anchor) cells it
+# holds at a time.
+MATCH_ROWS = 100_000
+MATCH_CELLS = 1 << 19
 
 # Public fields of a patient hit; marital status, ssn and address stay behind.
 PATIENT_FIELDS = ("age", "gender", "race", "ethnicity", "name")
@@ -128,18 +143,13 @@ def met_requirements(
     return matched.groupBy("patient_id").agg(F.collect_set("req").alias("met"))
 
 
-def anchored(
+def sorted_wanted(
     criteria: DataFrame,
     required: DataFrame,
     frequency: DataFrame,
     code: Callable[[Column | str], Column],
 ) -> DataFrame:
-    """Criteria once per anchor: a requirement by which candidates are looked up.
-
-    To meet n of m requirements a patient must meet one of any m - n + 1 of them. The
-    rarest are taken, so a condition that many people have is seldom an anchor.
-    ``criteria`` has ``n_required``; adds ``wanted`` (rarest first) and ``anchor``.
-    """
+    """Criteria with ``wanted``: their requirements, rarest first."""
     sorted_keys = (
         required.join(frequency, "req_key", "left")
         .groupBy("criteria_id")
@@ -150,11 +160,139 @@ def anchored(
         )
         .select("criteria_id", F.transform("_sorted", lambda s: code(s["req_key"])).alias("wanted"))
     )
+    return criteria.join(sorted_keys, "criteria_id")
+
+
+def anchored(criteria: DataFrame) -> DataFrame:
+    """Criteria once per ``anchor``: a requirement by which candidates are looked up.
+
+    To meet n of m requirements a patient must meet one of any m - n + 1 of them. The
+    rarest are taken, so a condition that many people have is seldom an anchor.
+    ``criteria`` has ``n_required`` and ``wanted`` (rarest first).
+    """
     n_anchors = F.size("wanted") - F.col("n_required") + 1
-    return (
-        criteria.join(sorted_keys, "criteria_id")
-        .withColumn("anchor", F.explode(F.slice("wanted", F.lit(1), n_anchors)))
+    return criteria.withColumn("anchor", F.explode(F.slice("wanted", F.lit(1), n_anchors)))
+
+
+class _Wanted(NamedTuple):
+    """Criteria as arrays that travel with the task function; requirements are numbered."""
+
+    columns: pa.RecordBatch  # what a match takes from its criteria row
+    age_min: np.ndarray
+    age_max: np.ndarray
+    n_required: np.ndarray
+    every: np.ndarray  # are all required?
+    keys: np.ndarray  # (criteria row, place): distinct requirements, rarest first, then -1
+    anchor_first: np.ndarray  # where the rows of each requirement's anchors begin
+    anchor_row: np.ndarray
+    meets_first: np.ndarray  # where the requirements that each condition meets begin
+    meets: np.ndarray
+
+
+def _wanted(criteria: pa.Table, meets: list[tuple[int, str]], n_conditions: int) -> _Wanted:
+    """``criteria`` with wanted; ``meets`` are (number of a condition, requirement)."""
+    lists = criteria["wanted"].to_pylist()
+    number = {key: i for i, key in enumerate(dict.fromkeys(k for row in lists for k in row))}
+    keys = np.full((len(lists), max((len(x) for x in lists), default=0)), -1, np.int64)
+    n_required = criteria["n_required"].to_numpy().astype(np.int64)
+    anchors = []
+    for i, row in enumerate(lists):
+        coded = [number[k] for k in row]
+        distinct = list(dict.fromkeys(coded))
+        keys[i, : len(distinct)] = distinct
+        anchors += [(key, i) for key in coded[: len(row) - n_required[i] + 1]]
+    anchors = np.array(sorted(anchors), np.int64).reshape(-1, 2)
+    found = np.array(sorted((c, number[k]) for c, k in meets if k in number), np.int64).reshape(-1, 2)
+    taken = criteria.drop_columns(["age_min", "age_max", "n_required", "wanted"]).combine_chunks()
+    batches = taken.to_batches() or [pa.RecordBatch.from_pylist([], schema=taken.schema)]
+    return _Wanted(
+        batches[0],
+        criteria["age_min"].to_numpy(), criteria["age_max"].to_numpy(), n_required,
+        n_required == np.array([len(x) for x in lists], np.int64), keys,
+        np.searchsorted(anchors[:, 0], np.arange(len(number) + 1)), anchors[:, 1],
+        np.searchsorted(found[:, 0], np.arange(n_conditions + 1)), found[:, 1],
+    )
+
+
+def _expanded(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``first[i]`` to ``first[i + 1]`` for every i of ``at``, and how many each has."""
+    size = first[at + 1] - first[at]
+    return np.repeat(first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), size
+
+
+def _matches(wanted: _Wanted, has: pa.ListArray, age: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(patient, criteria row) of all matches of a block of patients."""
+    n, n_keys = len(has), len(wanted.anchor_first) - 1
+    length = pa.compute.list_value_length(has).to_numpy(zero_copy_only=False).astype(np.int64)
+    place, size = _expanded(wanted.meets_first, has.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    met = np.zeros(n * n_keys, bool)
+    met[np.repeat(np.repeat(np.arange(n), length), size) * n_keys + wanted.meets[place]] = True
+    known = age.is_valid().to_numpy(zero_copy_only=False)
+    years = age.fill_null(0).to_numpy(zero_copy_only=False)
+    patient, key = np.nonzero(met.reshape(n, n_keys) & known[:, None])
+    place, size = _expanded(wanted.anchor_first, key)
+    patient, key, row = np.repeat(patient, size), np.repeat(key, size), wanted.anchor_row[place]
+    kept = (years[patient] >= wanted.age_min[row]) & (years[patient] <= wanted.age_max[row])
+    patient, key, row = patient[kept], key[kept], row[kept]
+    # Who must meet all has one anchor; the test ends at the first requirement not met.
+    every = wanted.every[row]
+    some, all_of = np.flatnonzero(~every), np.flatnonzero(every)
+    for place in range(wanted.keys.shape[1]):
+        asked = wanted.keys[row[all_of], place]
+        all_of = all_of[(asked < 0) | met[patient[all_of] * n_keys + asked]]
+    # A pair that several anchors find is kept at the first of them.
+    count, first = np.zeros(len(some), np.int64), np.full(len(some), -1)
+    for place in range(wanted.keys.shape[1] if len(some) else 0):
+        asked = wanted.keys[row[some], place]
+        held = (asked >= 0) & met[patient[some] * n_keys + asked]
+        count += held
+        first = np.where(held & (first < 0), asked, first)
+    some = some[(count >= wanted.n_required[row[some]]) & (first == key[some])]
+    chosen = np.concatenate([all_of, some])
+    return patient[chosen], row[chosen]
+
+
+def _matched_in_tasks(
+    people: DataFrame, conditions: DataFrame, criteria: DataFrame, pairs: DataFrame
+) -> DataFrame:
+    """Columns of ``people`` and of ``criteria`` (with wanted) for every match.
+
+    Criteria and pairs are few and travel with the task function. A patient's distinct
+    conditions meet in one shuffle; the requirements they meet are looked up in the task,
+    which tests a block of patients at a time.
+    """
+    spark = people.sparkSession
+    found = pairs.select("cond_key", "req_key").toArrow()
+    names = list(dict.fromkeys(found["cond_key"].to_pylist()))
+    number = {name: i for i, name in enumerate(names)}
+    asked = criteria.toArrow()
+    wanted = _wanted(
+        asked, [(number[c], r) for c, r in zip(*(found[x].to_pylist() for x in found.column_names))], len(names)
+    )
+    numbered = spark.createDataFrame(list(number.items()), "cond_key string, _condition int")
+    keyed = conditions.select("patient_id", normalize_key("conditions").alias("cond_key"))
+    has = (
+        keyed.join(F.broadcast(numbered), "cond_key")
+        .groupBy("patient_id").agg(F.collect_set("_condition").alias("_has"))
     )
+    # Few bytes would be coalesced into one task, which then meets all criteria.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-people.count() // MATCH_ROWS))
+    candidates = has.join(people, "patient_id").repartition(tasks, "patient_id", "age")
+    candidates = candidates.select(*people.columns, "_has")
+    kept = [c for c in criteria.columns if c in wanted.columns.schema.names]
+    schema = T.StructType([people.schema[c] for c in people.columns] + [criteria.schema[c] for c in kept])
+    block = max(1, MATCH_CELLS // max(1, len(wanted.anchor_first) - 1, len(wanted.anchor_row)))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                patient, row = _matches(wanted, part.column("_has"), part.column("age"))
+                columns = part.drop_columns(["_has"]).take(pa.array(patient)).columns
+                columns += wanted.columns.take(pa.array(row)).columns
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return candidates.mapInArrow(match, schema)
 
 
 def _strict_matches(
@@ -190,10 +328,14 @@ def _strict_matches(
     counts = vocabulary.select(F.col("key").alias("cond_key"), "n")
     frequency = pairs.join(counts, "cond_key").groupBy("req_key").agg(F.sum("n").alias("rows"))
     sized = criteria.withColumn("n_required", needed.cast("int")).drop("required_conditions")
+    bounded, few = is_small(pairs), n_criteria * widest <= BROADCAST_ROWS
+    if bounded and few:
+        plain = sorted_wanted(sized, required, frequency, lambda key: key)
+        return _matched_in_tasks(people, conditions, plain, pairs)
     code = _requirement_code(required)
-    wanted = materialize(anchored(sized, required, frequency, code), "wanted")
+    wanted = materialize(anchored(sorted_wanted(sized, required, frequency, code)), "wanted")
 
-    met = met_requirements(conditions, pairs, pairs_bounded=is_small(pairs), code=code)
+    met = met_requirements(conditions, pairs, pairs_bounded=bounded, code=code)
     # One row per patient on both sides; the met sets are already laid out by patient.
     candidates = met.join(people, "patient_id")
     if is_small(people, SPREAD_ROWS):
@@ -202,7 +344,7 @@ def _strict_matches(
         candidates = candidates.repartition(cores, "patient_id", "age")
     candidates = candidates.withColumn("anchor", F.explode("met"))
     # There are no more anchors than requirements.
-    few = n_criteria * widest <= BROADCAST_ROWS or is_small(wanted)
+    few = few or is_small(wanted)
     candidates = lookup_join(
         candidates, wanted, ["anchor"], small_is_bounded=few
     ).filter(age_between(F.col("age_min"), F.col("age_max")))

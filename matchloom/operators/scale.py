@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from matchloom.storage import materialize
 
 # Row bound under which a narrow table (keys, ids, scores) may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -23,6 +26,8 @@ SPREAD_ROWS = 1_000_000
 SALTS = 32
 # Largest k for which Spark limits each map task before the window's shuffle.
 MAP_SIDE_RANK_LIMIT = 1000
+# Ranges of a key in which the rows of each group are counted before a sort.
+KEY_RANGES = 64
 
 
 def is_small(df: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
@@ -116,6 +121,38 @@ def top_k_per_group(
     return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= k)
 
 
+def without_late_rows(df: DataFrame, group: Sequence[str], key: str, k: int) -> DataFrame:
+    """``df`` without most of the rows that cannot be among the first ``k`` of their group.
+
+    Rows of each group are counted in ``KEY_RANGES`` ranges of ``key``; those in ranges after
+    the one in which the k-th lies go before anything is sorted or shuffled. What is left is
+    still to be ranked. Few rows, keys that are not whole numbers, and groups too many for
+    their ends to be broadcast are left as they are.
+    """
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return df
+    facts = df.agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if facts["n"] <= SPREAD_ROWS or facts["low"] is None:
+        return df
+    width = (float(facts["high"]) - float(facts["low"]) + 1.0) / KEY_RANGES
+    # Never falls as the key grows; nulls are sorted first.
+    at = F.coalesce(F.floor((F.col(key).cast("double") - float(facts["low"])) / width), F.lit(-1))
+    names = [f"_group_{i}" for i in range(len(group))]
+    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(group, names)], at.alias("_at")).agg(
+        F.count("*").alias("_n")
+    )
+    before = F.sum("_n").over(W.partitionBy(*names).orderBy("_at")) - F.col("_n")
+    ends = counts.withColumn("_before", before).groupBy(*names).agg(
+        F.max(F.when(F.col("_before") < k, F.col("_at"))).alias("_last"), F.sum("_n").alias("_all"),
+    ).filter(F.col("_all") > 2 * k)
+    ends = materialize(ends.drop("_all"), "ends")
+    if not is_small(ends):
+        return df
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(group, names)]
+    marked = df.join(F.broadcast(ends), same, "left")
+    return marked.filter(F.col("_last").isNull() | (at <= F.col("_last"))).select(*df.columns)
+
+
 def dense_ids(
     df: DataFrame, order: str, id_col: str = "id", block_rows: int = 1 << 20
 ) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from matchloom.operators import scale
 from matchloom.operators.ageranges import count_in_ranges, first_in_ranges
 
 
@@ -44,3 +45,25 @@ def test_nobody_and_no_range(spark):
     for people, ranges in ((folk.limit(0), asked), (folk, asked.limit(0))):
         assert count_in_ranges(ranges, people, steps_bounded=True).count() == 0
         assert first_in_ranges(ranges, people, 3).count() == 0
+
+
+def test_late_rows_go_before_the_sort(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SPREAD_ROWS", 0)
+    draw = random.Random(2)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.randrange(3), draw.randrange(-500, 10**6)) for _ in range(3000)]
+    rows += [("a", 1, None), ("a", 1, -(2**63)), ("c", 0, 7), ("b", None, 5), ("b", 2, 2**63 - 1)]
+    for some in (rows, [r for r in rows if r[2] is None or abs(r[2]) < 2**62], rows[:-5]):
+        people = spark.createDataFrame(some, "profile string, age int, patient_id bigint")
+        left = [tuple(r) for r in scale.without_late_rows(people, ["profile", "age"], "patient_id", 4).collect()]
+        def first(all_rows):
+            groups = {}
+            for r in sorted(all_rows, key=lambda r: (r[2] is not None, r[2] or 0)):
+                groups.setdefault(r[:2], []).append(r[2])
+            return {g: ids[:4] for g, ids in groups.items()}
+        assert first(left) == first(some)
+    assert len(left) < 400  # of 3000, 4 of each of 12 groups and what shares their ranges
+    _, _, folk, asked = _tables(spark, list(range(10)))
+    found = [sorted(map(tuple, first_in_ranges(asked, folk, 3).collect()))]
+    monkeypatch.setattr(scale, "SPREAD_ROWS", 10**6)
+    found.append(sorted(map(tuple, first_in_ranges(asked, folk, 3).collect())))
+    assert found[0] == found[1] and found[0]

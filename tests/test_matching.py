@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +148,38 @@ def test_missing_trial_is_flagged(spark):
         got = retrieval.enrich_trials(hits, trials, hits_bounded=bounded).orderBy("nct_id").collect()
         assert [(r.nct_id, r.full_text, r.missing_trial) for r in got] == [
             ("N1", "t", False), ("N2", None, True)]
+
+
+@pytest.mark.parametrize("options", [{}, {"require": "any"}, {"min_match": 2}, {"threshold": 0.5, "min_match": 3}])
+def test_few_criteria_are_tested_in_tasks(spark, monkeypatch, options):
+    """The same matches as by joins, without a row per patient and requirement."""
+    draw = random.Random(3)
+    names = [f"{a} {b}" for a in ("red", "old", "hot") for b in ("bolt", "ring", "gear")]
+    folk = [(i if i % 50 else None, draw.choice([None, *range(20, 60)]), draw.choice("FM")) for i in range(300)]
+    folk += folk[:20]
+    held = [(draw.randrange(320), draw.choice([*names, None, " ", "Red Bolt "])) for _ in range(1500)] + [(None, "red bolt")]
+    asked = [
+        (draw.choice([i, i, 1, None]), draw.randrange(15, 40), draw.choice([None, *range(30, 70)]),
+         draw.sample([*names, "no such thing", "", "OLD ring"], draw.randrange(0, 5)), draw.choice(["F", "", None]))
+        for i in range(60)
+    ]
+    tables = (
+        spark.createDataFrame(folk, "patient_id int, age int, gender string").repartition(3),
+        spark.createDataFrame(held, "patient_id int, conditions string"),
+        spark.createDataFrame(
+            asked, "criteria_id int, age_min int, age_max int, required_conditions array<string>, gender string"
+        ),
+    )
+
+    def rows():
+        hits = matching.eligible_patients(*tables, fields=("age", "gender"), **options)
+        return sorted(map(tuple, hits.collect()), key=str)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(matching, "BROADCAST_ROWS", 0)
+        joined = rows()
+    for name in ("met_requirements", "anchored"):
+        monkeypatch.setattr(matching, name, None)
+    for cells in (matching.MATCH_CELLS, 1):
+        monkeypatch.setattr(matching, "MATCH_CELLS", cells)
+        assert rows() == joined and len(joined) > 100
