@@ -190,3 +190,37 @@ def test_replacing_writes_the_chunks_once(spark, tmp_path, monkeypatch):
     assert counts.indexed == 3 and "incoming" not in names
     left = search._stored(spark, path, rejected=False).select("chunk_id", "text").collect()
     assert sorted(map(tuple, left)) == [("a0", "green plate"), ("b0", "blue ring"), ("d0", "new bolt")]
+
+
+def test_withdrawing_writes_no_terms(spark, tmp_path, monkeypatch):
+    written, plain = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: written.setdefault(name, df.columns) and plain(df, name))
+    path = str(tmp_path / "index")
+    search.write_search_index(spark.createDataFrame(texts(30), SCHEMA), path)
+    gone = spark.createDataFrame([("N3",), ("N4",), (None,)], "nct_id string")
+    for key, left in (("nct_id", 28), ("chunk_id", 26)):
+        names = gone if key == "nct_id" else spark.createDataFrame([("N8_chunk_0",), ("N9_chunk_0",)], "chunk_id string")
+        fresh = spark.createDataFrame([], SCHEMA)
+        assert search.replace_in_index(fresh, path, withdrawn=names, key=key).indexed == left
+        assert "chunk_id" in written["withdrawn"] and "terms" not in written["withdrawn"]
+    built = str(tmp_path / "built")
+    search.write_search_index(spark.createDataFrame([r for r in texts(30) if r[1] not in ("N3", "N4", "N8", "N9")], SCHEMA), built)
+    found, whole = (search.read_search_index(spark, p, None).lexical for p in (path, built))
+    assert found.stats.first() == whole.stats.first()
+    assert sorted(map(tuple, found.frequencies.collect())) == sorted(map(tuple, whole.frequencies.collect()))
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_lists_travel_in_pieces(spark, kind):
+    """What a task holds for one file is one compressed row of the shuffle."""
+    rows = [(i, f"{' '.join(['the'] * (i % 4))} w{i % 11} w{i}") for i in range(400)] + [(None, "the x")]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(3)
+    index = lexical.build_lexical_index(chunks.withColumn("chunk_id", F.col("chunk_id").cast(kind)))
+    dealt = lexical.deal_lists(index.lists, 2000.0, 5)
+    plan = dealt._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning(_to" in plan.split("== Physical Plan ==")[1]
+    listed = index.lists.select("term", "chunk_ids", "tfs", "dls")
+    assert dealt.columns == ["term", "chunk_ids", "tfs", "dls", "_part"]
+    assert sorted(map(str, dealt.drop("_part").collect())) == sorted(map(str, listed.collect()))
+    places = dealt.select("term", F.spark_partition_id().alias("at")).distinct()
+    assert places.count() == listed.select("term").distinct().count()
